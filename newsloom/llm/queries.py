@@ -7,18 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, line_dedup, sharding
+from newsloom.llm import decontamination, line_dedup, packing, sharding, token_store
 from newsloom.llm.base import bytes_of, prepare, table
 
+BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
+END_ID = 2
+
+
+def vocabulary(name: str) -> str:
+    """Path of an installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_store.digest(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), END_ID)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
@@ -32,7 +54,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_store": op1_token_store,
     "op4_sharding": op4_sharding,
+    "op7_packing": op7_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
