@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, line_dedup, packing, sharding, token_store
+from newsloom.llm import decontamination, line_dedup, packing, quality, sharding, simhash, token_store
 from newsloom.llm.base import bytes_of, prepare, table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -29,12 +29,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), END_ID)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), END_ID)
@@ -55,7 +67,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_sharding": op4_sharding,
+    "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
