@@ -23,6 +23,8 @@ SAMPLE = 8192
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.002, 0.01
 SCALE = 8.0
 THRESHOLD = 0.7
+#: Pairs of a run with itself, next to each other or one apart, whatever the run.
+AGAIN = 0x5A5A5A5A
 RUN = re.compile(r"\w+|[^\w\s]+")
 REMEMBERED = 500_000
 
@@ -45,7 +47,10 @@ def buckets(text: str | None, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.n
     shift = np.uint64(64 - bits)
     mix = np.uint64(0x9E3779B97F4A7C15)
     one = (h * mix) >> shift
-    two = ((h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:] + np.uint64(1)) * mix) >> shift
+    pair = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:] + np.uint64(1)
+    pair[h[:-1] == h[1:]] = AGAIN
+    over = np.full(int((h[:-2] == h[2:]).sum()), AGAIN + 1, np.uint64)
+    two = (np.concatenate([pair, over]) * mix) >> shift
     return one.astype(np.int64), two.astype(np.int64)
 
 
