@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP3 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), reach(u, w) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u
+), deg AS (SELECT u, count(*) AS n FROM link GROUP BY u),
+comp AS (SELECT u, min(w) AS c FROM reach GROUP BY u)
+SELECT vec_id, coalesce(deg.n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM v LEFT JOIN deg ON deg.u = vec_id JOIN comp ON comp.u = vec_id
+"""
+
 OP4 = """
 WITH tab AS (
   SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
@@ -61,6 +79,7 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": OP3,
     "op4_sharding": OP4,
     "op9_benchmark_decontamination": OP9,
     "op10_line_dedup": OP10,

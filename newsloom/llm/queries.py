@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_store
+from newsloom.llm import decontamination, embedding_dedup, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_store
 from newsloom.llm.base import bytes_of, prepare, table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -35,6 +35,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), 40)
@@ -74,6 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
