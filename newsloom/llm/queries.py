@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, embedding_dedup, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_store
+from newsloom.llm import decontamination, embedding_dedup, html_extraction, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_store
 from newsloom.llm.base import bytes_of, prepare, table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -52,6 +52,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), END_ID)
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
