@@ -1 +1 @@
-
+"""Incremental forms of the pipelines on Structured Streaming."""
