@@ -15,34 +15,35 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.base import written
-from newsloom.llm.tokens import encoder
+from newsloom.llm.tokens import encoder, vocabulary_size
 
 WINDOW, SHARD_TOKENS = 4096, 4_000_000
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, doc_tokens long, shard long, nth long, offset long, ids binary"
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        ids = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "salt", "n", "ids"])
+        ids = [np.frombuffer(enc.encode(t) + end, "<u4").astype(width) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "salt", "n", "ids"])
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     """Documents of the partition that hold each token."""
     total = np.zeros(0, np.int64)
     for batch in batches:
         for x in batch.column(0):
-            own = np.frombuffer(x.as_buffer(), "<u4")
-            seen = np.bincount(own) > 0
-            if len(seen) > len(total):
-                total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-            total[: len(seen)] += seen
+            own = np.frombuffer(x.as_buffer(), width)
+            seen = np.sort(own)
+            seen = seen[np.append(True, seen[1:] != seen[:-1])]
+            if seen[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64)])
+            total[seen] += 1
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
 
@@ -75,6 +76,20 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
+def ranked(score: np.ndarray, used: np.ndarray, first: int = 16) -> Iterator[int]:
+    """Unused documents by falling score, equal ones in order; the first few without a full sort."""
+    open_ = np.flatnonzero(~used)
+    s = score[open_]
+    if len(s) > 4 * first:
+        edge = np.partition(s, len(s) - first)[len(s) - first]
+        if edge > 0:
+            top = np.flatnonzero(s > edge)
+            yield from open_[top[np.argsort(-s[top], kind="stable")]].tolist()
+            rest = np.flatnonzero(s <= edge)
+            open_, s = open_[rest], s[rest]
+    yield from open_[np.argsort(-s, kind="stable")].tolist()
+
+
 def fill(docs: list[np.ndarray], index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, window number, offset) of every piece of a shard."""
     used = np.zeros(len(docs), bool)
@@ -103,23 +118,20 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> list[tuple[int, i
         rest = put(*rest)
         if rest is not None or room == window:
             continue
-        score = index.scores(docs[seed])
-        score[used] = -1
-        order = np.argsort(-score, kind="stable")
-        for doc in order[: len(docs) - int(used.sum())]:
+        here = number
+        for doc in ranked(index.scores(docs[seed]), used):
             used[doc] = True
-            here = number
-            rest = put(int(doc), 0)
+            rest = put(doc, 0)
             if rest is not None or number != here:
                 break
 
 
-def _packed(pdf: pd.DataFrame, df: np.ndarray, n_docs: int, mean: float, window: int) -> pd.DataFrame:
+def _packed(pdf: pd.DataFrame, df: np.ndarray, n_docs: int, mean: float, window: int, width: str) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "salt"], kind="stable", na_position="first").reset_index(drop=True)
-    docs = [np.frombuffer(x, "<u4") for x in pdf["ids"]]
+    docs = [np.frombuffer(x, width) for x in pdf["ids"]]
     rows = fill(docs, Index(docs, df, n_docs, mean), window)
     doc, start, length, nth, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    ids = [docs[d][s : s + n].tobytes() for d, s, n in zip(doc, start, length, strict=True)]
+    ids = [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length, strict=True)]
     names = pdf["doc_id"].iloc[doc].reset_index(drop=True)
     return pd.DataFrame({"doc_id": names, "start": start, "length": length, "doc_tokens": pdf["n"].to_numpy()[doc], "shard": int(pdf["shard"].iloc[0]), "nth": nth, "offset": offset, "ids": ids})
 
@@ -129,15 +141,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
 
     Each document is its token ids and the end id; null texts are empty, null ids and repeated rows
     are documents as any other. Sequences are full but for the last of each shard. Ids are dealt to
-    shards by hash of id and text, so a frequent source or id spreads. An empty table packs to nothing.
+    shards by hash of id and text, so a frequent source or id spreads. A sequence's number is its
+    shard's, times 2**32, plus its place there. An empty table packs to nothing.
 
     Corpus statistics cover all documents: document frequencies (one number for each vocabulary
     entry) go to the driver and back with the tasks.
     """
+    width = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("salt"))
-    known = written(rows.mapInArrow(lambda it: _tokenized(it, vocabulary, end_id), "doc_id long, salt long, n long, ids binary"), "ids")
-    counts = known.select("ids").mapInArrow(_frequencies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    known = written(rows.mapInArrow(lambda it: _tokenized(it, vocabulary, end_id, width), "doc_id long, salt long, n long, ids binary"), "ids")
+    counts = known.select("ids").mapInArrow(lambda it: _frequencies(it, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(int(max(counts.column("token").to_pylist(), default=0)) + 1, np.int64)
     df[counts.column("token").to_numpy()] = counts.column("n").to_numpy()
     total = known.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
@@ -145,11 +159,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     n_docs, mean = total["docs"], total["ids"] / max(1, total["docs"])
 
     dealt = known.withColumn("shard", F.pmod(F.xxhash64("salt", "doc_id"), F.lit(shards)))
-    sizes = dealt.groupBy("shard").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("shard", F.coalesce(F.sum(F.ceil(F.col("n") / window)).over(before), F.lit(0)).alias("base"))  # a row for some millions of tokens
-    pieces = dealt.groupBy("shard").applyInPandas(lambda pdf: _packed(pdf, df, n_docs, mean, window), PIECE)
-    return pieces.join(base, "shard").select("doc_id", "start", "length", "doc_tokens", (F.col("base") + F.col("nth")).alias("sequence_id"), "offset", "ids")
+    pieces = dealt.groupBy("shard").applyInPandas(lambda pdf: _packed(pdf, df, n_docs, mean, window, width), PIECE)
+    return pieces.select("doc_id", "start", "length", "doc_tokens", F.expr("shiftleft(shard, 32) + nth").alias("sequence_id"), "offset", "ids")
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
