@@ -158,7 +158,10 @@ def copied_rules(stories: DataFrame) -> DataFrame:
     ours = F.concat(F.array("headline", "deck"), F.coalesce("summary", F.array().cast("array<string>")), F.coalesce("body", F.array().cast("array<string>")))
     s = stories.select("date", "id", "sources", ours.alias("ours"), T.proper_nouns(F.array_join(F.concat(ours, F.coalesce("entities", F.array().cast("array<string>"))), ". ")).alias("names"))
     pairs = s.select("date", "id", "names", F.explode("sources.title").alias("title"), "ours").select("date", "id", "names", "title", F.explode("ours").alias("field"))
-    runs = pairs.withColumn("run", longest_run(T.word_list(F.col("field")), T.word_list(F.col("title")))).where(F.size("run") > MAX_RUN)
+    said, theirs, n = F.concat(F.lit(" "), F.array_join(T.word_list(F.col("field")), " "), F.lit(" ")), T.word_list(F.col("title")), MAX_RUN + 1
+    grams = F.transform(F.sequence(F.lit(1), F.size(theirs) - MAX_RUN), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(theirs, i, n), " "), F.lit(" ")))
+    near = pairs.where(F.size(theirs) >= n).withColumn("said", said).where(F.exists(grams, lambda g: F.col("said").contains(g)))
+    runs = near.withColumn("run", longest_run(T.word_list(F.col("field")), T.word_list(F.col("title")))).where(F.size("run") > MAX_RUN)
     runs = runs.withColumn("n", T.expressive_length(F.col("run"), F.col("names")))
     rules = [("V34", "E", F.col("n") > MAX_EXPRESSIVE), ("V35", "W", (F.col("n") > SOME_EXPRESSIVE) & (F.col("n") <= MAX_EXPRESSIVE))]
     return _rows(runs, rules, F.col("id"), F.array_join("run", " "))
