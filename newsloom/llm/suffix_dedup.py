@@ -39,7 +39,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
         inverse = pow(BASE, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(max(n, 1024) - 1, b, np.uint64)]).astype(np.uint64)) for b in (BASE, inverse)]
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1024) - 1, b, np.uint64)])) for b in (BASE, inverse)]
     return _powers[0], _powers[1]
 
 
