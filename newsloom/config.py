@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from newsloom.functions.text import bounded
 
@@ -100,15 +103,23 @@ TEST = Config(
 )
 
 
+def local(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table as a local relation (by way of Arrow): planned without a job or a Python worker."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.fields]
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)
+
+
 def publishers(spark: SparkSession, book: Book) -> DataFrame:
     rows = [(i, h, n, t) for i, (h, n, t) in enumerate(book.publishers)]
-    return spark.createDataFrame(rows, "list_pos int, host string, name string, tier int")
+    return local(spark, rows, "list_pos int, host string, name string, tier int")
 
 
 def blocked(spark: SparkSession, book: Book) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in book.blocked], "host string")
+    return local(spark, [(h,) for h in book.blocked], "host string")
 
 
 def beats(spark: SparkSession, config: Config) -> DataFrame:
     rows = [(i, b.id, b.label, b.blurb, list(b.keywords), list(b.queries), b.quota, b.min_quota, b.digest_quota or b.quota) for i, b in enumerate(config.beats)]
-    return spark.createDataFrame(rows, "pos int, id string, label string, blurb string, keywords array<string>, queries array<string>, quota int, min_quota int, digest_quota int")
+    return local(spark, rows, "pos int, id string, label string, blurb string, keywords array<string>, queries array<string>, quota int, min_quota int, digest_quota int")

@@ -265,7 +265,7 @@ def _scored(spark, sf_dir, items):
 
 @query("cluster_scores", f"WITH RECURSIVE {_SCORED} SELECT batch, cluster, n AS n_items, publishers, best_tier, beat, novel, first_party, {_ROUND} AS score, confidence FROM scored")
 def cluster_scores(spark, sf_dir):
-    s = _scored(spark, sf_dir, _items(spark, sf_dir))
+    s = _scored(spark, sf_dir, _items(spark, sf_dir).persist())
     return s.select("batch", "cluster", "n_items", "publishers", "best_tier", "beat", "novel", "first_party", round3(F.col("score")).alias("score"), "confidence")
 
 
@@ -287,7 +287,7 @@ FROM named JOIN cited USING (batch, cluster) LEFT JOIN also USING (batch, cluste
 @query("digest", _DIGEST)
 def digest_items(spark, sf_dir):
     """The flagship: candidates to the digest of each day."""
-    items = _items(spark, sf_dir)
+    items = _items(spark, sf_dir).persist()  # read by scores, votes and sources
     got = digest.project(digest.select_items(_scored(spark, sf_dir, items), _dims(spark)[0]), items)
     told = F.array_join(F.transform("sources", lambda s: F.concat(s["publisher"], F.lit("|"), s["tier"].cast("string"))), ",")
     return got.select("batch", "id", "beat", "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "confidence", "score", told.alias("sources"), F.array_join("corroborated_by", ",").alias("corroborated_by"))
