@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from newsloom.llm import decontamination, line_dedup, packing, quality, queries, simhash
 from newsloom.llm.base import prepare, table, written
 
+#: Bits in which near copies may differ. The contract of op5 links at three; most copies with a word
+#: or two changed differ in up to five, and texts of no more than half their shingles in ten or more.
+NEAR_BITS = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,7 +38,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, radius=NEAR_BITS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
