@@ -59,8 +59,8 @@ def connected_components(links: DataFrame, a: str = "u", b: str = "v", max_round
     """(node, component) for every node of at least one link; component is its smallest node.
 
     Alternating large and small stars (Kiveris et al., 2014): each round is two aggregations
-    with map-side combining and two joins, so a node with very many links is pre-aggregated
-    and its join can be split by AQE. Each partition's links are first cut down to a spanning
+    with map-side combining and two joins with their results as written tables, so a node with
+    very many links is pre-aggregated and AQE can split its join. Each partition's links are first cut down to a spanning
     forest. Every round's links are a written table, so a lost executor costs one round at most.
 
     Null ends and links of a node with itself are ignored; repeated links change nothing.
@@ -70,13 +70,13 @@ def connected_components(links: DataFrame, a: str = "u", b: str = "v", max_round
     sign = None
     for _ in range(max_rounds):
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         then = written(small.distinct(), "links")
-        discard(now, large)
+        discard(now, large, least, low)
         now, last = then, sign
         sign = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == last or not sign[0]:

@@ -40,6 +40,7 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wins = written(wins, "windows")
     place = F.struct("doc_id", "text_key", F.col("at")[0].alias("line"))
     first = wins.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "first-windows")  # a table, so that AQE can split the join at a window of very many rows
     later = wins.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return later.select("doc_id", "text_key", F.explode("at").alias("line")).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 

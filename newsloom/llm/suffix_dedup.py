@@ -364,7 +364,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """
     long_ = docs.where(F.octet_length("data") >= length)
     known = written(long_.mapInArrow(lambda it: _anchored(it, length, gram), ANCHOR), "anchors")
-    often = known.groupBy("anchor").count().where("count > 1").select("anchor")
+    # the sides of joins on anchors are written tables, so that AQE can split an anchor of very many rows
+    often = written(known.groupBy("anchor").count().where("count > 1").select("anchor"), "frequent-anchors")
     met = written(known.join(often, "anchor", "left_semi"), "met-anchors")
     discard(known)
 
@@ -373,7 +374,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     twice = classes.where("n > 1").select("anchor", "c1", "c2")
     whole = met.join(twice, ["anchor", "c1", "c2"], "left_semi").select("doc_id", "text_key", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e")).where(F.col("e") - F.col("s") >= length)
 
-    several = classes.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = written(classes.groupBy("anchor").count().where("count > 1").select("anchor"), "varied-anchors")
     reps = classes.join(several, "anchor", "left_semi").select("one.*", "anchor")
     asked = reps.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", F.col("anchor").alias("grp"), "before", "after")).alias("at"))
     a, b = asked.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "at"), long_.dropDuplicates(["doc_id", "text_key"])
