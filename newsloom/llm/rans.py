@@ -48,7 +48,7 @@ class Table:
             return cls(ids, counts, 12)
         order = np.argsort(ids)
         ids, counts = ids[order], counts[order]
-        bits = min(24, max(12, int(np.ceil(np.log2(len(ids)))) + 4))
+        bits = min(24, max(12, int(np.ceil(np.log2(len(ids)))) + 3))
         share = counts / counts.sum() * ((1 << bits) - len(ids))
         freqs = np.floor(share).astype(np.int64) + 1
         left = (1 << bits) - int(freqs.sum())

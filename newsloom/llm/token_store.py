@@ -24,24 +24,31 @@ from pyspark.sql import types as T
 
 from newsloom.llm import rans
 from newsloom.llm.base import discard, scratch, written
-from newsloom.llm.tokens import encoder
+from newsloom.llm.tokens import encoder, vocabulary_size
 
 #: Ids at which a block closes; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
 RAW = "part int, block int, start long, n_ids long, doc_ids array<long>, counts array<long>, payload binary"
+#: Raw blocks; the last of a partition also counts the partition's tokens (one entry for each that occurs).
+COUNTED = RAW + ", tokens array<long>, ns array<long>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     ids: list[bytes] = []
     docs: list[int | None] = []
     counts: list[int] = []
     part, block, start = 0, 0, 0
+    total = np.zeros(0, np.int64)
 
-    def close() -> pa.RecordBatch:
-        nonlocal block, start, ids, docs, counts
-        n = sum(counts)
-        row = [[part], [block], [start], [n], [docs], [counts], [b"".join(ids)]]
+    def close(last: bool = False) -> pa.RecordBatch:
+        nonlocal block, start, ids, docs, counts, total
+        n, payload = sum(counts), b"".join(ids)
+        got = np.bincount(np.frombuffer(payload, width), minlength=len(total))
+        got[: len(total)] += total
+        total = got
+        at = np.flatnonzero(total) if last else np.empty(0, np.int64)
+        row = [[part], [block], [start], [n], [docs], [counts], [payload], [at], [total[at]]]
         block, start, ids, docs, counts = block + 1, start + n, [], [], []
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
@@ -50,35 +57,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, schema: p
         for doc, text, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             part = p
             one = enc.encode(text) + end
-            ids.append(one)
+            ids.append(np.frombuffer(one, "<u4").astype(width).tobytes())
             docs.append(doc)
             counts.append(len(one) // 4)
             held += len(one) // 4
             if held >= BLOCK_IDS:
                 yield close()
                 held = 0
-    if docs:
-        yield close()
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-            if len(got) > len(total):
-                got, total = total, got
-            total[: len(got)] += got
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
+    if docs or block:
+        yield close(last=True)
 
 
-def _mapped(batches: Iterator[pa.RecordBatch], spec: tuple, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _mapped(batches: Iterator[pa.RecordBatch], spec: tuple, width: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     table = rans.Table(*spec)
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            ids = np.frombuffer(row.column(6)[0].as_buffer(), "<u4")
+            ids = np.frombuffer(row.column(6)[0].as_buffer(), width)
             cols = [*row.columns[:6], pa.array([rans.encode(ids, table)], pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -100,14 +95,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    schema = _arrow(RAW)
-    raw = written(ranged.mapInArrow(lambda it: _blocks(it, vocabulary, end_id, schema), RAW), "raw-ids")
-    counts = raw.select("payload").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # one row a vocabulary entry
+    width = "<u2" if max(vocabulary_size(vocabulary), end_id + 1) <= 1 << 16 else "<u4"
+    schema, counted = _arrow(RAW), _arrow(COUNTED)
+    raw = written(ranged.mapInArrow(lambda it: _blocks(it, vocabulary, end_id, width, counted), COUNTED), "raw-ids")
+    each = raw.select(F.explode(F.arrays_zip("tokens", "ns")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.ns").alias("n"))
+    counts = each.groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # one row a vocabulary entry
     table = rans.Table.from_counts(counts.column("token").to_numpy(), counts.column("n").to_numpy())
     spec = (table.ids, table.freqs, table.bits)
     freqs = pa.table({"token": pa.array(table.ids.astype(np.int64)), "freq": pa.array(table.freqs.astype(np.int64)), "bits": pa.array(np.full(len(table.ids), table.bits), pa.int32())})
     spark.createDataFrame(freqs).coalesce(1).write.parquet(f"{path}/table")
-    raw.mapInArrow(lambda it: _mapped(it, spec, schema), RAW).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.drop("tokens", "ns").where("n_ids > 0").mapInArrow(lambda it: _mapped(it, spec, width, schema), RAW).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(raw)
 
 

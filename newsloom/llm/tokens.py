@@ -13,10 +13,17 @@ import struct
 import unicodedata
 
 import numpy as np
+import regex
+
+# How the two kinds of vocabulary split a text before they merge.
+SPACED_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PLAIN_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 
 #: Pieces a worker remembers in each of two generations; a full one becomes the older, which goes.
 REMEMBERED = 450_000
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CONTROL = re.compile("[\x1c-\x1f]")
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _open: dict[str, PieceEncoder] = {}
 
 
@@ -61,6 +68,8 @@ class PieceEncoder:
         self.letters = byte_alphabet()
         self.marks = {c: struct.pack("<I", *(t.id for t in self.model.tokenize(c))) for c in ".,"}
         self.known = _Pieces(self._piece)
+        self.split = regex.compile(SPACED_SPLIT if self.spaced else PLAIN_SPLIT)
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """Straight from the library."""
@@ -97,8 +106,35 @@ class PieceEncoder:
             if tail:
                 return self.known[word] + self.marks[tail]
             ids = [t.id for t in self.model.tokenize(plain)]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return self.whole(" " + piece if self.spaced else piece)
+            return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else np.array(ids, "<u4").tobytes()
+        return self._mixed(piece)
+
+    def _mixed(self, piece: str) -> bytes:
+        """Split as the vocabulary does and ask the model for each part; beyond Latin-1 the library does it all."""
+        text = " " + piece if self.spaced else piece
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.whole(text)
+        if CONTROL.search(text):
+            return self.whole(text)
+        text = text if self.spaced else text.lower()
+        parts = self.split.findall(text)
+        if "".join(parts) != text:
+            return self.whole(text)
+        return b"".join(map(self._part, parts))
+
+    def _part(self, part: str) -> bytes:
+        word = part[1:] if self.spaced and part[0] == " " else part if not self.spaced else ""
+        if word.isalpha():
+            return self.known[word]
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) > 50_000:
+                self.parts.clear()
+            mapped = "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return ids
 
     def _letters_only(self, word: str) -> str | None:
         if self.spaced:
