@@ -80,16 +80,14 @@ def anchors(data: np.ndarray, ok: np.ndarray, length: int, gram: int) -> tuple[n
     return at, g[at]
 
 
-def _pieces(texts: list[bytes], length: int, reach: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Chunks of (document, offset of the piece, bytes); a long text is cut into overlapping pieces."""
+def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Chunks of (document, offset of the piece, bytes); each window of a long text starts in one piece only."""
     chunk: list[tuple[int, int, bytes]] = []
     held = 0
     for i, t in enumerate(texts):
-        if len(t) < length:
-            continue
         for p in range(0, len(t) - length + 1, CHUNK):
-            piece = t[max(0, p - reach) : p + CHUNK + length + reach]
-            chunk.append((i, max(0, p - reach), piece))
+            piece = t[p : p + CHUNK + length - 1]
+            chunk.append((i, p, piece))
             held += len(piece)
             if held >= CHUNK:
                 yield chunk
@@ -103,10 +101,9 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
     for batch in batches:
         texts = [x.as_buffer().to_pybytes() for x in batch.column(2)]
         ids, keys = batch.column(0), batch.column(1)
-        for chunk in _pieces(texts, length, reach):
+        last = (-1, np.empty(0, np.int64))  # the chunk before: its last document and that one's anchors
+        for chunk in _pieces(texts, length):
             data = np.frombuffer(b"".join(x[2] for x in chunk), np.uint8)
-            if len(data) < length:
-                continue
             sizes = np.array([len(x[2]) for x in chunk])
             ends = np.cumsum(sizes)
             ok = np.ones(len(data), bool)
@@ -116,7 +113,15 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             own = np.searchsorted(ends, at, side="right")
             doc = np.array([x[0] for x in chunk])[own]
             pos = at - (ends - sizes)[own] + np.array([x[1] for x in chunk])[own]
-            total = np.array([len(texts[d]) for d in doc])
+            # windows on both sides of a seam may choose one anchor: a document (a row) has each place once
+            order = np.lexsort((pos, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(doc[order]) != 0) | (np.diff(pos[order]) != 0)
+            new &= (doc[order] != last[0]) | ~np.isin(pos[order], last[1])
+            doc, pos, g = doc[order[new]], pos[order[new]], g[order[new]]
+            i = chunk[-1][0]
+            last = (i, np.concatenate([last[1] if last[0] == i else last[1][:0], pos[doc == i]]))
+            total = np.array([len(texts[d]) for d in doc], np.int64)
             before, after = np.minimum(pos, reach), np.minimum(total - pos, length)
             digests = b"".join(hashlib.blake2b(b"%d,%d," % (b, a) + texts[d][p - b : p + a], digest_size=16).digest() for d, p, b, a in zip(doc.tolist(), pos.tolist(), before.tolist(), after.tolist(), strict=True))
             c = np.frombuffer(digests, "<i8").reshape(-1, 2)

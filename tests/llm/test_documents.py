@@ -1,11 +1,13 @@
 """The document operators against plain Python over the same rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -212,6 +214,33 @@ def test_suffix_dedup_equals_all_windows(docs, docs_rows, empty, length, gram, h
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [130, 1000, 1 << 20])
+def test_anchors_do_not_depend_on_pieces(monkeypatch, chunk):
+    r = random.Random(4)
+    texts = [bytes(r.choice(b"abcd") for _ in range(n)) for n in (5000, 39, 40, 169, 170, 171, 2000)]
+    texts += [texts[0], b"ab" * 900]  # a repeated row stays a document of its own
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(texts), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text_key", "data"])
+    got = Counter((key, p) for out in suffix_dedup._anchored(iter([batch]), 40, 16) for key, p in zip(out.column("text_key").to_pylist(), out.column("pos").to_pylist(), strict=True))
+    want = set()
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 39):  # each window by itself
+            at, _ = suffix_dedup.anchors(np.frombuffer(t[s : s + 40], np.uint8), np.ones(40, bool), 40, 16)
+            want |= {(i, s + int(a)) for a in at}
+    assert set(got) == want and set(got.values()) == {1}
+
+
+def test_suffix_dedup_leaves_long_texts_without_repeats(spark):
+    r = random.Random(6)
+    lone = r.randbytes(1_300_000).hex()
+    seam = r.randbytes(1_048_000 // 2).hex()
+    passage = r.randbytes(600).hex()
+    rows = [(1, lone), (2, seam + passage + r.randbytes(200_000).hex()), (3, "short " + passage)]
+    got = {g["doc_id"]: (g["n_removed"], g["n_spans"], bytes(g["kept"]).decode()) for g in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (0, 0, lone)
+    assert got[2] == (1200, 1, rows[1][1].replace(passage, "")) and got[3] == (1200, 1, "short ")
+
+
 def test_suffix_sort_orders_groups():
     rng = np.random.default_rng(2)
     rows = rng.integers(97, 99, (200, 30)).astype(np.uint8)
