@@ -11,11 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, line_dedup, packing, quality, queries, simhash
+from newsloom.llm import decontamination, jaccard, line_dedup, packing, quality, queries
 from newsloom.llm.base import prepare, table, written
 
-#: Bits in which near copies may differ. The contract of op5 links at three; most copies with a word
-#: or two changed differ in up to five, and texts of no more than half their shingles in ten or more.
+#: A radius of SimHash that the stage test compares with; the stage itself compares whole sets of shingles.
 NEAR_BITS = 5
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,10 +34,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cut.withColumn("n_chars", length).select(*docs.columns)
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id."""
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that share four fifths of their five-word shingles the document of the smallest id."""
     prepare(spark)
-    return simhash.keep_one(docs, radius=NEAR_BITS)
+    return jaccard.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_stage),
     ("line dedup", line_dedup_stage),
-    ("SimHash near-dedup", simhash_stage),
+    ("near-dedup", near_dedup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]

@@ -1,0 +1,158 @@
+"""Near-duplicates by the exact Jaccard similarity of their word shingles, with a prefix-filtered join.
+
+If two sets of shingles are at least t similar, they share one among the first n - ceil(t n) + 1 shingles
+of each, in any order common to all sets. Shingles that a sample finds often come last in the order: they
+propose few pairs then, and what the sample misses costs time but no pair. Every candidate is compared
+on its whole sets.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from newsloom.llm.base import discard, written
+from newsloom.llm.components import connected_components
+
+#: Words of a shingle, the least similarity as a fraction.
+SHINGLE, NUM, DEN = 5, 4, 5
+#: Sets under one shingle beyond which they are first linked to one of them, not pair by pair.
+HOT_KEY = 128
+SAMPLE, ORDERED = 8192, 1 << 16
+SET = "doc_id long, text_key long, node long, n int, ids binary"
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles; a shorter text is one shingle, no words give none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    line = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(line)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[: len(words) - size].tolist()]
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b]) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], "<u8"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
+        data = [s.tobytes() for s in sets]
+        nodes = np.frombuffer(b"".join(hashlib.blake2b(d, digest_size=8).digest() for d in data), "<i8")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array(data, pa.binary())], ["doc_id", "text_key", "node", "n", "ids"])
+
+
+def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8"))], ["key"])
+
+
+def prefix(ids: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set one of which every set similar enough has in its own prefix."""
+    at = np.minimum(np.searchsorted(often, ids), max(0, len(often) - 1))
+    count = np.where(often[at] == ids, counts[at], 0) if len(often) else np.zeros(len(ids), np.int64)
+    return ids[np.lexsort((ids, count))[: len(ids) + (-NUM * len(ids) // DEN) + 1]]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], often: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [prefix(np.frombuffer(x, "<u8"), often, counts) for x in batch.column(2).to_pylist()]
+        own = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, "<u8")]).view(np.int64)), batch.column(0).take(own), batch.column(1).take(own)], ["key", "node", "n"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * DEN >= NUM * (len(a) + len(b) - both)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        keep = pa.array(np.flatnonzero(ok))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["u", "v"])
+
+
+def _checked(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of candidate pairs (u, v) those of enough similarity, as a written table."""
+    pairs = written(pairs.distinct(), "candidates")
+    need = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = written(known.select("node", "ids").join(need, "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
+    a, b = (sets.select(F.col("node").alias(c), F.col("ids").alias(f"ids_{c}")) for c in "uv")
+    out = written(pairs.join(a, "u").join(b, "v").select("u", "v", "ids_u", "ids_v").mapInArrow(_verified, "u long, v long"), "similar-pairs")
+    discard(pairs, sets)
+    return out
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of a: key, u, nu and b: key, v, nv whose sizes allow the similarity."""
+    fits = (F.least("nu", "nv") * DEN >= F.greatest("nu", "nv") * NUM) & (F.col("u") != F.col("v"))
+    return a.join(b, "key").where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("key", F.col("node").alias(name), F.col("n").alias(f"n{name}"), *(F.col(c).alias(f"{c}{name}") for c in more))
+
+
+def similar_links(known: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+    """(u, v): links whose components are those of all pairs of enough similarity.
+
+    Below a hot shingle, sets are linked to one of those outside the largest component, round by round while
+    that helps; then every set outside the largest component meets all sets of other components.
+    """
+    total = max(1, known.count())
+    picked = known.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(min(1, SAMPLE / total) * (1 << 20)) + 1).dropDuplicates(["node"]).select("ids")
+    seen = picked.mapInArrow(_all, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(ORDERED).toArrow()
+    often, counts = seen.column("key").to_numpy().view(np.uint64), seen.column("count").to_numpy()
+    order = np.argsort(often)
+    often, counts = often[order], counts[order]
+
+    posts = written(known.select("node", "n", "ids").mapInArrow(lambda it: _prefixes(it, often, counts), "key long, node long, n int").distinct(), "prefixes")
+    met = posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(posts.join(met, "key"), "shared-prefixes")
+    discard(posts)
+    calm, hot = shared.where(F.col("members") <= hot_key), shared.where(F.col("members") > hot_key)
+    links = _checked(known, _pairs(_side(calm, "u"), _side(calm, "v")).where("u < v"))
+    if hot.isEmpty():
+        return links
+    before = None
+    while True:
+        parts = connected_components(links)
+        placed = hot.join(parts, hot["node"] == parts["node"], "left").select("key", hot["node"], "n", F.coalesce("component", hot["node"]).alias("c"))
+        placed = written(placed, "hot-prefixes")
+        main = placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        rest = written(placed.join(main, "key").where("c <> main").drop("main"), "outside")
+        left = rest.count()
+        if not left or (before is not None and left > 0.9 * before):
+            break
+        before = left
+        hub = rest.groupBy("key").agg(F.min(F.struct("node", "n", "c")).alias("hub")).select("key", "hub.*")
+        links = links.unionAll(_checked(known, _pairs(_side(hub, "u", "c"), _side(placed, "v", "c")).where("u <> v")))
+        discard(placed, rest)
+    far = _side(rest, "u", "c").join(_side(placed, "v", "c"), "key").where("cu <> cv")
+    fits = F.least("nu", "nv") * DEN >= F.greatest("nu", "nv") * NUM
+    return links.unionAll(_checked(known, far.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
+
+
+def keep_one(docs: DataFrame, hot_key: int = HOT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of similar texts the document with the smallest id, with all columns of docs.
+
+    Texts of equal shingles are one node; those without words are copies of each other. A null id stays.
+    """
+    key = F.xxhash64(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("text_key"), F.col(text_col).alias("text"))
+    known = written(rows.mapInArrow(lambda it: _sets(it, SHINGLE), SET), "shingle-sets")
+    parts = connected_components(similar_links(known, hot_key))
+    named = known.join(parts, known["node"] == parts["node"], "left").select("doc_id", "text_key", F.coalesce("component", known["node"]).alias("component"))
+    named = written(named, "groups")
+    discard(known)
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    drop = named.join(least, "component").where("doc_id <> least").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(drop, (docs[id_col] == drop["__id"]) & (key == drop["__key"]), "left_anti")

@@ -6,6 +6,8 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
+from newsloom.llm import jaccard
+
 from .conftest import WORDS
 from .test_documents import components, fingerprint, words
 
@@ -68,3 +70,37 @@ def test_run_packs_what_is_kept(spark, corpus):
         whole[r["doc_id"]] += r["length"]
     assert all(whole[r["doc_id"]] == r["doc_tokens"] for r in rows)
     assert set(range(120)) <= set(whole) and not {*range(120, 180), 202, 205} & set(whole)
+
+
+@pytest.mark.parametrize("hot", [jaccard.HOT_KEY, 2])
+def test_near_dedup_equals_all_jaccard_pairs(spark, hot):
+    r = random.Random(12)
+    text = lambda n: [r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(n)]
+    docs = {}
+    for _ in range(12):  # edited copies around the threshold
+        base = text(r.randint(60, 120))
+        for _ in range(5):
+            w = list(base)
+            for k in r.sample(range(len(w)), r.randint(0, 4)):
+                w[k] = "edited" + str(r.randint(0, 999))
+            docs[len(docs)] = " ".join(w)
+    footer = " " + " ".join(text(12))
+    for _ in range(20):  # alike in a footer only
+        docs[len(docs)] = " ".join(text(30)) + footer
+    whole = text(14)  # 8 of 10 shingles shared, then 8 of 11
+    docs.update({len(docs): t for t in (" ".join(whole), " ".join(whole[:-2]), " ".join([*whole[:-2], "x"]), None, "", " ", "two words", "Two  words")})
+
+    def grams(t):
+        w = words(t or "")
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: grams(t) for i, t in docs.items()}
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    comp = components(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    want = set(comp.values())
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    if hot == jaccard.HOT_KEY:
+        kept = corpus_pipeline.STAGES[2][1](spark, df, "")
+    else:
+        kept = jaccard.keep_one(df, hot)
+    assert {x["doc_id"] for x in kept.collect()} == want
