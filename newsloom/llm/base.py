@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +24,7 @@ def prepare(spark: SparkSession) -> str:
     """Make workers able to import this package and return the shared checkpoint folder.
 
     The folder is the cluster's ``spark.checkpoint.dir``; a folder of our own is set only
-    where that setting is missing (tests on one machine).
+    where that setting is missing and all tasks run on this machine.
     """
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
@@ -27,6 +32,8 @@ def prepare(spark: SparkSession) -> str:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, path) if x)
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.getCheckpointDir() and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc.getCheckpointDir() is None:
@@ -89,5 +96,15 @@ def bytes_of(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def row_chunks(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes of text; a longer text is a range of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

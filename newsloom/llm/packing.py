@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,11 @@ PIECE = "doc_id long, start long, length long, doc_tokens long, shard long, nth
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+    enc, size = encoder(path, width), np.dtype(width).itemsize
     for batch in batches:
-        ids = [np.frombuffer(enc.encode(t) + end, "<u4").astype(width) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "salt", "n", "ids"])
+        ids = enc.column(batch.column(1), end_id)
+        n = pc.divide(pc.binary_length(ids).cast(pa.int64()), size)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, ids], ["doc_id", "salt", "n", "ids"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
@@ -126,14 +128,15 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> list[tuple[int, i
                 break
 
 
-def _packed(pdf: pd.DataFrame, df: np.ndarray, n_docs: int, mean: float, window: int, width: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "salt"], kind="stable", na_position="first").reset_index(drop=True)
-    docs = [np.frombuffer(x, width) for x in pdf["ids"]]
+def _packed(t: pa.Table, df: np.ndarray, n_docs: int, mean: float, window: int, width: str) -> pa.Table:
+    t = t.sort_by([("doc_id", "ascending"), ("salt", "ascending")]).combine_chunks()
+    docs = [np.frombuffer(x, width) for x in t.column("ids").to_pylist()]
     rows = fill(docs, Index(docs, df, n_docs, mean), window)
     doc, start, length, nth, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    own = pa.array(doc)
     ids = [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length, strict=True)]
-    names = pdf["doc_id"].iloc[doc].reset_index(drop=True)
-    return pd.DataFrame({"doc_id": names, "start": start, "length": length, "doc_tokens": pdf["n"].to_numpy()[doc], "shard": int(pdf["shard"].iloc[0]), "nth": nth, "offset": offset, "ids": ids})
+    cols = [t.column("doc_id").take(own), start, length, t.column("n").take(own), t.column("shard").take(own), nth, offset, pa.array(ids, pa.binary())]
+    return pa.table(dict(zip([c.split()[0] for c in PIECE.split(", ")], cols, strict=True)))
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +162,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     n_docs, mean = total["docs"], total["ids"] / max(1, total["docs"])
 
     dealt = known.withColumn("shard", F.pmod(F.xxhash64("salt", "doc_id"), F.lit(shards)))
-    pieces = dealt.groupBy("shard").applyInPandas(lambda pdf: _packed(pdf, df, n_docs, mean, window, width), PIECE)
+    pieces = dealt.groupBy("shard").applyInArrow(lambda t: _packed(t, df, n_docs, mean, window, width), PIECE)
     return pieces.select("doc_id", "start", "length", "doc_tokens", F.expr("shiftleft(shard, 32) + nth").alias("sequence_id"), "offset", "ids")
 
 

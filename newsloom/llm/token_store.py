@@ -13,11 +13,11 @@ checkpoint. Counts tell where documents begin, since the end id may also occur i
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,40 +34,50 @@ COUNTED = RAW + ", tokens array<long>, ns array<long>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
-    ids: list[bytes] = []
-    docs: list[int | None] = []
-    counts: list[int] = []
-    part, block, start = 0, 0, 0
+    enc = encoder(path, width)
+    size = np.dtype(width).itemsize
+    held: list[pa.RecordBatch] = []  # (doc_id, ids) of the open block
+    part, block, start, n_ids = 0, 0, 0, 0
     total = np.zeros(0, np.int64)
 
     def close(last: bool = False) -> pa.RecordBatch:
-        nonlocal block, start, ids, docs, counts, total
-        n, payload = sum(counts), b"".join(ids)
+        nonlocal block, start, n_ids, held, total
+        payload = b"".join(_values(b.column(1)) for b in held)
+        counts = [n // size for b in held for n in pc.binary_length(b.column(1)).to_pylist()]
         got = np.bincount(np.frombuffer(payload, width), minlength=len(total))
         got[: len(total)] += total
         total = got
         at = np.flatnonzero(total) if last else np.empty(0, np.int64)
-        row = [[part], [block], [start], [n], [docs], [counts], [payload], [at], [total[at]]]
-        block, start, ids, docs, counts = block + 1, start + n, [], [], []
+        row = [[part], [block], [start], [n_ids], [[d for b in held for d in b.column(0).to_pylist()]], [counts], [payload], [at], [total[at]]]
+        block, start, n_ids, held = block + 1, start + n_ids, 0, []
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    held = 0
     for batch in batches:
-        for doc, text, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            part = p
-            one = enc.encode(text) + end
-            ids.append(np.frombuffer(one, "<u4").astype(width).tobytes())
-            docs.append(doc)
-            counts.append(len(one) // 4)
-            held += len(one) // 4
-            if held >= BLOCK_IDS:
+        if not batch.num_rows:
+            continue
+        part = batch.column(2)[0].as_py()
+        ids = enc.column(batch.column(1), end_id)
+        rows = pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        ends = np.cumsum(pc.binary_length(ids).to_numpy().astype(np.int64) // size)
+        a = 0
+        while a < len(ends):
+            before = int(ends[a - 1]) if a else 0
+            b = int(np.searchsorted(ends, before + BLOCK_IDS - n_ids)) + 1  # the document that fills the block is its last
+            held.append(rows.slice(a, b - a))
+            n_ids += int(ends[min(b, len(ends)) - 1]) - before
+            a = b
+            if n_ids >= BLOCK_IDS:
                 yield close()
-                held = 0
-    if docs or block:
+    if held or block:
         yield close(last=True)
 
 
+def _values(column: pa.Array) -> memoryview:
+    """The bytes of all rows of a binary column, one after the other."""
+    places = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2])[places[0] : places[-1]]
+
+
 def _mapped(batches: Iterator[pa.RecordBatch], spec: tuple, width: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     table = rans.Table(*spec)
     for batch in batches:
@@ -151,7 +161,3 @@ def digest(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     write_store(docs, path, vocabulary, end_id)
     back = read_store(docs.sparkSession, path)
     return back.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())

@@ -1,30 +1,39 @@
 """Token ids of whole texts by the tokenizers library, with memory of pieces seen before.
 
 Both vocabularies split a text before they merge, and some split points can be told from white
-space alone: a space between two other characters always starts a new piece. A text is cut there,
-and the ids of each distinct piece are asked of the library once per worker and kept as bytes.
-Texts with unusual white space go to the library as a whole.
+space alone: a space or a line end between two other characters always starts a new piece. Columns of
+texts are cut there by Arrow, which also finds the distinct pieces; the ids of each are asked of the
+library once per worker and kept as bytes, and a take over them gives the ids of all texts. Texts
+with unusual white space, or with the string of an added token, go to the library as a whole.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from newsloom.llm.base import row_chunks
+
 # How the two kinds of vocabulary split a text before they merge.
 SPACED_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 
-#: Pieces a worker remembers in each of two generations; a full one becomes the older, which goes.
-REMEMBERED = 450_000
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words a worker remembers; a full memory still takes those that a chunk repeats, and starts anew a quarter beyond.
+REMEMBERED = 800_000
+#: Parts with other characters than letters that a worker remembers, and characters of the longest.
+PARTS, LONGEST = 100_000, 256
+#: Bytes of texts that are cut into pieces at once.
+CHUNK = 8 << 20
+ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 CONTROL = re.compile("[\x1c-\x1f]")
-PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
-_open: dict[str, PieceEncoder] = {}
+#: Starts a piece that has no space before it; texts that hold it are not cut.
+BARE = "\x1d"
+_open: dict[tuple[str, str], PieceEncoder] = {}
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -37,81 +46,133 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
-class _Pieces(dict):
-    """Ids by piece; what neither generation knows is computed."""
-
-    def __init__(self, compute):
-        self.compute, self.older = compute, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.compute(piece)
-        self[piece] = ids
-        return ids
-
-
 class PieceEncoder:
-    """Text to ids, as little-endian unsigned 32-bit integers in bytes."""
+    """Texts to ids, as little-endian unsigned integers in bytes (``width``: "<u2" or "<u4")."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, width: str = "<u4"):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
+        self.words = Tokenizer(self.model)  # words as they are, not normalised, not split
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spaced = self.tokenizer.normalizer is None  # a piece keeps the space before it
+        added = [("(?i:%s)" if t.normalized else "%s") % re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        before_space = ["[ \\n\\t\\r\\x0b\\x0c] "] if self.spaced else []  # white space before a space may be one piece with it
+        self.uncut = "|".join([ODD_SPACE, *before_space, *added])
         self.letters = byte_alphabet()
-        self.marks = {c: struct.pack("<I", *(t.id for t in self.model.tokenize(c))) for c in ".,"}
-        self.known = _Pieces(self._piece)
-        self.split = regex.compile(SPACED_SPLIT if self.spaced else PLAIN_SPLIT)
+        self.width = np.dtype(width)
+        self.pack = [struct.Struct(f"<{n}{'H' if self.width.itemsize == 2 else 'I'}").pack for n in range(16)]
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token.removesuffix(self.model.end_of_word_suffix or ""))
+        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.marks = {c: self._part(c) for c in ".,\n"}
+        self.split = regex.compile(SPACED_SPLIT if self.spaced else PLAIN_SPLIT)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, self.width).tobytes()
 
     def whole(self, text: str) -> bytes:
         """Straight from the library."""
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        """The ids of one text; a null one has none."""
+        return self.column(pa.array([text], pa.string()))[0].as_py()
+
+    def column(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The ids of each text as binary, with the end id after them if there is one; null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        parts = [self._chunk(texts.slice(a, b - a), end) for a, b in row_chunks(texts, CHUNK)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _chunk(self, texts: pa.Array, end: int | None) -> pa.Array:
+        uncut = pc.match_substring_regex(texts, self.uncut)
         if self.spaced:
-            if self._odd(text):
-                return self.whole(text)
-            first, *pieces = text.split(" ")
-            return self.whole(first) + self._join(pieces)
-        if not text.isascii() and ODD_SPACE.search(text) or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.whole(text)
-        return self._join(text.split())
-
-    @staticmethod
-    def _odd(text: str) -> bool:
-        """White space before a space: the run may be one piece."""
-        if "  " in text or "\n " in text or "\t " in text or "\r " in text or "\x0b " in text or "\x0c " in text:
-            return True
-        if text.isascii():
-            return any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return ODD_SPACE.search(text) is not None
-
-    def _join(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, pieces))
-
-    def _piece(self, piece: str) -> bytes:
-        """Runs of letters are one split of the vocabulary and skip the library's splitting."""
-        word, tail = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-        if word.isalpha() and (plain := self._letters_only(word)) is not None:
-            if tail:
-                return self.known[word] + self.marks[tail]
-            ids = [t.id for t in self.model.tokenize(plain)]
-            return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else np.array(ids, "<u4").tobytes()
-        return self._mixed(piece)
-
-    def _mixed(self, piece: str) -> bytes:
+            lines = pc.if_else(pc.match_substring_regex(texts, r"\n\n|\n\z"), texts, pc.replace_substring(texts, "\n", f" {BARE}\n"))
+            lists = pc.split_pattern(pc.if_else(uncut, BARE, pc.binary_join_element_wise(BARE, lines, "")), " ")
+        else:
+            lists = pc.ascii_split_whitespace(pc.if_else(uncut, BARE, texts))
+        pieces, ends = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        parts, table = self._atoms(pieces.dictionary)
+        atoms = np.full((len(pieces), parts.shape[1] + 1), -1, np.int32)
+        atoms[:, :-1] = parts[pieces.indices.to_numpy()]
+        if pc.any(uncut).as_py():
+            rows = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
+            atoms[ends[rows], 0] = np.arange(len(table), len(table) + len(rows))
+            table += [self.whole(t) for t in texts.take(pa.array(rows)).to_pylist()]
+        if end is not None:
+            atoms[ends[1:] - 1, -1] = len(table)
+            table.append(self._packed([end]))
+        flat = atoms.ravel()
+        some = flat >= 0
+        ends = np.concatenate([[0], np.cumsum(some, dtype=np.int64)])[ends.astype(np.int64) * atoms.shape[1]]
+        ids = pa.array(table, pa.binary()).take(pa.array(flat[some]))
+        places = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places[ends].tobytes()), ids.buffers()[2]])
+
+    def _atoms(self, pieces: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """(up to three places in the table for each distinct piece, -1 for none; the table of ids)."""
+        flags = lambda c: c.to_numpy(zero_copy_only=False)
+        word = pieces
+        if self.spaced:
+            bare = pc.starts_with(pieces, BARE)
+            word = pc.if_else(bare, pc.utf8_slice_codeunits(word, 1), word)
+            line = pc.and_(bare, pc.starts_with(word, "\n"))
+            word = pc.if_else(line, pc.utf8_slice_codeunits(word, 1), word)
+        stop, comma = pc.ends_with(word, "."), pc.ends_with(word, ",")
+        word = pc.if_else(pc.or_(stop, comma), pc.utf8_slice_codeunits(word, 0, -1), word)
+        plain = pc.utf8_is_alpha(word)
+        if self.spaced:
+            word = pc.if_else(bare, word, pc.binary_join_element_wise("", word, " "))
+        else:  # beyond Latin-1 letters may have other forms
+            plain = pc.and_(plain, pc.invert(pc.match_substring_regex(word, r"[^\x{00}-\x{ff}]")))
+            word = pc.utf8_lower(word)
+        words = word.filter(plain).dictionary_encode()
+        table = [*self.marks.values(), *self._words(words)]
+        plain = flags(plain)
+        parts = np.full((len(pieces), 3), -1, np.int32)
+        parts[plain, 1] = words.indices.to_numpy() + len(self.marks)
+        if self.spaced:
+            parts[flags(line) & plain, 0] = 2
+        parts[flags(stop) & plain, 2] = 0
+        parts[flags(comma) & plain, 2] = 1
+        rest = np.flatnonzero(~plain)
+        parts[rest, 1] = np.arange(len(table), len(table) + len(rest))
+        table += [self._mixed(p[1:] if p[:1] == BARE else " " + p if self.spaced else p) for p in pieces.take(pa.array(rest)).to_pylist()]
+        return parts, table
+
+    def _words(self, words: pa.DictionaryArray) -> list[bytes]:
+        """The ids of the distinct words; those not met before go to the model in one call."""
+        names = words.dictionary.to_pylist()
+        out: list[bytes | None] = list(map(self.known.get, names))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if not new:
+            return out
+        ids = np.array(self.words.encode_batch_fast([[names[i] for i in new]], is_pretokenized=True, add_special_tokens=False)[0].ids, self.width)
+        # a word's tokens spell its bytes, so these tell where the ids of each word end
+        spelled, wanted = np.cumsum(self.lengths[ids]), np.cumsum(pc.binary_length(words.dictionary.take(pa.array(new))).to_numpy().astype(np.int64))
+        last = np.searchsorted(spelled, wanted)
+        if last[-1] != len(ids) - 1 or (spelled[last] != wanted).any():
+            raise ValueError("this vocabulary has words that its tokens do not spell")
+        data, ends = ids.tobytes(), (self.width.itemsize * (last + 1)).tolist()
+        for i, a, b in zip(new, [0, *ends[:-1]], ends, strict=True):
+            out[i] = data[a:b]
+        if len(self.known) >= REMEMBERED:
+            often = np.bincount(words.indices.to_numpy(), minlength=len(names)) > 1
+            new = [i for i in new if often[i]]
+            if len(self.known) >= REMEMBERED + REMEMBERED // 4:
+                self.known.clear()
+        self.known.update((names[i], out[i]) for i in new if len(names[i]) <= LONGEST)
+        return out
+
+    def _mixed(self, text: str) -> bytes:
         """Split as the vocabulary does and ask the model for each part; beyond Latin-1 the library does it all."""
-        text = " " + piece if self.spaced else piece
+        if not text:
+            return b""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -125,35 +186,21 @@ class PieceEncoder:
         return b"".join(map(self._part, parts))
 
     def _part(self, part: str) -> bytes:
-        word = part[1:] if self.spaced and part[0] == " " else part if not self.spaced else ""
-        if word.isalpha():
-            return self.known[word]
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) > 50_000:
-                self.parts.clear()
-            mapped = "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            ids = self._packed([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))])
+            if len(part) <= LONGEST:
+                if len(self.parts) >= PARTS:
+                    self.parts.clear()
+                self.parts[part] = ids
         return ids
 
-    def _letters_only(self, word: str) -> str | None:
-        if self.spaced:
-            return (self.letters[32] + word) if word.isascii() else "".join(map(self.letters.__getitem__, (" " + word).encode()))
-        if word.isascii():
-            return word.lower()
-        try:
-            word.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        word = unicodedata.normalize("NFC", word).lower()
-        return "".join(map(self.letters.__getitem__, word.encode())) if word.isalpha() else None
-
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, width: str = "<u4") -> PieceEncoder:
     """The worker's encoder for that vocabulary file."""
-    if path not in _open:
-        _open[path] = PieceEncoder(path)
-    return _open[path]
+    if (path, width) not in _open:
+        _open[path, width] = PieceEncoder(path, width)
+    return _open[path, width]
 
 
 def vocabulary_size(path: str) -> int:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from newsloom.llm import decontamination, line_dedup, packing, quality, rans, sharding, simhash, suffix_dedup, token_store, tokens
 from newsloom.llm.base import scratch
@@ -39,19 +40,41 @@ def test_byte_shards_are_contiguous_balanced_and_gapless(docs, docs_rows, empty)
     assert sharding.byte_shards(empty).count() == 0
 
 
+def library_ids(name, text, width="<u4"):
+    """The ids by a tokenizer fresh from its file."""
+    if name not in _library:
+        _library[name] = Tokenizer.from_file(vocabulary(name))
+    return np.array(_library[name].encode(plain(text), add_special_tokens=False).ids, width).tobytes()
+
+
+_library = {}
+ODD_TEXTS = [
+    "  a", "a  b", "a \n b", "x\n\n y z", "foo .bar ,", "it's I'll WE'LL", "③ ½ 3.5", "İstanbul ΑΣ ΑΣ. ß é", "a\xa0b c", "\x1c a \x1f", "\x1d\nB", "日本語。", "end ", "end\n ", "a ́b", "😀,",
+    "<|endoftext|> hi", "end.<|endoftext|>", "<|startoftext|>a", "<|ENDOFTEXT|>", "", None, "\n", "\nA b", "a\nb", "a\n\nb", "a\n\n\nb", "a\n", "a \nb", "a\r\nb", "a\r\n\r\nb", "A.\nThe.\nX,\n'tis\n5", "é\né.\nÉ,", " \n", "x\n'll y",
+]
+
+
 @pytest.mark.parametrize("name", [BYTE_VOCABULARY, WORD_VOCABULARY])
-def test_pieces_give_the_librarys_ids(name, docs_rows):
-    enc = tokens.encoder(vocabulary(name))
-    odd = ["  a", "a  b", "a \n b", "x\n\n y z", "foo .bar ,", "it's I'll WE'LL", "③ ½ 3.5", "İstanbul ΑΣ ΑΣ. ß é", "a\xa0b c", "\x1c a \x1f", "<|endoftext|> hi", "日本語。", "end ", "end\n ", "a ́b", "😀,"]
-    for t in [*odd, *(plain(t) for _, t in docs_rows)]:
-        assert enc.encode(t) == (enc.whole(t) if t else b"")
+def test_pieces_give_the_librarys_ids(name, docs_rows, monkeypatch):
+    r = random.Random(3)
+    bits = ["a", "B", "c ", "the", " ", "\n", "\t", "\r", ".", ",", "'s", "'", "é", "É", "ß", "1", "23", "&", "\x1d", "\xa0", "<|endoftext|>", "\u0301", "Ω", "ll", " The"]
+    texts = [*ODD_TEXTS, *(t for _, t in docs_rows), *("".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(3000))]
+    end = np.array([2], "<u2").tobytes()
+    for chunk, remembered in ((tokens.CHUNK, tokens.REMEMBERED), (200, 40)):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        enc = tokens.PieceEncoder(vocabulary(name), "<u2")
+        column = pa.concat_arrays([pa.array(["before"]), pa.array(texts, pa.string())]).slice(1)
+        assert enc.column(column, 2).to_pylist() == [library_ids(name, t, "<u2") + end for t in texts]
+        assert enc.column(pa.array([], pa.string())).to_pylist() == []
+    assert tokens.PieceEncoder(vocabulary(name)).encode("a b.\nc") == library_ids(name, "a b.\nc")
 
 
-def test_generations_of_remembered_pieces(monkeypatch, docs_rows):
-    monkeypatch.setattr(tokens, "REMEMBERED", 5)
-    enc = tokens.PieceEncoder(vocabulary(BYTE_VOCABULARY))
-    for _, t in docs_rows[:20]:
-        assert enc.encode(t) == (enc.whole(t) if t else b"")
+@pytest.mark.parametrize("name", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_very_long_texts_give_the_librarys_ids(name):
+    r = random.Random(4)
+    prose = " ".join("".join(r.choice(["tion", "é", "wh", "ing", "a"]) for _ in range(r.randint(1, 5))) for _ in range(500_000))  # some 5 MB
+    assert tokens.PieceEncoder(vocabulary(name)).encode(prose) == library_ids(name, prose)
 
 
 def test_rans_round_trip_checkpoints_and_checksums():
@@ -118,6 +141,12 @@ def test_packing_places_each_id_once(docs, docs_rows, empty):
     assert len(seqs) == len(by) and all(len(s["ids"]) == 128 for s in seqs)
 
 
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    ids = [None, 2**53 + 1, 2**63 - 1, -(2**63)]
+    pieces = packing.pack(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string"), vocabulary(WORD_VOCABULARY))
+    assert {r["doc_id"] for r in pieces.collect()} == set(ids)
+
+
 def test_packing_prefers_related_documents():
     docs = [np.array([i % 2 * 100 + k for k in range(10)] + [500 + i], np.uint32) for i in range(12)]
     df = np.bincount(np.concatenate(docs), minlength=600)
