@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 OFFSET, PRIME, WORD = 2166136261, 16777619, 0xFFFFFFFF
+# Backgrounds of a cover, and numbers drawn for its tones before the background is.
+PLATES, TONE_DRAWS = 100, 12
 
 
 def hash32(c: Column) -> Column:
@@ -40,14 +42,30 @@ def draws(seed: int, n: int) -> list[float]:
     return out
 
 
-def random_draws(seed: Column, n: int) -> Column:
-    """An array of the generator's first n numbers for a seed (Python: 32-bit wrapping products)."""
+def _times(a: Column, b: Column) -> Column:
+    """The product of two 32-bit numbers modulo 2**32, by halves that stay within a long."""
+    high = (F.shiftright(a, 16) * b).bitwiseAND(F.lit(0xFFFF)) * F.lit(0x10000)
+    return (a.bitwiseAND(F.lit(0xFFFF)) * b + high).bitwiseAND(F.lit(WORD))
 
-    @F.pandas_udf("array<double>")
-    def many(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: draws(int(x), n))
 
-    return many(seed)
+def random_draws(seed: Column, n: int) -> Column:
+    """An array of the generator's first n numbers for a seed; each depends on the seed and its place alone."""
+    step = lambda v, f: F.transform(v, f)
+    state = step(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")), lambda k: (seed + k * F.lit(0x6D2B79F5).cast("long")).bitwiseAND(F.lit(WORD)))
+    first = step(state, lambda a: _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1))))
+    second = step(first, lambda t: (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(WORD)).bitwiseXOR(t))
+    return step(second, lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0))
+
+
+def cover_choice(seed: Column, motifs: Column, plates: int = PLATES, tone_draws: int = TONE_DRAWS) -> Column:
+    """struct(plate, motif): a cover's background number and its subject of those its section allows (null without any).
+
+    The generator is seeded with the hash of a text; its first numbers go into the cover's tones.
+    """
+    d = random_draws(hash32(seed), tone_draws + 2)
+    n = F.coalesce(F.size(motifs), F.lit(0))
+    motif = F.when(n > 0, F.get(motifs, F.floor(d[tone_draws + 1] * n).cast("int")))
+    return F.struct(F.floor(d[tone_draws] * plates).cast("int").alias("plate"), motif.alias("motif"))
 
 
 @F.pandas_udf(StringType())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 
@@ -52,25 +51,36 @@ def _stem(w: Column) -> Column:
     return F.when((F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, 1, F.length(w) - 1)).otherwise(w)
 
 
+def word_list(c: Column) -> Column:
+    """All words in order; the token sets below are made of them."""
+    return _pieces(c, r"[^a-z0-9\s]")
+
+
+def cluster_tokens_of(words: Column) -> Column:
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
+
+
+def class_tokens_of(words: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)), _stem))
+
+
+def overlap_tokens_of(words: Column) -> Column:
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) > 3))
+
+
 def class_tokens(c: Column) -> Column:
     """Distinct stemmed tokens of more than two characters, without function words."""
-    kept = F.filter(_pieces(c, r"[^a-z0-9\s]"), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
-    return F.array_distinct(F.transform(kept, _stem))
+    return class_tokens_of(word_list(c))
 
 
 def cluster_tokens(c: Column) -> Column:
     """As class_tokens, but not stemmed."""
-    return F.array_distinct(F.filter(_pieces(c, r"[^a-z0-9\s]"), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
+    return cluster_tokens_of(word_list(c))
 
 
 def overlap_tokens(c: Column) -> Column:
     """Distinct tokens of more than three characters, function words included."""
-    return F.array_distinct(F.filter(_pieces(c, "[^a-z0-9 ]"), lambda w: F.length(w) > 3))
-
-
-def word_list(c: Column) -> Column:
-    """All words in order."""
-    return _pieces(c, r"[^a-z0-9\s]")
+    return overlap_tokens_of(word_list(c))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -200,7 +210,3 @@ def via_publisher(title: Column) -> Column:
     """The outlet an aggregator names after the last spaced dash of a title, or null."""
     got = F.regexp_extract(_text(title), r"\s[-–—]\s([^-–—]{2,40})$", 1)
     return F.when(got == "", None).otherwise(F.trim(got))
-
-
-def unescaped(text: str) -> str:
-    return html.unescape(text)

@@ -113,12 +113,62 @@ def review(scores: DataFrame, marks: list[str]) -> DataFrame:
 
 
 def review_binding(reviews: DataFrame, editions: DataFrame) -> DataFrame:
-    """date, state: bound, mismatch, unbound or missing, by the hash a review was made on."""
+    """date, state: bound, mismatch, unbound, unreadable or missing, by the hash a review was made on.
+
+    reviews: date, reviewed, sha256, and where files may fail to parse readable.
+    """
     joined = editions.join(reviews, "date", "left")
-    state = F.when(F.col("reviewed").isNull(), "missing").when(F.col("sha256").isNull(), "unbound").when(F.col("sha256") != F.col("hash"), "mismatch").otherwise("bound")
+    bad = ~F.coalesce("readable", F.lit(True)) if "readable" in reviews.columns else F.lit(False)
+    state = F.when(F.col("reviewed").isNull(), "missing").when(bad, "unreadable").when(F.col("sha256").isNull(), "unbound").when(F.col("sha256") != F.col("hash"), "mismatch").otherwise("bound")
     return joined.select("date", state.alias("state"))
 
 
 def open_listings(listings: DataFrame, as_of: str) -> DataFrame:
     """Listings whose deadline has not passed, the nearest first."""
     return listings.where(F.col("deadline") >= F.lit(as_of).cast("date")).orderBy("deadline", "name")
+
+
+def recent_stories(editions: DataFrame, stories: DataFrame, most: int = 3) -> DataFrame:
+    """date, number, title, pos, prominence, headline of the newest editions, newest first: what not to repeat."""
+    newest = editions.select("date", "number", "title").orderBy(F.col("date").desc()).limit(most)
+    rows = stories.select("date", "pos", "prominence", "headline").join(F.broadcast(newest), "date")  # a handful of editions
+    return rows.select("date", "number", "title", "pos", "prominence", "headline").orderBy(F.col("date").desc(), "pos")
+
+
+def with_label(stories: DataFrame, beats: DataFrame, beat: str = "beat") -> DataFrame:
+    """stories with beat_label: the section's label, or the raw id where no section has it."""
+    known = beats.select(F.col("id").alias(beat), F.col("label").alias("__label"))
+    return stories.join(F.broadcast(known), beat, "left").withColumn("beat_label", F.coalesce("__label", beat)).drop("__label")  # a row a section
+
+
+def first_uses(citations: DataFrame) -> DataFrame:
+    """url, first_date, first_id: where a source was first cited.
+
+    citations: url, date, id, pos.
+    """
+    one = citations.groupBy("url").agg(F.min_by(F.struct("date", "id"), F.struct("date", "pos")).alias("f"))
+    return one.select("url", F.col("f.date").alias("first_date"), F.col("f.id").alias("first_id"))
+
+
+def harvest_envelope(runs: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """feed_count, ok_count, item_count and feeds (feed, ok, count, error) of each run, as its file's head tells them."""
+    one = F.struct("feed", "ok", F.col("n").alias("count"), "error")
+    told = runs.groupBy(*by).agg(F.count("*").alias("feed_count"), F.count_if("ok").alias("ok_count"), F.array_sort(F.collect_list(one)).alias("feeds"))
+    return told.join(items.groupBy(*by).agg(F.count("*").alias("item_count")), by, "left").na.fill(0, ["item_count"])
+
+
+def manifest(editions: DataFrame, signals: DataFrame, base_url: str) -> DataFrame:
+    """A row an edition, newest first: date, number, title, url, data, and its signals.
+
+    editions: date, number, title; signals as `edition_signals` gives them.
+    """
+    day = F.date_format("date", "yyyy-MM-dd")
+    own = signals.where("date is not null").drop("is_total")
+    rows = editions.select("date", "number", "title", F.concat(F.lit(f"{base_url}/edition/"), day, F.lit(".html")).alias("url"), F.concat(F.lit(f"{base_url}/generated/"), day, F.lit(".json")).alias("data"))
+    return rows.join(own, "date", "left").orderBy(F.col("date").desc())
+
+
+def manifest_head(editions: DataFrame, stories: DataFrame) -> DataFrame:
+    """edition_count, story_count, latest and built_at (the newest edition's time, not the clock)."""
+    head = editions.agg(F.count("*").alias("edition_count"), F.max("date").alias("latest"), F.max_by("generated_at", "date").alias("built_at"))
+    return head.join(F.broadcast(stories.agg(F.count("*").alias("story_count"))))  # one row each

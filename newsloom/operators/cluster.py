@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import cluster_tokens
@@ -48,8 +48,10 @@ def cluster_greedy(
 ) -> DataFrame:
     """df with cluster (a number within its batch), by one ordered pass over each batch.
 
-    The pass depends on order, so a batch is one task: choose batches of bounded size (a run, a
-    day, a source). Missing dates count as the start of 2000, so they meet each other only.
+    The pass depends on order, so it is one task for each spell of a batch: items farther apart in time than the
+    window cannot share a cluster, so a batch is divided at its longer gaps, exactly. Choose batches of
+    bounded size (a run, a day, a source). Missing dates count as the start of 2000, so they meet each other only.
+    Clusters are numbered in order of arrival within their batch.
     """
     narrow = df.select(
         batch,
@@ -58,39 +60,40 @@ def cluster_greedy(
         F.unix_micros(F.coalesce(F.col(published).cast("timestamp"), F.lit(UNDATED).cast("timestamp"))).alias("at"),
         F.struct(*order).alias("__order"),
     )
-    narrow = narrow.select(batch, item, "tokens", "at", F.row_number().over(_by(batch)).alias("n"))
+    narrow = narrow.select(batch, item, "tokens", "at", F.row_number().over(Window.partitionBy(batch).orderBy("__order")).alias("n"))
+    by_time = Window.partitionBy(batch).orderBy("at")
+    gap = F.col("at") - F.lag("at").over(by_time) > int(window_hours * 3.6e9)
+    narrow = narrow.withColumn("spell", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_time))
     types = dict(df.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         got = fold([set(t) for t in pdf["tokens"]], [a / 1e6 for a in pdf["at"]], similarity, shared, window_hours * 3600)
-        return pd.DataFrame({batch: pdf[batch], item: pdf[item], "cluster": got})
+        first = pdf.groupby(got)["n"].transform("min")
+        return pd.DataFrame({batch: pdf[batch], item: pdf[item], "first": first})
 
-    found = narrow.groupBy(batch).applyInPandas(one, f"{batch} {types[batch]}, {item} {types[item]}, cluster long")
+    found = narrow.groupBy(batch, "spell").applyInPandas(one, f"{batch} {types[batch]}, {item} {types[item]}, first long")
+    found = found.select(batch, item, (F.dense_rank().over(Window.partitionBy(batch).orderBy("first")) - 1).cast("long").alias("cluster"))
     return df.join(found, [batch, item])
 
 
-def _by(batch: str):
-    from pyspark.sql import Window
+def similar_pairs(df: DataFrame, batch: str, item: str, title: str, published: str, similarity: float = SIMILARITY, shared: int = SHARED, window_hours: float = WINDOW_HOURS) -> DataFrame:
+    """a, b: all pairs of items of one batch alike in title and time (order does not matter).
 
-    return Window.partitionBy(batch).orderBy("__order")
-
-
-def similar_pairs(df: DataFrame, batch: str, item: str, title: str, published: str, similarity: float = SIMILARITY, shared: int = SHARED, window_hours: float = WINDOW_HOURS, most_df: int = 1000) -> DataFrame:
-    """a, b: items of one batch alike in title and time, by a token join (order does not matter).
-
-    Other semantics than `cluster_greedy`, for batches beyond one task: tokens in more than
-    ``most_df`` items of a batch do not propose pairs, but count in their similarity.
+    Other semantics than `cluster_greedy`, for batches beyond one task. Sets alike by at least s share a token
+    among the first n - ceil(s n) + 1 of an order common to the batch (rarest first), so only those propose
+    pairs; and pairs lie in the same slot of time or in neighbouring ones, which divides a frequent token.
     """
-    rows = df.select(batch, F.col(item).alias("id"), cluster_tokens(F.col(title)).alias("tokens"), F.unix_micros(F.coalesce(F.col(published).cast("timestamp"), F.lit(UNDATED).cast("timestamp"))).alias("at"))
+    reach = int(window_hours * 3.6e9)
+    at = F.unix_micros(F.coalesce(F.col(published).cast("timestamp"), F.lit(UNDATED).cast("timestamp")))
+    rows = df.select(batch, F.col(item).alias("id"), cluster_tokens(F.col(title)).alias("tokens"), at.alias("at")).where(F.size("tokens") >= shared)
     words = rows.select(batch, "id", "at", "tokens", F.explode("tokens").alias("w"))
-    rare = words.groupBy(batch, "w").count().where(F.col("count").between(2, most_df)).select(batch, "w")
-    words = words.join(rare, [batch, "w"])
-    a, b = words.alias("a"), words.alias("b")
-    near = a.join(b, (F.col(f"a.{batch}") == F.col(f"b.{batch}")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")))
-    near = near.where(F.abs(F.col("a.at") - F.col("b.at")) <= window_hours * 3.6e9).dropDuplicates()
-    both = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    every = F.size(F.array_union("a.tokens", "b.tokens"))
-    return near.where((both >= shared) & (both / every >= similarity)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-
-
+    often = words.groupBy(batch, "w").agg(F.count("*").alias("df"))
+    ranked = words.join(often, [batch, "w"]).groupBy(batch, "id", "at", "tokens").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    keep = F.size("s") - F.ceil(F.size("s") * similarity).cast("int") + 1
+    probes = ranked.select(batch, "id", "at", "tokens", F.floor(F.col("at") / max(1, reach)).alias("slot"), F.explode(F.slice("s", 1, keep)).alias("x")).select(batch, "id", "at", "tokens", "slot", F.col("x.w").alias("w"))
+    other = probes.select(batch, "w", F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("tokens").alias("tokens2"), F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])).alias("slot"))
+    both = F.size(F.array_intersect("tokens", "tokens2"))
+    every = F.size("tokens") + F.size("tokens2") - both
+    near = probes.join(other, [batch, "w", "slot"]).where((F.col("id") < F.col("id2")) & (F.abs(F.col("at") - F.col("at2")) <= reach))
+    return near.where((both >= shared) & (both / every >= similarity)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()

@@ -25,17 +25,22 @@ def append_new(known: DataFrame, leads: DataFrame, key: str = "url") -> DataFram
 
 
 def suffix_collisions(df: DataFrame, id_col: str, order: list[str], within: list[str] = ()) -> DataFrame:
-    """The nth row of an id gets -n; a suffixed id that is itself taken moves on to the next free number."""
+    """The nth row of an id gets -n; a suffixed id that is itself taken moves on to the next free number.
+
+    Where no number is taken n itself is free. Else the free number is n plus the taken ones before it: the
+    taken numbers, less those before each, are sorted, and a row counts how many of them are not above its own n.
+    """
     scope = list(within)
     w = Window.partitionBy(*scope, id_col).orderBy(*order)
     once = df.withColumn("__n", F.row_number().over(w))
-    firsts = once.where("__n = 1").select(*scope, F.col(id_col).alias("__taken"))
-    held = firsts.withColumn("__base", F.regexp_extract("__taken", r"^(.*)-\d+$", 1)).where("__base <> ''")
-    held = held.groupBy(*scope, "__base").agg(F.collect_set(F.regexp_extract("__taken", r"-(\d+)$", 1).cast("int")).alias("__used"))
-    joined = once.join(held.withColumnRenamed("__base", id_col), [*scope, id_col], "left")
-    used = F.coalesce("__used", F.array().cast("array<int>"))
-    free = F.filter(F.sequence(F.lit(2), F.col("__n") + F.size(used) + 1), lambda k: ~F.array_contains(used, k))
-    new = F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("-"), free[F.col("__n") - 2].cast("string")))
+    taken = df.select(*scope, F.col(id_col).alias("__taken")).distinct()
+    held = taken.select(*scope, F.regexp_extract("__taken", r"^(.*)-\d+$", 1).alias("__base"), F.regexp_extract("__taken", r"-([1-9]\d{0,8})$", 1).alias("__k")).where("__base <> '' and __k <> ''")
+    used = F.array_sort(F.collect_set(F.col("__k").cast("long")))
+    held = held.where(F.col("__k").cast("long") >= 2).groupBy(*scope, "__base").agg(used.alias("__used"))
+    held = held.select(*scope, F.col("__base").alias(id_col), F.transform("__used", lambda k, i: k - i).alias("__free"))
+    joined = once.join(held, [*scope, id_col], "left")
+    before = F.when(F.col("__free").isNull(), 0).otherwise(F.size(F.filter("__free", lambda k: k <= F.col("__n"))))
+    new = F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("-"), (F.col("__n") + before).cast("string")))
     return joined.withColumn(id_col, new).select(*df.columns)
 
 

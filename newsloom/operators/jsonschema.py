@@ -63,16 +63,16 @@ def unsupported(schema: Any, where: str = "#") -> list[str]:
     for holder in ("properties", "$defs"):
         for name, sub in schema.get(holder, {}).items():
             out += unsupported(sub, f"{where}/{holder}/{name}")
-    return out + unsupported(schema.get("items"), f"{where}/items")
+    return out + unsupported(schema.get("items"), f"{where}/items") + unsupported(schema.get("additionalProperties"), f"{where}/additionalProperties")
 
 
 def resolve(schema: dict, root: dict) -> dict:
-    """Follow local references."""
+    """Follow local references; what stands beside one holds as well."""
     while "$ref" in schema:
         at: Any = root
         for part in schema["$ref"].lstrip("#/").split("/"):
             at = at[part]
-        schema = at
+        schema = at | {k: v for k, v in schema.items() if k != "$ref"}
     return schema
 
 
@@ -102,6 +102,8 @@ def breaches(value: Any, schema: dict, root: dict | None = None, path: str = "")
                 yield from breaches(sub, known[name], root, f"{path}/{name}")
             elif schema.get("additionalProperties") is False:
                 yield f"{path}/{name}", "additionalProperties"
+            elif isinstance(schema.get("additionalProperties"), dict):
+                yield from breaches(sub, schema["additionalProperties"], root, f"{path}/{name}")
     if isinstance(value, list) and "items" in schema:
         for i, sub in enumerate(value):
             yield from breaches(sub, schema["items"], root, f"{path}/{i}")

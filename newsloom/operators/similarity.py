@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import overlap_tokens, word_list
@@ -33,23 +33,21 @@ def first_restated(docs: DataFrame, id_col: str, title: Column, order: str, at_l
 def shared_runs(left: DataFrame, right: DataFrame, left_id: str, left_text: Column, right_id: str, right_text: Column, more_than: int = 7) -> DataFrame:
     """left_id, right_id, run_len, run_end: the longest common run of words of each pair beyond ``more_than``.
 
-    Only runs of more_than + 1 words matter, so equal grams of that many words propose the pairs;
-    grams that follow each other on a diagonal are one run (gaps and islands). Of equally long
-    runs the one that ends first on the left counts.
+    Only runs of more_than + 1 words matter, so equal grams of that many words propose the pairs (by
+    128 bits of hashes); grams that follow each other on a diagonal are one run (gaps and islands). Of equally
+    long runs the one that ends first on the left counts.
     """
     n = more_than + 1
 
     def grams(df: DataFrame, key: str, text: Column, side: str) -> DataFrame:
         words = df.select(F.col(key).alias(f"{side}_id"), word_list(text).alias("w")).where(F.size("w") >= n)
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(i.alias("at"), F.slice("w", i, n).alias("gram")))
-        return words.select(f"{side}_id", F.explode(runs).alias("g")).select(f"{side}_id", F.col("g.at").alias(f"{side}_at"), F.col("g.gram").alias("gram"))
-
-    met = grams(left, left_id, left_text, "left").join(grams(right, right_id, right_text, "right"), "gram")
-    from pyspark.sql import Window
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, n)).alias("h1"), F.xxhash64(F.lit(n), F.slice("w", i, n)).alias("h2")))
+        return words.select(f"{side}_id", F.explode(runs).alias("g")).select(f"{side}_id", F.col("g.at").alias(f"{side}_at"), "g.h1", "g.h2")
 
+    met = grams(left, left_id, left_text, "left").join(grams(right, right_id, right_text, "right"), ["h1", "h2"])
     line = ["left_id", "right_id", F.col("left_at") - F.col("right_at")]
     w = Window.partitionBy(*line).orderBy("left_at")
-    lone = met.drop("gram").distinct().withColumn("diag", F.col("left_at") - F.col("right_at")).withColumn("island", F.col("left_at") - F.row_number().over(w))
+    lone = met.drop("h1", "h2").distinct().withColumn("diag", F.col("left_at") - F.col("right_at")).withColumn("island", F.col("left_at") - F.row_number().over(w))
     runs = lone.groupBy("left_id", "right_id", "diag", "island").agg((F.count("*") + (n - 1)).alias("run_len"), (F.max("left_at") + (n - 1)).alias("run_end"))
     best = runs.groupBy("left_id", "right_id").agg(F.max_by(F.struct("run_len", "run_end"), F.struct("run_len", -F.col("run_end"))).alias("m"))
     return best.select("left_id", "right_id", "m.run_len", "m.run_end")

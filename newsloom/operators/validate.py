@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.functions.dates import hours_between
 from newsloom.functions.urls import host_of
-from newsloom.operators.archive import beat_coverage, review_binding
+from newsloom.operators.archive import beat_coverage, first_uses, review_binding
 from newsloom.operators.lookup import host_matches
 from newsloom.operators.similarity import first_restated
 
@@ -102,7 +102,7 @@ def source_rules(stories: DataFrame, publishers: DataFrame, blocked: DataFrame,
     c = cited(stories).withColumn("host", host_of(F.col("url")))
     c = c.join(host_matches(c, publishers, blocked).withColumnRenamed("publisher", "known"), "host", "left")
     c = c.withColumn("listed", F.col("known") != F.col("host"))
-    first_use = c.groupBy("url").agg(F.min("date").alias("first_date"))
+    first_use = first_uses(c.select("url", "date", F.col("story").alias("id"), "pos"))
     in_edition = Window.partitionBy("date", "url").orderBy("pos", "src_pos")
     c = c.join(first_use, "url").withColumn("__first", F.first("story").over(in_edition))
     end = F.timestamp_add("HOUR", F.lit(48), F.col("date").cast("timestamp"))  # a day beyond the edition's last hour
@@ -168,9 +168,9 @@ def copied_rules(stories: DataFrame) -> DataFrame:
 
 
 def review_rules(reviews: DataFrame, editions: DataFrame) -> DataFrame:
-    """V40: a review made on other stories is an error, one without a binding a warning."""
+    """V40: a review made on other stories or one that cannot be read is an error, one without a binding a warning."""
     state = review_binding(reviews, editions)
-    return _rows(state, [("V40", "E", F.col("state") == "mismatch"), ("V40", "W", F.col("state") == "unbound")], _none(), F.col("state"))
+    return _rows(state, [("V40", "E", F.col("state").isin("mismatch", "unreadable")), ("V40", "W", F.col("state") == "unbound")], _none(), F.col("state"))
 
 
 def coverage_rules(stories: DataFrame, beats: DataFrame) -> DataFrame:
@@ -182,20 +182,50 @@ def coverage_rules(stories: DataFrame, beats: DataFrame) -> DataFrame:
     return _rows(full, rules, _none(), F.col("beat"))
 
 
+def shape_rules(breaches: DataFrame) -> DataFrame:
+    """V1: what `jsonschema.conforming` found wrong (date, path, keyword)."""
+    return breaches.select("date", _none().alias("story"), F.lit("V1").alias("rule"), F.lit("E").alias("severity"), F.concat_ws(" ", "path", "keyword").alias("detail"))
+
+
 def validate(
-    editions: DataFrame, stories: DataFrame, beats: DataFrame, publishers: DataFrame, blocked: DataFrame, reviews: DataFrame | None = None, limits: Limits = Limits(), style: list[tuple[str, str]] = ()
-) -> DataFrame:  # noqa: B008
-    """All violations of all editions; history is whatever of the same tables is older."""
+    editions: DataFrame,
+    stories: DataFrame,
+    beats: DataFrame,
+    publishers: DataFrame,
+    blocked: DataFrame,
+    reviews: DataFrame | None = None,
+    limits: Limits = Limits(),  # noqa: B008
+    style: list[tuple[str, str]] = (),
+    breaches: DataFrame | None = None,
+) -> DataFrame:
+    """All violations of all editions; history is whatever of the same tables is older.
+
+    Of a date with breaches of shape only these are told: its other rules would be noise.
+    """
+    if breaches is not None:
+        wrong = breaches.select("date").distinct()
+        editions, stories = (df.join(wrong, "date", "left_anti") for df in (editions, stories))
     out = edition_rules(editions, stories, limits)
     for part in (story_rules(stories, beats, list(style)), source_rules(stories, publishers, blocked, limits), restated_rules(stories), copied_rules(stories), coverage_rules(stories, beats)):
         out = out.unionByName(part)
-    return out if reviews is None else out.unionByName(review_rules(reviews, editions))
+    out = out if reviews is None else out.unionByName(review_rules(reviews, editions))
+    return out if breaches is None else out.unionByName(shape_rules(breaches))
+
+
+def results(violations: DataFrame, editions: DataFrame) -> DataFrame:
+    """A row an edition: date, errors and warnings (each rule, story and detail, in order)."""
+    told = F.concat_ws(" ", "rule", "story", "detail")
+    of = lambda level: F.array_sort(F.collect_list(F.when(F.col("severity") == level, told)))
+    found = violations.groupBy("date").agg(of("E").alias("errors"), of("W").alias("warnings"))
+    none = F.array().cast("array<string>")
+    return editions.select("date").unionByName(violations.select("date")).distinct().join(found, "date", "left").select("date", F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings"))
 
 
-def report(violations: DataFrame, strict: bool = False) -> DataFrame:
-    """total_errors, total_warnings, passed."""
+def report(violations: DataFrame, strict: bool = False, ran_at: str | None = None) -> DataFrame:
+    """ran_at, strict, total_errors, total_warnings, passed; `results` has the rows of each edition."""
     errors, warnings = F.count_if(F.col("severity") == "E"), F.count_if(F.col("severity") == "W")
-    return violations.agg(errors.alias("total_errors"), warnings.alias("total_warnings")).withColumn("passed", (F.col("total_errors") == 0) & (F.lit(not strict) | (F.col("total_warnings") == 0)))
+    out = violations.agg(F.lit(ran_at).cast("string").alias("ran_at"), F.lit(strict).alias("strict"), errors.alias("total_errors"), warnings.alias("total_warnings"))
+    return out.withColumn("passed", (F.col("total_errors") == 0) & (F.lit(not strict) | (F.col("total_warnings") == 0)))
 
 
-__all__ = ["Limits", "beat_coverage", "cited", "longest_run", "report", "validate"]
+__all__ = ["Limits", "beat_coverage", "cited", "longest_run", "report", "results", "validate"]

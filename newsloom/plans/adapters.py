@@ -82,8 +82,8 @@ def edition_stories(spark: SparkSession, sf_dir: str, per_edition: int = 11) ->
     lines = F.split("text", "\n", -1)
     kind = F.when(F.col("pos") == 0, "lead").when(F.col("pos") < 5, "top").when(F.col("pos") < 7, "standard").otherwise("brief")
     p = pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
-    src = d.select("doc_id", F.posexplode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("k", "_")).withColumn("page_id", (F.col("doc_id") * 3 + F.col("k")) % n).join(p, "page_id")
-    one = F.struct("k", "title", F.lit("Someone").alias("publisher"), "url", F.lit(None).cast("timestamp").alias("publishedAt"), (F.col("page_id") % 5).cast("int").alias("tier"))
+    src = d.select("doc_id", "date", F.posexplode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("k", "_")).withColumn("page_id", (F.col("doc_id") * 3 + F.col("k")) % n).join(p, "page_id")
+    one = F.struct("k", "title", F.lit("Someone").alias("publisher"), "url", F.timestamp_add("DAY", (F.col("page_id") * 7 % 42 - 38).cast("int"), F.col("date").cast("timestamp")).alias("publishedAt"), (F.col("page_id") % 5).cast("int").alias("tier"))
     src = src.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["title"], x["publisher"], x["url"], x["publishedAt"], x["tier"])).alias("sources"))
     slug = F.concat(F.lit("story-"), (F.col("doc_id") % 97).cast("string"))
     stories = d.join(src, "doc_id").select(

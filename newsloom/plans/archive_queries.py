@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from newsloom import config as C
 from newsloom.config import TEST
-from newsloom.operators import archive, select, validate
+from newsloom.operators import archive, jsonschema, select, validate
 from newsloom.plans.adapters import MENTIONS, citations, edition_stories, feed_runs, mentions, order_stories, table
 from newsloom.plans.pipeline_queries import BEATS, HOSTED
 from newsloom.plans.registry import query
-from newsloom.plans.text_queries import HOST, sql_overlap_tokens
+from newsloom.plans.text_queries import HOST, LINT, STOP, sql_overlap_tokens, sql_words
 from newsloom.sources import sinks
 
 # editions ---------------------------------------------------------------------------------------
@@ -190,11 +190,16 @@ def orphan_outputs(spark, sf_dir):
 
 @query(
     "lock_changes",
-    "WITH a AS (SELECT doc_id AS id, n_chars AS new FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id AS id, n_chars + (doc_id % 3 = 0)::INT AS old FROM documents WHERE doc_id % 7 <> 0) SELECT id, old, new, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'gone' WHEN old <> new THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b USING (id)",
+    "WITH a AS (SELECT page_id AS id, length(html) AS new FROM pages), b AS (SELECT doc_id AS id, n_chars AS old FROM documents), c AS (SELECT doc_id AS id, n_chars AS new FROM documents UNION ALL SELECT -1 - id, new FROM a), "
+    "d AS (SELECT id, old FROM b JOIN labels ON id = doc_id UNION ALL SELECT -2 - id, new FROM a) "
+    "SELECT id, old, new, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'gone' WHEN old <> new THEN 'changed' ELSE 'same' END AS state FROM c FULL JOIN d USING (id)",
 )
 def lock_changes(spark, sf_dir):
+    """Documents against those that have labels, and pages against themselves moved on by one."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("hash"))
-    return sinks.lock_changes(d.where("id % 10 <> 0"), d.where("id % 7 <> 0").withColumn("hash", F.expr("hash + if(id % 3 = 0, 1, 0)")))
+    p = table(spark, sf_dir, "pages").select("page_id", F.char_length("html").cast("long").alias("hash"))
+    known = d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return sinks.lock_changes(d.unionAll(p.select(-1 - F.col("page_id"), "hash")), known.unionAll(p.select(-2 - F.col("page_id"), "hash")))
 
 
 @query(
@@ -215,21 +220,102 @@ def sitemap(spark, sf_dir):
     return sinks.sitemap([(p, "daily", "0.8"), (r, "weekly", "0.5")])
 
 
+@query(
+    "site_map",
+    """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events), e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), w AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
+SELECT 'https://n.example/' || path AS loc, lastmod, changefreq, priority FROM (
+  SELECT unnest(['', 'archive.html', 'topics.html', 'hackathons.html', 'methodology.html', 'legal.html', 'terms.html', 'privacy.html', 'digest.html']) AS path, CAST(NULL AS DATE) AS lastmod,
+    unnest(['daily', 'daily', 'daily', 'weekly', 'monthly', 'yearly', 'yearly', 'yearly', 'hourly']) AS changefreq, unnest(['1.0', '0.6', '0.6', '0.7', '0.4', '0.3', '0.2', '0.2', '0.6']) AS priority
+  UNION ALL SELECT 'digest/' || strftime(date, '%Y-%m-%d') || '.html', date, 'weekly', '0.4' FROM d UNION ALL SELECT 'wire/' || strftime(date, '%Y-%m-%d') || '.html', date, 'yearly', '0.2' FROM w
+  UNION ALL SELECT 'entity/' || lower(n_name) || '.html', max(CAST(o_orderdate AS DATE)), 'weekly', '0.5' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1
+  UNION ALL SELECT 'edition/' || strftime(date, '%Y-%m-%d') || '.html', date, 'monthly', '0.7' FROM e UNION ALL SELECT 'story/' || o_orderkey, CAST(o_orderdate AS DATE), 'monthly', '0.8' FROM orders)""",
+)
+def site_map(spark, sf_dir):
+    days = lambda t, c: table(spark, sf_dir, t).select(F.to_date(c).alias("date")).distinct()
+    stories = table(spark, sf_dir, "orders").select(F.concat(F.lit("story/"), F.col("o_orderkey").cast("string")).alias("path"), F.to_date("o_orderdate").alias("date"))
+    return sinks.site_map(spark, "https://n.example", days("orders", "o_orderdate"), stories, archive.entity_index(mentions(spark, sf_dir)), days("events", "ts"), days("lineitem", "l_shipdate"))
+
+
+@query(
+    "manifest",
+    """WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS story, o_orderpriority AS beat, l_partkey AS url, l_suppkey AS publisher, l_linenumber AS tier FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT date, count(DISTINCT story) AS stories, count(DISTINCT url) AS urls, count(*) FILTER (tier = 1) AS primary_sources, count(DISTINCT publisher) AS publishers, count(DISTINCT beat) AS beats FROM s GROUP BY date),
+e AS (SELECT CAST(o_orderdate AS DATE) AS date, min(o_orderkey) AS number, arg_min(o_orderpriority, o_orderkey) AS title FROM orders GROUP BY 1)
+SELECT e.*, 'https://n.example/edition/' || strftime(date, '%Y-%m-%d') || '.html' AS url, 'https://n.example/generated/' || strftime(date, '%Y-%m-%d') || '.json' AS data, stories, urls, primary_sources, publishers, beats FROM e LEFT JOIN g USING (date)""",
+)
+def manifest(spark, sf_dir):
+    return archive.manifest(_editions(spark, sf_dir), archive.edition_signals(citations(spark, sf_dir)), "https://n.example")
+
+
+def _editions(spark, sf_dir) -> DataFrame:
+    day = F.to_date("o_orderdate").alias("date")
+    o = table(spark, sf_dir, "orders").groupBy(day)
+    return o.agg(F.min("o_orderkey").alias("number"), F.min_by("o_orderpriority", "o_orderkey").alias("title"), F.max("o_orderdate").alias("generated_at"))
+
+
+@query("manifest_head", "SELECT count(DISTINCT CAST(o_orderdate AS DATE)) AS edition_count, max(CAST(o_orderdate AS DATE)) AS latest, max(o_orderdate) AS built_at, count(*) AS story_count FROM orders")
+def manifest_head(spark, sf_dir):
+    return archive.manifest_head(_editions(spark, sf_dir), order_stories(spark, sf_dir))
+
+
+@query(
+    "recent_stories",
+    """WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS pos, CASE o_orderkey % 4 WHEN 0 THEN 'lead' WHEN 1 THEN 'top' WHEN 2 THEN 'standard' ELSE 'brief' END AS prominence, o_orderpriority AS headline FROM orders),
+e AS (SELECT date, min(pos) AS number, arg_min(headline, pos) AS title FROM s GROUP BY date ORDER BY date DESC LIMIT 3) SELECT date, number, title, pos, prominence, headline FROM s JOIN e USING (date)""",
+)
+def recent_stories(spark, sf_dir):
+    return archive.recent_stories(_editions(spark, sf_dir), order_stories(spark, sf_dir).withColumn("headline", F.col("beat")))
+
+
+@query("beat_labels", "SELECT doc_id, lang AS beat, CASE lang WHEN 'de' THEN 'Deutsch' WHEN 'fr' THEN 'Français' ELSE lang END AS beat_label FROM documents")
+def beat_labels(spark, sf_dir):
+    known = C.local(spark, [("de", "Deutsch"), ("fr", "Français")], "id string, label string")
+    return archive.with_label(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("beat")), known).select("doc_id", "beat", "beat_label")
+
+
+@query("first_uses", "SELECT url, min(date) AS first_date, arg_min(story, (date, story)) AS first_id FROM (SELECT l_partkey AS url, CAST(o_orderdate AS DATE) AS date, o_orderkey AS story FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY url")
+def first_uses(spark, sf_dir):
+    c = citations(spark, sf_dir)
+    return archive.first_uses(c.select("url", "date", F.col("story").alias("id"), F.col("story").alias("pos")))
+
+
+@query(
+    "harvest_envelope",
+    "SELECT CAST(ts AS DATE) AS day, count(*) AS feed_count, count(*) FILTER (event_type <> 'error') AS ok_count, count(*) FILTER (event_type = 'purchase') AS item_count, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
+)
+def harvest_envelope(spark, sf_dir):
+    runs = feed_runs(spark, sf_dir).withColumn("day", F.to_date("run_at.ts"))
+    items = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.to_date("ts").alias("day"))
+    told = archive.harvest_envelope(runs, items, ["day"])
+    return told.select("day", "feed_count", "ok_count", "item_count", F.size(F.filter("feeds", lambda f: ~f["ok"])).cast("long").alias("failed"))
+
+
 # validation -------------------------------------------------------------------------------------
 
 _TITLE = r"regexp_extract(text, '^[^.\n]+')"
 _DECK = "split_part(text, chr(10), 1)"
 _WORDS = r"len(list_filter(string_split_regex({}, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
+_QUOTED = """regexp_extract_all({}, '"([^"]{{10,}})"', 1)"""
 _STORIES = rf"""
 d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id // 11 AS INTEGER) AS date, doc_id % 11 AS pos, string_split(text, chr(10)) AS lines FROM documents),
 s AS (
-  SELECT CAST(date AS DATE) AS date, doc_id, pos, lines, text, 'story-' || doc_id % 97 AS slug, strftime(date, '%Y-%m-%d') || '-story-' || doc_id % 97 AS id,
+  SELECT CAST(date AS DATE) AS date, doc_id, pos, lines, text, 'story-' || doc_id % 97 AS slug, strftime(date, '%Y-%m-%d') || '-story-' || doc_id % 97 AS id, lang,
     ['north', 'south', 'east', 'west', 'nowhere'][CAST(doc_id % 5 + 1 AS INTEGER)] AS beat, {_TITLE} AS headline, lines[1] AS deck,
     CASE WHEN pos = 0 THEN 'lead' WHEN pos < 5 THEN 'top' WHEN pos < 7 THEN 'standard' ELSE 'brief' END AS prominence,
     CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lines[len(lines)] END AS why, doc_id % 6 + 1 AS minutes, ['high', 'medium', 'low'][CAST(doc_id % 3 + 1 AS INTEGER)] AS confidence, doc_id % 3 + 1 AS n_src FROM d
 ), m AS (SELECT *, CASE WHEN prominence = 'brief' THEN [] ELSE lines END AS body FROM s),
-src AS (SELECT date, id, pos, k, prominence, confidence, page_id % 5 AS declared, p.url, t.host, t.tier, t.publisher, t.blocked FROM (SELECT *, unnest(range(n_src)) AS k FROM m) q JOIN pages p ON p.page_id = (q.doc_id * 3 + k) % (SELECT max(page_id) + 1 FROM pages) JOIN tiers t ON t.url = p.url),
+src AS (SELECT date, id, pos, k, prominence, confidence, page_id % 5 AS declared, CAST(date AS TIMESTAMP) + to_days(CAST(page_id * 7 % 42 - 38 AS INTEGER)) AS published, regexp_extract(p.html, '<title>([^<]*)', 1) AS title, p.url, t.host, t.tier, t.publisher, t.blocked FROM (SELECT *, unnest(range(n_src)) AS k FROM m) q JOIN pages p ON p.page_id = (q.doc_id * 3 + k) % (SELECT max(page_id) + 1 FROM pages) JOIN tiers t ON t.url = p.url),
 uses AS (SELECT *, min(date) OVER (PARTITION BY url) AS first_date, first_value(id) OVER (PARTITION BY date, url ORDER BY pos, k) AS first_id FROM src),
+told AS (SELECT date, id, headline, deck, array_to_string(lines[1:2], chr(10)) AS summary, array_to_string(body, chr(10)) AS article,
+  concat_ws(' ', headline, deck, array_to_string(lines[1:2], ' '), array_to_string(body, ' '), why) AS text, concat_ws(' ', deck, array_to_string(lines[1:2], ' '), array_to_string(body, ' '), why) AS read, minutes FROM m),
+tok AS (SELECT date, id, {sql_overlap_tokens("headline")} AS tok FROM m),
+own AS (SELECT date, id, list_concat([headline, deck], list_concat(lines[1:2], body)) AS ours, lang FROM m),
+names AS (SELECT date, id, list_distinct(flatten(list_transform(string_split(regexp_replace(array_to_string(list_append(ours, lang), '. '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+  lambda x: list_transform(list_filter(list_transform(list_slice(string_split_regex(x, '\s+'), 2, NULL), lambda w: regexp_replace(w, '[^A-Za-z0-9]', '', 'g')), lambda w: regexp_matches(w, '^[A-Z]') AND length(w) > 1), lambda w: lower(w))))) AS names FROM own),
+meet AS (SELECT row_number() OVER () AS r, date, id, ' ' || array_to_string({sql_words("field")}, ' ') || ' ' AS said, t FROM (SELECT date, id, unnest(ours) AS field FROM own) JOIN (SELECT date, id, {sql_words("title")} AS t FROM src) USING (date, id) WHERE len(t) > 7),
+runs AS (SELECT r, date, id, said, list_slice(t, i, j) AS run FROM (SELECT *, unnest(range(i + 7, len(t) + 1)) AS j FROM (SELECT *, unnest(range(1, len(t) - 6)) AS i FROM meet))),
+copied AS (SELECT date, id, len(list_filter(run, lambda w: NOT list_contains(names, w) AND w NOT IN ({STOP}))) AS n FROM (
+  SELECT r, any_value(date) AS date, any_value(id) AS id, arg_max(run, len(run) * 1000000 - strpos(said, ' ' || array_to_string(run, ' ') || ' ')) AS run FROM runs WHERE contains(said, ' ' || array_to_string(run, ' ') || ' ') GROUP BY r) JOIN names USING (date, id)),
 per AS (SELECT date, id, prominence, confidence, min(coalesce(tier, 4)) AS best, count(DISTINCT lower(coalesce(publisher, host))) AS voices FROM src WHERE NOT blocked GROUP BY ALL),
 e AS (SELECT date, min(doc_id) AS number, count(*) AS n, count(*) FILTER (prominence = 'lead') AS lead, count(*) FILTER (prominence = 'top') AS top, count(*) FILTER (prominence = 'brief') AS brief FROM m GROUP BY date)"""
 _RULES = [
@@ -241,11 +327,26 @@ _RULES = [
     ("V7", "W", "SELECT date, NULL FROM e WHERE brief NOT BETWEEN 4 AND 8"),
     ("V8", "E", "SELECT date, id FROM (SELECT *, row_number() OVER (PARTITION BY date, id ORDER BY pos) AS k FROM m) WHERE k > 1"),
     ("V9", "E", "SELECT date, id FROM (SELECT *, row_number() OVER (PARTITION BY date, slug ORDER BY pos) AS k FROM m) WHERE k > 1"),
+    ("V10", "E", "SELECT date, id FROM m WHERE NOT starts_with(id, strftime(date, '%Y-%m-%d'))"),
+    ("V11", "E", "SELECT date, id FROM m WHERE id <> strftime(date, '%Y-%m-%d') || '-' || slug"),
+    ("V13", "E", "SELECT date, id FROM m WHERE prominence = 'brief' AND len(body) > 0"),
     ("V12", "E", "SELECT date, id FROM m WHERE beat NOT IN (SELECT id FROM beats)"),
     ("V14", "E", "SELECT date, id FROM m WHERE prominence <> 'brief' AND len(body) < 3"),
     ("V15", "E", "SELECT date, id FROM m WHERE prominence <> 'brief' AND coalesce(why, '') = ''"),
     ("V16", "W", "SELECT date, id FROM m WHERE prominence = 'brief' AND coalesce(why, '') <> ''"),
     ("V17", "E", "SELECT date, id FROM m WHERE n_src < CASE WHEN prominence IN ('lead', 'top') THEN 2 ELSE 1 END"),
+    ("V18", "E", "SELECT date, id FROM uses WHERE host = ''"),
+    ("V24", "E", "SELECT date, id FROM uses WHERE published > date + INTERVAL 48 HOUR"),
+    ("V25", "W", "SELECT date, id FROM uses WHERE published < date + INTERVAL 24 HOUR - INTERVAL 480 HOUR"),
+    ("V32", "W", r"SELECT date, id FROM m WHERE contains(headline, ': ') AND len(list_filter(string_split_regex(split_part(headline, ': ', 1), '\s+'), lambda x: x <> '')) <= 2"),
+    ("V33", "W", "SELECT DISTINCT a.date, a.id FROM tok a JOIN tok b ON b.date < a.date AND len(a.tok) > 0 AND len(b.tok) > 0 AND len(list_intersect(a.tok, b.tok)) / (len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok))) > 0.6"),
+    ("V34", "E", "SELECT date, id FROM copied WHERE n > 4"),
+    ("V35", "W", "SELECT date, id FROM copied WHERE n > 2 AND n <= 4"),
+    ("V36", "W", f"SELECT date, id FROM told WHERE coalesce(list_max(list_transform(flatten([{', '.join(_QUOTED.format(c) for c in ('headline', 'deck', 'summary', 'article'))}]), lambda q: len({sql_words('q')}))), 0) > 30"),
+    ("V37", "W", f"SELECT date, id FROM told WHERE len(list_filter({LINT}, lambda x: x <> 'exclamation')) > 0"),
+    ("V38", "W", f"SELECT date, id FROM told WHERE list_contains({LINT}, 'exclamation')"),
+    ("V39", "W", f"SELECT date, id FROM told WHERE abs(minutes - greatest(1, floor({_WORDS.format('read')} / 220 + 0.5))) > 2"),
+    ("V42", "W", "SELECT g.date, NULL FROM (SELECT d.date, b.id, b.quota, b.min_quota, count(m.id) AS n FROM (SELECT DISTINCT date FROM m) d CROSS JOIN beats b LEFT JOIN m ON m.date = d.date AND m.beat = b.id GROUP BY ALL) g WHERE n >= min_quota AND n < quota"),
     ("V19", "E", "SELECT date, id FROM uses WHERE blocked"),
     ("V20", "W", "SELECT date, id FROM uses WHERE host <> '' AND NOT blocked AND publisher = host"),
     ("V21", "W", "SELECT date, id FROM uses WHERE publisher <> host AND declared <> tier"),
@@ -278,19 +379,45 @@ def _violations(spark, sf_dir) -> DataFrame:
 
 @query("gate_violations", _rule_sql())
 def gate_violations(spark, sf_dir):
-    """The rules that SQL also states; the others are in gate_all."""
-    rows = _violations(spark, sf_dir).where(F.col("rule").isin([r for r, _, _ in _RULES]))
-    return rows.select("rule", "severity", "date", "story")
+    """Every rule over editions and stories; V1 is in gate_shape, V40 in gate_reviews."""
+    return _violations(spark, sf_dir).select("rule", "severity", "date", "story")
 
 
-@query("gate_all")
-def gate_all(spark, sf_dir):
-    return _violations(spark, sf_dir)
+@query("gate_report", f"SELECT '2024-01-16T12:00:00Z' AS ran_at, true AS strict, count(*) FILTER (severity = 'E') AS total_errors, count(*) FILTER (severity = 'W') AS total_warnings, count(*) = 0 AS passed FROM ({_rule_sql()})")
+def gate_report(spark, sf_dir):
+    return validate.report(_violations(spark, sf_dir), strict=True, ran_at="2024-01-16T12:00:00Z")
 
 
-@query("gate_report")
-def gate_report(spark, sf_dir):
-    return validate.report(_violations(spark, sf_dir), strict=True)
+@query("gate_results", f"WITH v AS ({_rule_sql()}), e AS (SELECT DISTINCT DATE '2024-01-01' + CAST(doc_id // 11 AS INTEGER) AS date FROM documents) SELECT CAST(e.date AS DATE) AS date, count(*) FILTER (severity = 'E') AS errors, count(*) FILTER (severity = 'W') AS warnings FROM e LEFT JOIN v ON CAST(e.date AS DATE) = v.date GROUP BY e.date")
+def gate_results(spark, sf_dir):
+    rows = validate.results(_violations(spark, sf_dir), edition_stories(spark, sf_dir)[0])
+    return rows.select("date", F.size("errors").cast("long").alias("errors"), F.size("warnings").cast("long").alias("warnings"))
+
+
+@query(
+    "gate_reviews",
+    """WITH r AS (SELECT CAST(ts AS DATE) AS date, event_id AS id, event_type AS hash FROM events),
+e AS (SELECT date, max(id) AS id, arg_max(hash, id) AS hash FROM r GROUP BY date), v AS (SELECT date, arg_min(hash, id) AS sha256, min(id) AS id FROM r GROUP BY date)
+SELECT date, severity FROM (SELECT e.date, CASE WHEN v.sha256 = 'error' THEN 'E' WHEN v.sha256 = 'signup' THEN 'W' WHEN v.sha256 <> e.hash THEN 'E' END AS severity FROM e JOIN v USING (date)) WHERE severity IS NOT NULL""",
+)
+def gate_reviews(spark, sf_dir):
+    """A day's last event as its edition, the first as its review: an error cannot be read, a sign-up binds nothing."""
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), F.col("event_id").alias("id"), F.col("event_type").alias("hash"))
+    editions = e.groupBy("date").agg(F.max_by("hash", "id").alias("hash"))
+    first = e.groupBy("date").agg(F.min_by("hash", "id").alias("h"))
+    reviews = first.select("date", F.lit(True).alias("reviewed"), F.when(F.col("h") != "signup", F.col("h")).alias("sha256"), (F.col("h") != "error").alias("readable"))
+    return validate.review_rules(reviews, editions).select("date", "severity")
+
+
+_SHAPE = {"type": "object", "required": ["source"], "additionalProperties": False, "properties": {"id": {"type": "integer", "maximum": 500}, "source": {"$ref": "#/$defs/name", "maxLength": 4}, "lang": {"enum": ["de", "en", "fr"]}}, "$defs": {"name": {"type": "string", "pattern": "^s"}}}
+
+
+@query("gate_shape", "SELECT doc_id, path, keyword FROM (SELECT doc_id, '/id' AS path, 'maximum' AS keyword FROM documents WHERE doc_id > 500 UNION ALL SELECT doc_id, '/source', 'pattern' FROM documents WHERE NOT starts_with(source, 's') UNION ALL SELECT doc_id, '/source', 'maxLength' FROM documents WHERE length(source) > 4 UNION ALL SELECT doc_id, '/lang', 'enum' FROM documents WHERE lang NOT IN ('de', 'en', 'fr'))")
+def gate_shape(spark, sf_dir):
+    """V1: breaches of a schema by documents written as JSON."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("date"), F.to_json(F.struct(F.col("doc_id").alias("id"), "source", "lang")).alias("raw"))
+    bad = jsonschema.conforming(d, "raw", _SHAPE)[1]
+    return bad.select(F.col("date").alias("doc_id"), "path", "keyword")
 
 
 @query("source_hosts", f"SELECT {HOST} AS host, count(*) AS n FROM pages GROUP BY 1")

@@ -13,6 +13,7 @@ from newsloom.operators.dedup import corroborators, suffix_collisions
 from newsloom.operators.lookup import classify, with_publisher_tier
 from newsloom.operators.select import top_per_group
 from newsloom.plans.wire import usable
+from newsloom.session import settled
 
 MAX_AGE_HOURS, SOURCES = 48, 4
 
@@ -80,5 +81,5 @@ def project(chosen: DataFrame, items: DataFrame, most_sources: int = SOURCES) ->
 
 def digest(candidates: DataFrame, seen: DataFrame, now: Column, config: Config, beats: DataFrame, publishers: DataFrame, blocked: DataFrame, max_age_hours: float = MAX_AGE_HOURS) -> DataFrame:
     """The whole pipeline; ``now`` is a column over batch (the run date's noon), never the clock."""
-    items = clustered(enrich(candidates, config, beats, publishers, blocked)).persist()  # read by scores, votes and sources
+    items = settled(clustered(enrich(candidates, config, beats, publishers, blocked)))  # read by scores, votes and sources
     return project(select_items(scored(items, seen, now, config, max_age_hours), beats), items)

@@ -16,6 +16,7 @@ from newsloom.plans.adapters import CANDIDATES, candidates, table
 from newsloom.plans.harvest import harvest
 from newsloom.plans.registry import query
 from newsloom.plans.text_queries import HOST, KEY, sql_class_tokens, sql_cluster_tokens, sql_overlap_tokens
+from newsloom.session import settled
 from newsloom.sources import feeds
 
 BOUND = r"\b"
@@ -95,7 +96,7 @@ def feed_api_items(spark, sf_dir):
 def feed_harvest(spark, sf_dir):
     """Candidates written as feeds, harvested: parsed, top items by feed, one a URL."""
     c = candidates(spark, sf_dir)
-    xml = F.concat(F.lit("<item><title>"), T.escape_xml("title" if False else F.col("title")), F.lit("</title><link>"), F.col("url"), F.lit("</link><description>"), F.col("id").cast("string"), F.lit("</description></item>"))
+    xml = F.concat(F.lit("<item><title>"), T.escape_xml(F.col("title")), F.lit("</title><link>"), F.col("url"), F.lit("</link><description>"), F.col("id").cast("string"), F.lit("</description></item>"))
     raw = c.select(F.col("id").alias("feed_pos"), "source", F.lit(False).alias("discovery_only"), xml.alias("xml"))
     return harvest(raw).select(F.col("summary").cast("long").alias("id"), url_key(F.col("url")).alias("url_key"))
 
@@ -103,18 +104,25 @@ def feed_harvest(spark, sf_dir):
 @query("lead_cleaning", f"""SELECT DISTINCT ON (url) title, url, '2024-01-16 12:00:00' AS published_at FROM (
   SELECT page_id, url, 'the ' || page_id AS title FROM pages WHERE regexp_matches(url, '(?i)^https://') AND {HOST} NOT IN ('ththan.example.com')) ORDER BY url, page_id""")
 def lead_cleaning(spark, sf_dir):
-    """One noisy answer a page; each is cleaned on its own, then one a URL stays."""
+    """One noisy answer a page; of equal URLs the first answer's stays."""
     p = table(spark, sf_dir, "pages")
-    noisy = p.select(F.concat(F.lit('Sure:\n```json\n[{"title": "the '), F.col("page_id").cast("string"), F.lit('", "url": "'), F.col("url"), F.lit('", "date": "soon"}]\n```')).alias("said"))
-    got = feeds.clean_leads(noisy, "said", "2024-01-16", T.terms(["the"]), ["ththan.example.com"])
-    first = dedup.dedupe_by_key(got.withColumn("n", F.regexp_extract("title", r"\d+", 0).cast("long")), F.col("url"), ["n"])
-    return first.select("title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+    said = F.concat(F.lit('Sure:\n```json\n[{"title": "the '), F.col("page_id").cast("string"), F.lit('", "url": "'), F.col("url"), F.lit('", "date": "soon"}]\n```'))
+    got = feeds.clean_leads(p.select("page_id", said.alias("said")), "said", "2024-01-16", T.terms(["the"]), ["ththan.example.com"], ["page_id"])
+    return got.select("title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
-@query("append_new_leads", "SELECT page_id, url FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 2 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+_GOOD = "SELECT url FROM pages WHERE page_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
+
+
+def _good(spark, sf_dir) -> DataFrame:
+    """Pages whose number has a good label: some known addresses among all."""
+    labels = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id", "left_semi")
+
+
+@query("append_new_leads", f"WITH known AS ({_GOOD.replace('SELECT url', 'SELECT page_id, url')}) SELECT * FROM known UNION ALL SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM known)")
 def append_new_leads(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return dedup.append_new(p.where("page_id % 3 = 0"), p.where("page_id % 2 = 0")).select("page_id", "url")
+    return dedup.append_new(_good(spark, sf_dir), table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "url")
 
 
 # deduplication ----------------------------------------------------------------------------------
@@ -163,7 +171,7 @@ def via_publishers(spark, sf_dir):
     return candidates(spark, sf_dir).select("id", T.via_publisher(F.col("title")).alias("outlet"))
 
 
-@query("novelty", f"WITH {CANDIDATES} SELECT id, url NOT IN (SELECT url FROM pages WHERE page_id % 7 = 0) AS novel FROM candidates")
+@query("novelty", f"WITH {CANDIDATES} SELECT id, url NOT IN ({_GOOD}) AS novel FROM candidates")
 def novelty(spark, sf_dir):
     c, seen = candidates(spark, sf_dir), _seen(spark, sf_dir).withColumn("old", F.lit(True))
     return c.join(seen, "url", "left").select("id", F.col("old").isNull().alias("novel"))
@@ -220,7 +228,7 @@ enriched AS (
 
 
 def _seen(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").where("page_id % 7 = 0").select("url").distinct()
+    return _good(spark, sf_dir).select("url").distinct()
 
 
 def _items(spark, sf_dir) -> DataFrame:
@@ -236,7 +244,7 @@ _p = TEST.patterns
 _SCORED = f"""{_ENRICHED}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY batch, cluster ORDER BY tier, published_at DESC, pos) AS r,
     row_number() OVER (PARTITION BY batch, cluster, citable ORDER BY tier, published_at DESC, pos) AS rc,
-    lower(coalesce(nullif(publisher, ''), nullif(host, ''), '')) AS who, url IN (SELECT url FROM pages WHERE page_id % 7 = 0) AS old FROM members
+    lower(coalesce(nullif(publisher, ''), nullif(host, ''), '')) AS who, url IN ({_GOOD}) AS old FROM members
 ), votes AS (
   SELECT batch, cluster, beat FROM (SELECT batch, cluster, beat, row_number() OVER (PARTITION BY batch, cluster ORDER BY count(*) DESC, min(pos)) AS v FROM members GROUP BY batch, cluster, beat) WHERE v = 1
 ), stats AS (
@@ -265,7 +273,7 @@ def _scored(spark, sf_dir, items):
 
 @query("cluster_scores", f"WITH RECURSIVE {_SCORED} SELECT batch, cluster, n AS n_items, publishers, best_tier, beat, novel, first_party, {_ROUND} AS score, confidence FROM scored")
 def cluster_scores(spark, sf_dir):
-    s = _scored(spark, sf_dir, _items(spark, sf_dir).persist())
+    s = _scored(spark, sf_dir, settled(_items(spark, sf_dir)))
     return s.select("batch", "cluster", "n_items", "publishers", "best_tier", "beat", "novel", "first_party", round3(F.col("score")).alias("score"), "confidence")
 
 
@@ -287,7 +295,7 @@ FROM named JOIN cited USING (batch, cluster) LEFT JOIN also USING (batch, cluste
 @query("digest", _DIGEST)
 def digest_items(spark, sf_dir):
     """The flagship: candidates to the digest of each day."""
-    items = _items(spark, sf_dir).persist()  # read by scores, votes and sources
+    items = settled(_items(spark, sf_dir))  # read by scores, votes and sources
     got = digest.project(digest.select_items(_scored(spark, sf_dir, items), _dims(spark)[0]), items)
     told = F.array_join(F.transform("sources", lambda s: F.concat(s["publisher"], F.lit("|"), s["tier"].cast("string"))), ",")
     return got.select("batch", "id", "beat", "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "confidence", "score", told.alias("sources"), F.array_join("corroborated_by", ",").alias("corroborated_by"))

@@ -32,6 +32,11 @@ def sql_overlap_tokens(x: str) -> str:
     return f"list_distinct(list_filter({_split(x, '[^a-z0-9 ]')}, lambda w: length(w) > 3))"
 
 
+def sql_words(x: str) -> str:
+    """The SQL of `word_list`."""
+    return _split(x)
+
+
 def _told(tokens: str) -> str:
     return f"array_to_string(list_sort({tokens}), ' ')"
 
@@ -51,10 +56,9 @@ def _sorted(c):
     f"{_told(sql_overlap_tokens('text'))} AS overlap_tokens, CAST(len({_split('text')}) AS BIGINT) AS n_words FROM documents",
 )
 def text_tokenizers(spark, sf_dir):
-    c = F.col("text")
-    return _docs(spark, sf_dir).select(
-        "doc_id", _sorted(T.class_tokens(c)).alias("class_tokens"), _sorted(T.cluster_tokens(c)).alias("cluster_tokens"), _sorted(T.overlap_tokens(c)).alias("overlap_tokens"), F.size(T.word_list(c)).cast("long").alias("n_words")
-    )
+    words = F.col("words")  # split once, used four times
+    d = table(spark, sf_dir, "documents").select("doc_id", T.word_list(F.col("text")).alias("words"))
+    return d.select("doc_id", _sorted(T.class_tokens_of(words)).alias("class_tokens"), _sorted(T.cluster_tokens_of(words)).alias("cluster_tokens"), _sorted(T.overlap_tokens_of(words)).alias("overlap_tokens"), F.size(words).cast("long").alias("n_words"))
 
 
 _A, _B = sql_overlap_tokens(TITLE), sql_overlap_tokens(LINE)
@@ -85,12 +89,12 @@ def text_names_and_quotes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", _sorted(T.proper_nouns(c)).alias("names"), F.size(T.quoted_runs(c)).cast("long").alias("quotes"), T.label_colon(c).alias("label_colon"))
 
 
-_LINT = "list_filter([" + ", ".join(
+LINT = "list_filter([" + ", ".join(
     f"CASE WHEN regexp_matches(text, '(?i){p.replace('(?<![A-Za-z0-9_])', r'\b').replace('(?![A-Za-z0-9_])', r'\b')}') THEN '{label}' END" for p, label in TEST.style
 ) + """, CASE WHEN contains(regexp_replace(text, '"[^"]*"', '', 'g'), '!') THEN 'exclamation' END], lambda x: x IS NOT NULL)"""
 
 
-@query("text_style_lint", f"SELECT doc_id, array_to_string({_LINT}, '|') AS lint FROM documents")
+@query("text_style_lint", f"SELECT doc_id, array_to_string({LINT}, '|') AS lint FROM documents")
 def text_style_lint(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(T.style_lint(F.col("text"), list(TEST.style)), "|").alias("lint"))
 
@@ -158,13 +162,34 @@ def hash_fnv(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", hashing.hash32(F.col("url")).alias("hash"))
 
 
-@query("hash_seeded_draws")
+_FNV = "list_reduce(list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261)"
+
+
+def _sql_draws(n: int) -> str:
+    """seeded: page_id, url, k and draw, by 32-bit products in wider integers."""
+    times = lambda a, b: f"CAST((CAST({a} AS HUGEINT) * ({b})) % 4294967296 AS BIGINT)"
+    return f"""a AS (SELECT page_id, url, k, ({_FNV} + (k + 1) * 1831565813) & 4294967295 AS a FROM pages, range({n}) r(k)),
+b AS (SELECT page_id, url, k, {times("xor(a, a >> 15)", "a | 1")} AS t FROM a), c AS (SELECT page_id, url, k, xor((t + {times("xor(t, t >> 7)", "t | 61")}) & 4294967295, t) AS t FROM b),
+seeded AS (SELECT page_id, url, k, xor(t, t >> 14) / 4294967296 AS draw FROM c)"""
+
+
+@query("hash_seeded_draws", f"WITH {_sql_draws(3)} SELECT page_id, CAST(k AS INTEGER) AS k, draw FROM seeded")
 def hash_seeded_draws(spark, sf_dir):
     draws = hashing.random_draws(hashing.hash32(F.col("url")), 3)
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(draws).alias("k", "draw"))
 
 
-@query("hash_edition")
+@query(
+    "cover_choices",
+    f"""WITH {_sql_draws(14)} SELECT page_id, CAST(floor(max(draw) FILTER (k = 12) * 100) AS INTEGER) AS plate,
+  ['scales', 'globe', 'rack'][CAST(floor(max(draw) FILTER (k = 13) * 3) AS INTEGER) + 1] AS motif FROM seeded GROUP BY page_id""",
+)
+def cover_choices(spark, sf_dir):
+    choice = hashing.cover_choice(F.col("url"), F.array(*map(F.lit, ("scales", "globe", "rack"))))
+    return table(spark, sf_dir, "pages").select("page_id", choice.alias("c")).select("page_id", "c.plate", "c.motif")
+
+
+@query("hash_edition", """SELECT doc_id, sha256('[{"doc_id":' || doc_id || ',"source":"' || source || '"}]') AS sha256 FROM documents""")
 def hash_edition(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.array(F.struct("doc_id", "source")).alias("stories"))).alias("raw"))
     return d.select("doc_id", hashing.edition_hash(F.col("raw")).alias("sha256"))

@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from newsloom.functions.dates import normalize_date
 from newsloom.functions.text import decode_entities, strip_tags
+from newsloom.operators.dedup import dedupe_by_key
 
 PER_FEED, TIMEOUT = 40, 12
 
@@ -77,14 +78,18 @@ def extract_array(c: Column, ddl: str) -> Column:
     return F.from_json(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)(\[.*\])", 1), f"array<struct<{ddl}>>")
 
 
-def clean_leads(raw: DataFrame, text_col: str, run_date: str, relevant: str, search_hosts: list[str]) -> DataFrame:
-    """Leads from noisy text: https, relevant, not a search page, one a URL; dated noon, discovery only."""
+def clean_leads(raw: DataFrame, text_col: str, run_date: str, relevant: str, search_hosts: list[str], order: list[str] = ()) -> DataFrame:
+    """Leads from noisy texts: https, relevant, not a search page, one a URL; dated noon, discovery only.
+
+    Of equal URLs the first stays, by the raw rows' ``order`` columns, then the text, then the place in it.
+    """
     from newsloom.functions.urls import host_of, is_https
 
-    rows = raw.select(F.posexplode_outer(extract_array(F.col(text_col), "title:string,url:string,date:string,source:string")).alias("pos", "x")).select("pos", "x.*")
+    rank = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    rows = raw.select(F.struct(*rank, F.col(text_col).alias("__said")).alias("answer"), F.posexplode_outer(extract_array(F.col(text_col), "title:string,url:string,date:string,source:string")).alias("pos", "x")).select("answer", "pos", "x.*")
     day = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date")).otherwise(F.lit(run_date))
     good = rows.where(is_https(F.col("url")) & F.col("title").rlike(relevant) & ~host_of(F.col("url")).isin(search_hosts))
-    first = good.withColumn("__n", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).where("__n = 1")
+    first = dedupe_by_key(good, F.col("url"), ["answer", "pos"])
     return first.select("title", "url", "source", F.to_timestamp(F.concat(day, F.lit(" 12:00:00"))).alias("published_at"), F.lit(True).alias("discovery_only"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import escape_xml
+from newsloom.session import settled
 
 RETENTION_DAYS, RSS_ITEMS = 14, 60
 
@@ -25,6 +29,22 @@ def expired_dates(df: DataFrame, run_date: str, days: int = RETENTION_DAYS, date
     return df.where(F.datediff(F.lit(run_date).cast("date"), F.col(date_col)) > days).select(date_col).distinct()
 
 
+def prune_dated(spark: SparkSession, path: str, run_date: str, days: int = RETENTION_DAYS, date_col: str = "date") -> list[str]:
+    """Drop the partitions of a dated table that are too old; folders not named by a date stay. What was dropped."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    gone = []
+    for status in fs.listStatus(root):  # a folder a day
+        found = re.fullmatch(rf"{re.escape(date_col)}=(\d{{4}}-\d{{2}}-\d{{2}})", status.getPath().getName())
+        if found and (dt.date.fromisoformat(run_date) - dt.date.fromisoformat(found[1])).days > days:
+            fs.delete(status.getPath(), True)
+            gone.append(found[1])
+    return sorted(gone)
+
+
 def gated_write(df: DataFrame, violations: DataFrame, path: str, date_col: str = "date") -> None:
     """Write all or nothing: any error among the violations stops the write."""
     if not violations.where("severity = 'E'").isEmpty():
@@ -34,7 +54,7 @@ def gated_write(df: DataFrame, violations: DataFrame, path: str, date_col: str =
 
 def upsert_snapshot(items: DataFrame, path: str, date_col: str = "date") -> bool:
     """Last state by date wins; no items or no date, no write. Whether something was written."""
-    dated = items.where(F.col(date_col).isNotNull()).select(date_col, "title", "url", "source", "published_at")
+    dated = settled(items.where(F.col(date_col).isNotNull()).select(date_col, "title", "url", "source", "published_at"))
     if dated.isEmpty():
         return False
     write_dated(dated, path, date_col)
@@ -59,6 +79,29 @@ def sitemap(groups: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
+# Fixed values: (page, change frequency, priority) of the pages that every site has.
+PAGES = [
+    ("", "daily", "1.0"), ("archive.html", "daily", "0.6"), ("topics.html", "daily", "0.6"), ("hackathons.html", "weekly", "0.7"),
+    ("methodology.html", "monthly", "0.4"), ("legal.html", "yearly", "0.3"), ("terms.html", "yearly", "0.2"), ("privacy.html", "yearly", "0.2"),
+]
+
+
+def site_map(spark: SparkSession, base_url: str, editions: DataFrame, stories: DataFrame, entities: DataFrame, digests: DataFrame, wires: DataFrame) -> DataFrame:
+    """loc, lastmod, changefreq, priority of every page of a site.
+
+    editions, digests, wires: date; stories: path, date; entities: slug, last. The digest's front page is
+    there once there is a digest.
+    """
+    day, none = F.date_format("date", "yyyy-MM-dd"), F.lit(None).cast("date")
+    at = lambda df, path, last: df.select(F.concat(F.lit(f"{base_url}/"), path).alias("loc"), last.alias("lastmod"))
+    dated = lambda df, folder: at(df, F.concat(F.lit(f"{folder}/"), day, F.lit(".html")), F.col("date"))
+    fixed = [(at(spark.range(1), F.lit(page), none), freq, priority) for page, freq, priority in PAGES]
+    fixed.append((at(digests.limit(1), F.lit("digest.html"), none), "hourly", "0.6"))
+    entity = at(entities, F.concat(F.lit("entity/"), F.col("slug"), F.lit(".html")), F.col("last"))
+    own = [(dated(digests, "digest"), "weekly", "0.4"), (dated(wires, "wire"), "yearly", "0.2"), (entity, "weekly", "0.5"), (dated(editions, "edition"), "monthly", "0.7"), (at(stories, F.col("path"), F.col("date")), "monthly", "0.8")]
+    return sitemap(fixed + own)
+
+
 def orphans(existing: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Outputs that nothing expects any more."""
     return existing.join(expected.select(key), key, "left_anti")

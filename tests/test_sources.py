@@ -78,13 +78,27 @@ def test_dated_writes(spark, tmp_path):
     back = spark.read.parquet(path)
     assert sorted(r["title"] for r in back.collect()) == ["b", "c"]
     assert sinks.retained(back, "2026-09-01").count() == 1 and sinks.expired_dates(back, "2026-09-01").count() == 1
+    (tmp_path / "wire" / "notes").mkdir()
+    assert sinks.prune_dated(spark, path, "2026-09-01") == ["2026-08-17"] and sinks.prune_dated(spark, path, "2026-09-01") == []
+    assert (tmp_path / "wire" / "notes").is_dir() and sinks.prune_dated(spark, path + "-none", "2026-09-01") == []
+    assert sinks.upsert_snapshot(rows("2026-08-17", "c"), path)
+    back = spark.read.parquet(path + "/date=*")
     bad = spark.createDataFrame([("E",)], "severity string")
     with pytest.raises(ValueError):
         sinks.gated_write(back, bad, str(tmp_path / "gate"))
-    sinks.gated_write(back, bad.withColumn("severity", F.lit("W")), str(tmp_path / "gate"))
+    sinks.gated_write(back.withColumn("date", F.lit("2026-08-17")), bad.withColumn("severity", F.lit("W")), str(tmp_path / "gate"))
     assert spark.read.parquet(str(tmp_path / "gate")).count() == 2
 
 
+def test_leads_of_many_answers_keep_the_first(spark):
+    said = lambda *x: "Sure: [" + ", ".join(f'{{"title": "the {t}", "url": "{u}", "date": "{d}"}}' for t, u, d in x) + "] done"
+    rows = [(3, said(("late", "https://a.example/1", ""))), (1, said(("second", "https://a.example/2", "2026-08-01"), ("first", "https://a.example/1", "soon"), ("again", "https://a.example/1", ""))), (2, said(("x", "https://a.example/2", ""), ("http", "http://a.example/3", ""), ("found", "https://search.example/4", ""))), (4, "no array"), (5, None)]
+    df = spark.createDataFrame(rows, "n int, said string")
+    for parts in (1, 5):
+        got = {r["url"]: (r["title"], r["published_at"]) for r in feeds.clean_leads(df.repartition(parts), "said", "2026-08-17", "the", ["search.example"], ["n"]).collect()}
+        assert got == {"https://a.example/1": ("the first", dt.datetime(2026, 8, 17, 12)), "https://a.example/2": ("the second", dt.datetime(2026, 8, 1, 12))}
+
+
 def test_lock_and_orphans(spark):
     df = lambda rows: spark.createDataFrame(rows, "id string, hash long")
     got = {r["id"]: r["state"] for r in sinks.lock_changes(df([("a", 1), ("b", 2), ("c", 3)]), df([("b", 2), ("c", 4), ("d", 5)])).collect()}
