@@ -6,7 +6,7 @@ the suffixes at every byte would move the corpus many times over, so only anchor
 bytes alone, so both occurrences of a repeated window choose the same anchor in the same place.
 
 Anchors of equal hash meet. Those with equal surroundings (all bytes a window over the anchor can
-have, by a cryptographic hash) cover each other whole. Of the different surroundings of one anchor
+have, by a cryptographic hash of 128 bits) cover each other whole. Of the different surroundings of one anchor
 the suffixes to the right, and the reversed prefixes to the left, are sorted by mergesort: prefix
 polynomial hashes and binary search give the common extension of two suffixes, hence their order,
 in logarithmic time, and neighbours are then compared byte by byte. A window that starts d bytes before
@@ -28,7 +28,8 @@ from newsloom.llm.base import bytes_of, discard, written
 LENGTH, GRAM = 400, 160
 #: Different surroundings of one anchor beyond which its windows are divided by place.
 HOT_ANCHOR = 16_384
-CHUNK = 1 << 20
+#: Bytes that are anchored at once, and bits of a place among them (a chunk ends with a piece, so it may be twice as long).
+CHUNK, PLACE_BITS = 1 << 20, 22
 BASE = 0x9E3779B97F4A7C15
 ANCHOR = "doc_id long, text_key long, pos long, anchor long, c1 long, c2 long, before int, after int"
 SPAN = "doc_id long, text_key long, s long, e long"
@@ -73,7 +74,9 @@ def anchors(data: np.ndarray, ok: np.ndarray, length: int, gram: int) -> tuple[n
     _, inverse = powers(len(data))
     n = len(data) - gram + 1
     g = mixed((h[gram:] - h[:n]) * inverse[:n])
-    low = np.uint64((1 << max(1, int(len(data)).bit_length())) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)  # the same for all chunks, so that the choice depends on the window alone
+    if n > int(low):
+        raise ValueError("too many bytes at once")
     value = (g & ~low) | (low - np.arange(n, dtype=np.uint64))
     least = sliding_min(value, length - gram + 1)[ok[: len(data) - length + 1]]
     at = np.unique(low - (least & low)).astype(np.int64)
@@ -338,7 +341,7 @@ def divided(rows: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFram
 
     Windows that start lo to hi bytes before an anchor all hold the bytes between; rows are grouped by
     these longer strings, each half of the range on its own, until groups are small or a range is
-    one window, whose group is repeated as a whole.
+    one window, which is then compared on its bytes.
     """
     reach = length - gram
     now = rows.select("*", F.lit(0).alias("lo"), F.lit(reach).alias("hi"))
@@ -350,7 +353,9 @@ def divided(rows: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFram
             return add(calm, now).drop("lo", "hi"), spans
         calm = add(calm, now.join(big, "grp", "left_anti"))
         large = now.join(big, "grp", "left_semi")
-        done = large.where("lo = hi").select("doc_id", "text_key", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") - F.col("lo") + length).alias("e"))
+        one = large.where("lo = hi").withColumn("window", F.expr(f"substring(context, before - lo + 1, {length})"))
+        same = written(one.groupBy("grp", "window").count().where("count > 1").select("grp", "window"), "equal-windows")
+        done = one.join(same, ["grp", "window"], "left_semi").select("doc_id", "text_key", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") - F.col("lo") + length).alias("e"))
         spans = add(spans, done)
         mid = ((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi"))))
@@ -376,8 +381,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     place = F.struct("doc_id", "text_key", "pos", "before", "after")
     classes = written(met.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("one")), "surroundings")
-    twice = classes.where("n > 1").select("anchor", "c1", "c2")
-    whole = met.join(twice, ["anchor", "c1", "c2"], "left_semi").select("doc_id", "text_key", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e")).where(F.col("e") - F.col("s") >= length)
+    # all but the lone ones are repeated whole; joined by place, since a frequent class would be one key
+    lone = classes.where("n = 1").select(F.col("one.doc_id").alias("__id"), F.col("one.text_key").alias("__key"), F.col("one.pos").alias("__pos"))
+    twice = met.join(lone, met["doc_id"].eqNullSafe(lone["__id"]) & (met["text_key"] == lone["__key"]) & (met["pos"] == lone["__pos"]), "left_anti")
+    whole = twice.select("doc_id", "text_key", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e")).where(F.col("e") - F.col("s") >= length)
 
     several = written(classes.groupBy("anchor").count().where("count > 1").select("anchor"), "varied-anchors")
     reps = classes.join(several, "anchor", "left_semi").select("one.*", "anchor")
