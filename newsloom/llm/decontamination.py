@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.base import written
+from newsloom.llm.line_dedup import without
 
 WIDTH = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -139,7 +140,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     """docs without contaminated documents, or with the hit words cut out of every text.
 
     ``action="documents"`` drops the rows that `report` marks; ``action="spans"`` keeps every row and
-    drops each hit word with the separators after it. Columns stay as they are.
+    drops each hit word with the separators after it. Columns stay as they are. Null and empty texts
+    are never contaminated and stay; rows that repeat an id with the same text share its fate, null ids are ids
+    like any other; an empty table stays empty, and an empty benchmark changes nothing.
     """
     key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     if action == "documents":
@@ -150,9 +153,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     hit = window_hits(docs, benchmark, width, id_col, text_col).where(F.size("hits") > 0)
     hit = hit.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__key"])
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    lead = F.regexp_extract(F.col(text_col), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(word + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    kept = F.filter(pieces, lambda p, i: ~F.exists(F.col("__hits"), lambda h: (h["pos"] <= i) & (i < h["pos"] + h["len"])))
-    cut = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
+    lead = F.regexp_extract(docs[text_col], r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    pieces = F.regexp_extract_all(docs[text_col], F.lit(word + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    spans = hit["__hits"]
+    words = F.array_distinct(F.flatten(F.transform(spans, lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
+    cut = F.when(spans.isNull(), docs[text_col]).otherwise(F.concat(lead, without(pieces, words, "")))
     joined = docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]) & (key == hit["__key"]), "left")
     return joined.select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])
