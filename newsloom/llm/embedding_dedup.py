@@ -25,7 +25,7 @@ COSINE, BLOCK_DIMS = 0.9, 16
 TILE, SQUARE = 32_768, 2048
 SEED = 20_240_229
 SLACK = 1e-9
-TILED = "dim int, block int, slab int, kind int, i int, j int, role int, node long, mult long, embedding array<float>"
+TILED = "dim int, block int, slab int, kind int, i int, j int, role int, node long, mult long, embedding"
 FOUND = "u long, v long, n long"
 
 
@@ -52,7 +52,8 @@ def rotated(x: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])  # by powers of two, so that no square overflows and no digit is lost
 
 
 def _slabs(x: np.ndarray, cosine: float, block_dims: int) -> np.ndarray:
@@ -163,13 +164,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_dims: int
     """
     x = F.col("embedding")
     fine = F.coalesce((F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     good = rows.where(fine)
     nodes = good.groupBy("embedding").agg(F.count("*").alias("mult")).select(F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("node"), "mult", "embedding")
     nodes = written(nodes, "vectors")
     counted = nodes.select("dim", "embedding").mapInArrow(lambda it: _slab_counts(it, cosine, block_dims), "dim int, block int, slab int, n long")
     counts = {(r["dim"], r["block"], r["slab"]): r["n"] for r in counted.groupBy("dim", "block", "slab").agg(F.sum("n").alias("n")).collect()}  # some slabs a block
-    tiles = nodes.mapInArrow(lambda it: _tiles(it, counts, cosine, block_dims, tile), TILED)
+    tiles = nodes.mapInArrow(lambda it: _tiles(it, counts, cosine, block_dims, tile), f"{TILED} {kind}")
     found = written(tiles.groupBy("dim", "block", "slab", "kind", "i", "j").applyInArrow(lambda key, t: _joined(key, t, cosine, block_dims), FOUND), "vector-links")
     parts = connected_components(found.where("v is not null"))
     degree = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))

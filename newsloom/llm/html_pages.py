@@ -8,11 +8,15 @@ import random
 SYLLABLES = "ka lo mi ten sar vi do re un pel gra is on tha bre qui zo ner fal ush".split()
 
 
+#: Kinds of parts that are not main text.
+NOISE = ("nav", "ad", "notice", "sidebar", "share", "form", "script", "comments", "crumbs", "related", "tags", "hidden")
+
+
 class Writer:
     """One page: markup, and for each piece of markup whether it is main text."""
 
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, noise: tuple[str, ...] = NOISE):
+        self.r, self.kinds = random.Random(seed), noise
 
     def word(self) -> str:
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
@@ -51,7 +55,7 @@ class Writer:
     def noise(self) -> str:
         """A part that is not main text."""
         r = self.r
-        kind = r.choice(["nav", "ad", "notice", "sidebar", "share", "form", "script", "comments", "crumbs", "related", "tags", "hidden"])
+        kind = r.choice(self.kinds)
         div = r.choice(["div", "div", "section", "aside"])
         if kind == "nav":
             t = r.choice(["nav", "nav", "div", "ul"])
