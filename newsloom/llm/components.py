@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.base import discard, written
 
 EDGE = "u long, v long"
+#: Links that one task holds (16 bytes each) and settles at once.
+ONE_TASK = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,18 +57,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
 
 
-def connected_components(links: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 100, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node of at least one link; component is its smallest node.
 
     Alternating large and small stars (Kiveris et al., 2014): each round is two aggregations
     with map-side combining and two joins with their results as written tables, so a node with
     very many links is pre-aggregated and AQE can split its join. Each partition's links are first cut down to a spanning
-    forest. Every round's links are a written table, so a lost executor costs one round at most.
+    forest; if no more than ``one_task`` links are left, one task makes them into stars, which needs no rounds.
+    Every round's links are a written table, so a lost executor costs one round at most.
 
     Null ends and links of a node with itself are ignored; repeated links change nothing.
     """
     raw = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     now = written(raw.mapInArrow(_contract, EDGE), "links")
+    if now.count() <= one_task:
+        once = written(now.coalesce(1).mapInArrow(_contract, EDGE), "links")
+        discard(now)
+        now, max_rounds = once, 0
     sign = None
     for _ in range(max_rounds):
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -82,7 +89,8 @@ def connected_components(links: DataFrame, a: str = "u", b: str = "v", max_round
         if sign == last or not sign[0]:
             break
     else:
-        raise RuntimeError(f"components not settled in {max_rounds} rounds")
+        if max_rounds:
+            raise RuntimeError(f"components not settled in {max_rounds} rounds")
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = out.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     out._newsloom_path = getattr(now, "_newsloom_path", None)

@@ -174,11 +174,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, hot_key: int =
     links = near.select(F.col("probe").alias("u"), F.col("fp").alias("v"))
     if hot is None:
         return links
-    # a calm probe may ask a hot key, so every fingerprint probes the midpoints of the hot ones
+    # whoever asks a hot key is close to one of its fingerprints perhaps: it probes the midpoints of the hot ones
     low, high = radius // 2, radius - radius // 2
     mids = hot.select("fp", F.explode(_flips(list(range(BITS)), low)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     hub = mids.groupBy("mid").agg(F.min("fp").alias("hub"))
-    asks = distinct.select("fp", F.explode(_flips(list(range(BITS)), high)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
+    askers = written(probes.join(crowd, ["grp", "key"], "left_semi").select(F.col("probe").alias("fp")).distinct(), "askers")
+    asks = askers.select("fp", F.explode(_flips(list(range(BITS)), high)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     met = asks.join(hub, "mid").where(F.col("fp") != F.col("hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     own = mids.join(hub, "mid").where(F.col("fp") != F.col("hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     return links.unionAll(met).unionAll(own)
@@ -200,10 +201,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     discard(distinct)
     return named.join(least, "component").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group the document with the smallest id, with all columns of docs."""
-    found = near_duplicates(docs, shingle, radius, id_col=id_col, text_col=text_col)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__id"], "left_anti")
