@@ -11,12 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, jaccard, line_dedup, packing, quality, queries
+from newsloom.llm import decontamination, line_dedup, packing, quality, queries, simhash_texts
 from newsloom.llm.base import prepare, table, written
 
-#: A radius of SimHash that the stage test compares with; the stage itself compares whole sets of shingles.
-NEAR_BITS = 5
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -37,7 +34,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that share four fifths of their five-word shingles the document of the smallest id."""
     prepare(spark)
-    return jaccard.keep_one(docs)
+    return simhash_texts.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +53,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_stage),
     ("line dedup", line_dedup_stage),
-    ("near-dedup", near_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes.util
 import os
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 2000
 _written: list[tuple[SparkSession, str]] = []
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and ctypes.util.find_library("c") == "libc.so.6" else None
 
 
 def prepare(spark: SparkSession) -> str:
@@ -38,6 +43,8 @@ def prepare(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # as nobody set it; rows are whole texts here
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return folder.rstrip("/")
 
 
@@ -96,6 +103,14 @@ def bytes_of(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; afterwards the worker, which stays for other tasks, gives free memory back to the machine."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def row_chunks(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most so many bytes of text; a longer text is a range of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

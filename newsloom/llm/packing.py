@@ -1,10 +1,15 @@
 """Packing of documents into training windows with lexically related neighbours.
 
-Documents are dealt to shards of about ``SHARD_TOKENS`` tokens. Each shard holds a BM25 inverted index
-over token ids, weighted by document frequencies of the whole corpus. The first unused document
-seeds a window; the index ranks all unused documents of the shard for it, and they fill the
-window in that order. The document that crosses the end is cut, and its rest opens the next window
-as its seed, so only a shard's last window has padding.
+Documents are put in an order in which those that share rare words are neighbours, and the order is cut
+into shards of about ``SHARD_TOKENS`` tokens. The order is that of a weighted minimum hash: every token of
+the vocabulary draws a place once, the earlier the rarer it is (an exponential race with the token's
+BM25 weight as its rate), and a document's key is the first of its tokens; two documents have the same key with a chance that is
+their weighted similarity. A second, independent key orders those of equal first key.
+
+Each shard holds a BM25 inverted index over token ids, weighted by document frequencies of the whole
+corpus. The first unused document seeds a window; the index ranks all unused documents of the shard
+for it, and they fill the window in that order. The document that crosses the end is cut, and its rest
+opens the next window as its seed, so only a shard's last window has padding.
 """
 
 from __future__ import annotations
@@ -19,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import written
+from newsloom.llm.base import lean, written
 from newsloom.llm.tokens import encoder, vocabulary_size
 
 WINDOW, SHARD_TOKENS = 4096, 4_000_000
 K1, B = 1.2, 0.75
-PIECE = "doc_id long, start long, length long, doc_tokens long, shard long, nth long, offset long, ids binary"
+KEYS, SEED = 2, 20_240_517
+PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
@@ -50,32 +56,74 @@ def _frequencies(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
 
 
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """BM25 weights; terms in half of all documents or more weigh nothing."""
+    return np.log(np.maximum((n_docs - df + 0.5) / (df + 0.5), 1.0))
+
+
+def races(df: np.ndarray, n_docs: int, keys: int = KEYS) -> np.ndarray:
+    """[keys, tokens]: each token's place in an independent race; those that weigh nothing share the last place."""
+    weight, rng = idf(df, n_docs), np.random.default_rng(SEED)
+    out = np.full((keys, len(df)), len(df), np.int32)
+    some = np.flatnonzero(weight > 0)
+    for k in range(keys):
+        at = rng.exponential(size=len(df))[some] / weight[some]
+        out[k, some[np.argsort(at, kind="stable")]] = np.arange(len(some), dtype=np.int32)
+    return out
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], places: np.ndarray, width: str) -> Iterator[pa.RecordBatch]:
+    """Each document with its first token in every race."""
+    names = [f"k{k}" for k in range(len(places))] + ["doc_id", "salt", "n", "ids"]
+    for batch in batches:
+        n = batch.column(2).to_numpy()
+        if not len(n):
+            continue
+        ids, starts = _tokens(batch.column(3), width), np.concatenate([[0], np.cumsum(n)[:-1]])
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.minimum.reduceat(p[ids], starts)) for p in places), *batch.columns], names)
+
+
+def _tokens(column: pa.Array, width: str) -> np.ndarray:
+    """The ids of all rows of a binary column, one after the other."""
+    places = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], width)[places[0] // np.dtype(width).itemsize : places[-1] // np.dtype(width).itemsize]
+
+
 class Index:
-    """BM25 postings of one shard; terms in half of all documents or more weigh nothing."""
+    """BM25 postings of one shard."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float):
-        idf = np.log(np.maximum((n_docs - df + 0.5) / (df + 0.5), 1.0))
         lengths = np.array([len(d) for d in docs], np.int64)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int64), lengths)
-        ids = np.concatenate(docs).astype(np.int64) if docs else np.empty(0, np.int64)
-        useful = idf[ids] > 0
-        pair, tf = np.unique(ids[useful] * max(1, len(docs)) + owner[useful], return_counts=True)
-        term, self.doc = np.divmod(pair, max(1, len(docs)))
+        self.idf, self.n = idf(df, n_docs), len(docs)
+        ids = np.concatenate(docs) if docs else np.empty(0, np.uint16)
+        owner = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+        useful = self.idf[ids] > 0
+        ids, owner = ids[useful], owner[useful]
+        order = np.argsort(ids, kind="stable")  # by counting for 16-bit ids
+        term, doc = ids[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])) if len(term) else np.empty(0, np.int64)
+        tf = np.diff(np.append(first, len(term)))
+        term, self.doc = term[first], doc[first].astype(np.int64)
         norm = K1 * (1 - B + B * lengths[self.doc] / max(mean, 1e-9))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+        self.weight = (self.idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32).astype(np.float64)
         self.start = np.searchsorted(term, np.arange(len(df) + 1))
-        self.idf, self.n = idf, len(docs)
 
     def scores(self, query: np.ndarray) -> np.ndarray:
+        """The score of every document; those that `forget` was told of get none."""
         terms = np.unique(query)
-        terms = terms[self.idf[terms] > 0]
+        terms = terms[self.idf[terms] > 0].astype(np.int64)
         a, b = self.start[terms], self.start[terms + 1]
         some = b > a
-        a, size = a[some], (b - a)[some]
-        if not len(a):
+        if not some.any():
             return np.zeros(self.n)
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        runs = [slice(x, y) for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
+
+    def forget(self, used: np.ndarray) -> None:
+        """Drop the postings of used documents."""
+        keep = ~used[self.doc]
+        self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
 
 
 def ranked(score: np.ndarray, used: np.ndarray, first: int = 16) -> Iterator[int]:
@@ -96,7 +144,7 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> list[tuple[int, i
     """(document, start, length, window number, offset) of every piece of a shard."""
     used = np.zeros(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
-    number, room, low = 0, window, 0
+    number, room, low, left, indexed = 0, window, 0, len(docs), len(docs)
     rest: tuple[int, int] | None = None
 
     def put(doc: int, start: int) -> tuple[int, int] | None:
@@ -115,37 +163,65 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> list[tuple[int, i
                 low += 1
             if low == len(docs):
                 return out
-            used[low], rest = True, (low, 0)
+            used[low], rest, left = True, (low, 0), left - 1
         seed = rest[0]
         rest = put(*rest)
         if rest is not None or room == window:
             continue
+        if 2 * left < indexed:  # most postings are of used documents
+            index.forget(used)
+            indexed = left
         here = number
         for doc in ranked(index.scores(docs[seed]), used):
-            used[doc] = True
+            used[doc], left = True, left - 1
             rest = put(doc, 0)
             if rest is not None or number != here:
                 break
 
 
-def _packed(t: pa.Table, df: np.ndarray, n_docs: int, mean: float, window: int, width: str) -> pa.Table:
-    t = t.sort_by([("doc_id", "ascending"), ("salt", "ascending")]).combine_chunks()
-    docs = [np.frombuffer(x, width) for x in t.column("ids").to_pylist()]
-    rows = fill(docs, Index(docs, df, n_docs, mean), window)
-    doc, start, length, nth, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    own = pa.array(doc)
-    ids = [docs[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length, strict=True)]
-    cols = [t.column("doc_id").take(own), start, length, t.column("n").take(own), t.column("shard").take(own), nth, offset, pa.array(ids, pa.binary())]
-    return pa.table(dict(zip([c.split()[0] for c in PIECE.split(", ")], cols, strict=True)))
+def _packed(batches: Iterator[pa.RecordBatch], df: np.ndarray, n_docs: int, mean: float, window: int, shard_tokens: int, width: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a partition's documents, shard by shard; a partition numbers its sequences from its own number on."""
+    names, number, held, size = [c.split()[0] for c in PIECE.split(", ")], 0, [], 0
+
+    def close() -> pa.RecordBatch:
+        nonlocal number, held, size
+        t = pa.Table.from_batches(held).combine_chunks()
+        n = t.column("n").to_numpy()
+        ids = _tokens(t.column("ids").chunk(0), width)
+        ends = np.cumsum(n)
+        docs = [ids[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+        rows = fill(docs, Index(docs, df, n_docs, mean), window)
+        doc, start, length, nth, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        own, at = pa.array(doc), (ends - n)[doc] + start
+        wide = ids.astype("<u4")[np.repeat(at - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        places = 4 * np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(wide.tobytes())])
+        sequence = (int(t.column("part")[0].as_py()) << 32) + number + nth
+        number, held, size = number + int(nth[-1]) + 1, [], 0
+        return pa.RecordBatch.from_arrays([t.column("doc_id").chunk(0).take(own), pa.array(start), pa.array(length), pa.array(n[doc]), pa.array(sequence), pa.array(offset), cut], names)
+
+    for batch in batches:
+        ends = np.cumsum(batch.column(batch.schema.get_field_index("n")).to_numpy())
+        a = 0
+        while a < batch.num_rows:
+            before = int(ends[a - 1]) if a else 0
+            b = min(batch.num_rows, int(np.searchsorted(ends, before + shard_tokens - size)) + 1)
+            held.append(batch.slice(a, b - a))
+            size += int(ends[b - 1]) - before
+            a = b
+            if size >= shard_tokens:
+                yield close()
+    if held:
+        yield close()
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary) for every piece of every document.
 
     Each document is its token ids and the end id; null texts are empty, null ids and repeated rows
-    are documents as any other. Sequences are full but for the last of each shard. Ids are dealt to
-    shards by hash of id and text, so a frequent source or id spreads. A sequence's number is its
-    shard's, times 2**32, plus its place there. An empty table packs to nothing.
+    are documents as any other, and equal scores rank by the order of the documents' keys, then of a hash of id and text, so
+    a frequent word, source or id spreads. Sequences are full but for the last of each shard. A sequence's number is its
+    partition's, times 2**32, plus its place there. An empty table packs to nothing.
 
     Corpus statistics cover all documents: document frequencies (one number for each vocabulary
     entry) go to the driver and back with the tasks.
@@ -153,17 +229,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     width = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("salt"))
-    known = written(rows.mapInArrow(lambda it: _tokenized(it, vocabulary, end_id, width), "doc_id long, salt long, n long, ids binary"), "ids")
+    known = written(rows.mapInArrow(lambda it: lean(_tokenized(it, vocabulary, end_id, width)), "doc_id long, salt long, n long, ids binary"), "ids")
     counts = known.select("ids").mapInArrow(lambda it: _frequencies(it, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(int(max(counts.column("token").to_pylist(), default=0)) + 1, np.int64)
     df[counts.column("token").to_numpy()] = counts.column("n").to_numpy()
     total = known.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
-    shards = max(1, math.ceil(total["ids"] / shard_tokens))
     n_docs, mean = total["docs"], total["ids"] / max(1, total["docs"])
 
-    dealt = known.withColumn("shard", F.pmod(F.xxhash64("salt", "doc_id"), F.lit(shards)))
-    pieces = dealt.groupBy("shard").applyInArrow(lambda t: _packed(t, df, n_docs, mean, window, width), PIECE)
-    return pieces.select("doc_id", "start", "length", "doc_tokens", F.expr("shiftleft(shard, 32) + nth").alias("sequence_id"), "offset", "ids")
+    places = races(df, n_docs)
+    order = [f"k{k}" for k in range(len(places))] + ["salt", "doc_id"]
+    keyed = known.mapInArrow(lambda it: _keyed(it, places, width), ", ".join(f"k{k} int" for k in range(len(places))) + ", doc_id long, salt long, n long, ids binary")
+    dealt = keyed.repartitionByRange(max(1, math.ceil(total["ids"] / shard_tokens)), *order).sortWithinPartitions(*order)
+    dealt = dealt.select("doc_id", "n", "ids", F.spark_partition_id().alias("part"))
+    return dealt.mapInArrow(lambda it: lean(_packed(it, df, n_docs, mean, window, shard_tokens, width)), PIECE)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm import rans
-from newsloom.llm.base import discard, scratch, written
+from newsloom.llm.base import discard, lean, scratch, written
 from newsloom.llm.tokens import encoder, vocabulary_size
 
 #: Ids at which a block closes; a longer document is a block of its own.
@@ -107,7 +107,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     width = "<u2" if max(vocabulary_size(vocabulary), end_id + 1) <= 1 << 16 else "<u4"
     schema, counted = _arrow(RAW), _arrow(COUNTED)
-    raw = written(ranged.mapInArrow(lambda it: _blocks(it, vocabulary, end_id, width, counted), COUNTED), "raw-ids")
+    raw = written(ranged.mapInArrow(lambda it: lean(_blocks(it, vocabulary, end_id, width, counted)), COUNTED), "raw-ids")
     each = raw.select(F.explode(F.arrays_zip("tokens", "ns")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.ns").alias("n"))
     counts = each.groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # one row a vocabulary entry
     table = rans.Table.from_counts(counts.column("token").to_numpy(), counts.column("n").to_numpy())

@@ -1,6 +1,7 @@
 """The document operators against plain Python over the same rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -127,15 +128,16 @@ def test_packing_places_each_id_once(docs, docs_rows, empty):
     by = defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
-    short = Counter()
-    for k, parts in by.items():
+    short = 0
+    for parts in by.values():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
         assert at <= 128
-        short[k >> 32] += at < 128
-    assert max(short.values()) <= 1  # padding in a shard's last window only
+        short += at < 128
+    tokens_ = sum(r["length"] for r in rows)
+    assert short <= 2 * -(-tokens_ // 2000) and len(by) <= tokens_ / 128 + short  # padding in a shard's last window only
     assert packing.pack(empty, vocabulary(WORD_VOCABULARY)).count() == 0
     seqs = packing.sequences(pieces, 128).collect()
     assert len(seqs) == len(by) and all(len(s["ids"]) == 128 for s in seqs)
@@ -156,6 +158,42 @@ def test_packing_prefers_related_documents():
     assert {d % 2 for d in first} == {0}
 
 
+def test_bm25_scores_and_ranks_equal_the_formula():
+    r = np.random.default_rng(4)
+    docs = [(r.zipf(1.4, int(r.integers(1, 60))) % 90).astype(np.uint16) for _ in range(40)]
+    docs += [docs[3], docs[3]]  # equal scores rank in order
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=90)
+    mean = float(np.mean([len(d) for d in docs]))
+    index = packing.Index(docs, df, len(docs), mean)
+
+    def score(q, d):
+        out = 0.0
+        for t in set(q.tolist()):
+            tf, idf = d.tolist().count(t), np.log(max((len(docs) - df[t] + 0.5) / (df[t] + 0.5), 1.0))
+            out += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        return out
+
+    for q in docs[:10]:
+        want = [score(q, d) for d in docs]
+        got = index.scores(q)
+        assert got == pytest.approx(want, rel=1e-5)
+        used = np.zeros(len(docs), bool)
+        used[::7] = True
+        assert list(packing.ranked(got, used, 3)) == sorted(np.flatnonzero(~used).tolist(), key=lambda i: (-got[i], i))
+
+
+def test_related_documents_are_neighbours_in_the_order():
+    r = np.random.default_rng(5)
+    topics = [r.integers(0, 5000, 30) for _ in range(100)]
+    docs = [np.concatenate([r.choice(t, 25), r.integers(0, 50, 40)]) for t in topics for _ in range(5)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=5000)
+    places = packing.races(df, len(docs))
+    keys = [places[0][d].min() for d in docs]
+    same = np.mean([keys[a] == keys[b] for a in range(500) for b in range(a + 1, min(500, a - a % 5 + 5))])
+    other = np.mean([keys[a] == keys[b] for a in range(0, 500, 5) for b in range(a + 5, 500, 5)])
+    assert same > 0.25 and other < 0.02
+
+
 def fingerprint(text):
     words = [w for w in re.split(rb"[\x20\x09-\x0D]+", plain(text).encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))) if w]
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -189,8 +227,6 @@ def test_simhash_equals_all_pairs(docs, docs_rows, empty, hot):
     want = Counter((i, min((x for x in least[comp[f]] if x is not None), default=None)) for (i, _), f in zip(docs_rows, fps, strict=True))
     assert Counter((g["doc_id"], g["component_id"]) for g in got) == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
-    assert 0 in kept and 1 not in kept and kept == {g["doc_id"] for g in got if g["doc_id"] == g["component_id"] or g["doc_id"] is None}
 
 
 def test_simhash_links_random_fingerprints(spark):
@@ -215,11 +251,12 @@ def test_plan_fulfils_the_pigeonhole():
         assert len(bits) == len(set(bits))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 10, 1 << 20])
+def test_components_of_chains_and_stars(spark, one_task):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 201), (200, 201), (None, 3)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long").repartition(5), one_task=one_task).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 150)}, 200: 200, 201: 200}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long"), one_task=one_task).count() == 0
 
 
 def covered(texts, length):
@@ -359,3 +396,35 @@ def test_quality_learns_and_holds_out(spark, docs, empty):
     assert not none.any() and {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(empty, none).count() == 0
     assert quality.keep_good(rows, labels).where(F.col("doc_id") % 3 == 0).count() == 0
+    assert not quality.fit(empty, labels).any() and quality.keep_good(docs, labels.where("false")).count() == 0
+    assert quality.keep_good(empty, labels).count() == 0
+
+
+def test_quality_weights_equal_plain_updates(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PART", 7)  # every text is several rows
+    r = random.Random(2)
+    docs = [(r.choice([i, 5, 6]), " ".join(r.choice(["a", "b.", "ccc", "d,", "!!"]) for _ in range(r.randint(0, 30)))) for i in range(60)] + [(8, None), (9, ""), (None, "a a b")]
+    docs += [docs[7], docs[7]]
+    labels = {i: i % 2 for i in range(60)}
+    got = quality.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), bits=8)
+
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= 0.002 else -(z[k] - math.copysign(0.002, z[k])) / ((1 + math.sqrt(n[k])) / 0.5 + 0.01)
+    rows = [(zlib.crc32(str(i).encode()), i, F_xxhash64(t), t) for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    for _ in range(3):
+        for _, i, _, t in sorted(rows, key=lambda x: x[:3]):
+            at, x = quality.features(t, 8)
+            at, x = at.tolist(), x.astype(np.float32).tolist()
+            w = [weight(k) for k in at]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            for k, v, wk in zip(at, x, w, strict=True):
+                g = (p - labels[i]) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / 0.5 * wk
+                n[k] += g * g
+    assert got == pytest.approx([weight(k) for k in range(257)], abs=1e-5)
+
+
+def F_xxhash64(text):
+    """Spark's xxhash64 of a string: seed 42, signed; a null leaves the seed."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
