@@ -1,10 +1,11 @@
 """Packing of documents into training windows with lexically related neighbours.
 
-Documents are put in an order in which those that share rare words are neighbours, and the order is cut
-into shards of about ``SHARD_TOKENS`` tokens. The order is that of a weighted minimum hash: every token of
-the vocabulary draws a place once, the earlier the rarer it is (an exponential race with the token's
-BM25 weight as its rate), and a document's key is the first of its tokens; two documents have the same key with a chance that is
-their weighted similarity. A second, independent key orders those of equal first key.
+Documents are put in an order in which those that share uncommon words are neighbours, and the order is
+cut into shards of about ``SHARD_TOKENS`` tokens. The order is that of a weighted minimum hash: every token of
+the vocabulary draws a place once, the earlier the later its number is (an exponential race with the square of the
+number as its rate: vocabularies number common pieces first), and a document's key is the first of its tokens; two
+documents have the same key with a chance that is their weighted similarity. A second, independent key orders those of equal
+first key.
 
 Each shard holds a BM25 inverted index over token ids, weighted by document frequencies of the whole
 corpus. The first unused document seeds a window; the index ranks all unused documents of the shard
@@ -30,15 +31,32 @@ from newsloom.llm.tokens import encoder, vocabulary_size
 WINDOW, SHARD_TOKENS = 4096, 4_000_000
 K1, B = 1.2, 0.75
 KEYS, SEED = 2, 20_240_517
+TOKENIZED = "".join(f"k{k} int, " for k in range(KEYS)) + "doc_id long, salt long, n long, ids binary"
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def races(size: int, keys: int = KEYS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(each token's place in a race, the key of each place) for independent races; keys come in no order, as longer texts win earlier places."""
+    rng, out = np.random.default_rng(SEED), []
+    for _ in range(keys):
+        place = np.empty(size, np.int32)
+        place[np.argsort(rng.exponential(size=size) / np.arange(1, size + 1, dtype=np.float64) ** 2, kind="stable")] = np.arange(size, dtype=np.int32)
+        out.append((place, rng.permutation(size).astype(np.int32)))
+    return out
+
+
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
     enc, size = encoder(path, width), np.dtype(width).itemsize
+    own = races(max(enc.tokenizer.get_vocab_size(), end_id + 1))
+    names = [*(f"k{k}" for k in range(len(own))), "doc_id", "salt", "n", "ids"]
     for batch in batches:
+        if not batch.num_rows:
+            continue
         ids = enc.column(batch.column(1), end_id)
         n = pc.divide(pc.binary_length(ids).cast(pa.int64()), size)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, ids], ["doc_id", "salt", "n", "ids"])
+        flat, starts = _tokens(ids, width), np.concatenate([[0], np.cumsum(n.to_numpy())[:-1]])
+        keys = [pa.array(key[np.minimum.reduceat(place[flat], starts)]) for place, key in own]
+        yield pa.RecordBatch.from_arrays([*keys, batch.column(0), batch.column(2), n, ids], names)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
@@ -61,28 +79,6 @@ def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log(np.maximum((n_docs - df + 0.5) / (df + 0.5), 1.0))
 
 
-def races(df: np.ndarray, n_docs: int, keys: int = KEYS) -> np.ndarray:
-    """[keys, tokens]: each token's place in an independent race; those that weigh nothing share the last place."""
-    weight, rng = idf(df, n_docs), np.random.default_rng(SEED)
-    out = np.full((keys, len(df)), len(df), np.int32)
-    some = np.flatnonzero(weight > 0)
-    for k in range(keys):
-        at = rng.exponential(size=len(df))[some] / weight[some]
-        out[k, some[np.argsort(at, kind="stable")]] = np.arange(len(some), dtype=np.int32)
-    return out
-
-
-def _keyed(batches: Iterator[pa.RecordBatch], places: np.ndarray, width: str) -> Iterator[pa.RecordBatch]:
-    """Each document with its first token in every race."""
-    names = [f"k{k}" for k in range(len(places))] + ["doc_id", "salt", "n", "ids"]
-    for batch in batches:
-        n = batch.column(2).to_numpy()
-        if not len(n):
-            continue
-        ids, starts = _tokens(batch.column(3), width), np.concatenate([[0], np.cumsum(n)[:-1]])
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.minimum.reduceat(p[ids], starts)) for p in places), *batch.columns], names)
-
-
 def _tokens(column: pa.Array, width: str) -> np.ndarray:
     """The ids of all rows of a binary column, one after the other."""
     places = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -229,17 +225,15 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     width = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("salt"))
-    known = written(rows.mapInArrow(lambda it: lean(_tokenized(it, vocabulary, end_id, width)), "doc_id long, salt long, n long, ids binary"), "ids")
+    known = written(rows.mapInArrow(lambda it: lean(_tokenized(it, vocabulary, end_id, width)), TOKENIZED), "ids")
     counts = known.select("ids").mapInArrow(lambda it: _frequencies(it, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(int(max(counts.column("token").to_pylist(), default=0)) + 1, np.int64)
     df[counts.column("token").to_numpy()] = counts.column("n").to_numpy()
     total = known.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
     n_docs, mean = total["docs"], total["ids"] / max(1, total["docs"])
 
-    places = races(df, n_docs)
-    order = [f"k{k}" for k in range(len(places))] + ["salt", "doc_id"]
-    keyed = known.mapInArrow(lambda it: _keyed(it, places, width), ", ".join(f"k{k} int" for k in range(len(places))) + ", doc_id long, salt long, n long, ids binary")
-    dealt = keyed.repartitionByRange(max(1, math.ceil(total["ids"] / shard_tokens)), *order).sortWithinPartitions(*order)
+    order = [*(f"k{k}" for k in range(KEYS)), "salt", "doc_id"]
+    dealt = known.repartitionByRange(max(1, math.ceil(total["ids"] / shard_tokens)), *order).sortWithinPartitions(*order)
     dealt = dealt.select("doc_id", "n", "ids", F.spark_partition_id().alias("part"))
     return dealt.mapInArrow(lambda it: lean(_packed(it, df, n_docs, mean, window, shard_tokens, width)), PIECE)
 

@@ -184,14 +184,16 @@ def test_bm25_scores_and_ranks_equal_the_formula():
 
 def test_related_documents_are_neighbours_in_the_order():
     r = np.random.default_rng(5)
-    topics = [r.integers(0, 5000, 30) for _ in range(100)]
-    docs = [np.concatenate([r.choice(t, 25), r.integers(0, 50, 40)]) for t in topics for _ in range(5)]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=5000)
-    places = packing.races(df, len(docs))
-    keys = [places[0][d].min() for d in docs]
+    topics = [r.integers(2000, 5000, 30) for _ in range(100)]
+    docs = [np.concatenate([r.choice(t, 25), r.integers(0, 300, 40)]) for t in topics for _ in range(5)]
+    place, key = packing.races(5000)[0]
+    assert sorted(place) == sorted(key) == list(range(5000))
+    keys = [key[place[d].min()] for d in docs]
     same = np.mean([keys[a] == keys[b] for a in range(500) for b in range(a + 1, min(500, a - a % 5 + 5))])
     other = np.mean([keys[a] == keys[b] for a in range(0, 500, 5) for b in range(a + 5, 500, 5)])
     assert same > 0.25 and other < 0.02
+    long_ = [keys[i] for i in range(500) if i % 5 == 0]
+    assert abs(np.mean(long_) - 2500) < 500  # keys of texts of any length lie anywhere
 
 
 def fingerprint(text):
