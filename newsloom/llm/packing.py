@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.base import lean, written
 from newsloom.llm.tokens import encoder, vocabulary_size
 
-WINDOW, SHARD_TOKENS = 4096, 4_000_000
+WINDOW, SHARD_TOKENS = 4096, 2_000_000
 K1, B = 1.2, 0.75
 KEYS, SEED = 2, 20_240_517
 TOKENIZED = "".join(f"k{k} int, " for k in range(KEYS)) + "doc_id long, salt long, n long, ids binary"
@@ -93,7 +93,7 @@ class Index:
         self.idf, self.n = idf(df, n_docs), len(docs)
         ids = np.concatenate(docs) if docs else np.empty(0, np.uint16)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
-        useful = self.idf[ids] > 0
+        useful = (self.idf > 0)[ids]
         ids, owner = ids[useful], owner[useful]
         order = np.argsort(ids, kind="stable")  # by counting for 16-bit ids
         term, doc = ids[order], owner[order]
@@ -188,8 +188,8 @@ def _packed(batches: Iterator[pa.RecordBatch], df: np.ndarray, n_docs: int, mean
         docs = [ids[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
         rows = fill(docs, Index(docs, df, n_docs, mean), window)
         doc, start, length, nth, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        own, at = pa.array(doc), (ends - n)[doc] + start
-        wide = ids.astype("<u4")[np.repeat(at - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        own = pa.array(doc)
+        wide = np.concatenate([docs[d][x : x + y] for d, x, y, _, _ in rows]).astype("<u4")
         places = 4 * np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         cut = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(wide.tobytes())])
         sequence = (int(t.column("part")[0].as_py()) << 32) + number + nth

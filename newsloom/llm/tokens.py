@@ -24,7 +24,7 @@ SPACED_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 PLAIN_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 
 #: Words a worker remembers; a full memory still takes those that a chunk repeats, and starts anew a quarter beyond.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Parts with other characters than letters that a worker remembers, and characters of the longest.
 PARTS, LONGEST = 100_000, 256
 #: Bytes of texts that are cut into pieces at once.
