@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from newsloom.llm import decontamination, line_dedup, packing, quality, queries, simhash_texts
 from newsloom.llm.base import prepare, table, written
 
+#: Words whose ids a worker of the last stage remembers.
+REMEMBERED = 250_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -46,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in windows of 4,096 tokens."""
     prepare(spark)
-    pieces = packing.pack(docs, queries.vocabulary(queries.WORD_VOCABULARY), queries.END_ID)
+    pieces = packing.pack(docs, queries.vocabulary(queries.WORD_VOCABULARY), queries.END_ID, remembered=REMEMBERED)  # workers hold memory of other stages
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -45,8 +45,8 @@ def races(size: int, keys: int = KEYS) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
-    enc, size = encoder(path, width), np.dtype(width).itemsize
+def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str, remembered: int | None) -> Iterator[pa.RecordBatch]:
+    enc, size = encoder(path, width, remembered), np.dtype(width).itemsize
     own = races(max(enc.tokenizer.get_vocab_size(), end_id + 1))
     names = [*(f"k{k}" for k in range(len(own))), "doc_id", "salt", "n", "ids"]
     for batch in batches:
@@ -211,7 +211,7 @@ def _packed(batches: Iterator[pa.RecordBatch], df: np.ndarray, n_docs: int, mean
         yield close()
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary) for every piece of every document.
 
     Each document is its token ids and the end id; null texts are empty, null ids and repeated rows
@@ -219,13 +219,14 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     a frequent word, source or id spreads. Sequences are full but for the last of each shard. A sequence's number is its
     partition's, times 2**32, plus its place there. An empty table packs to nothing.
 
+    ``remembered`` words a worker keeps their ids (None: as many as `tokens` says).
     Corpus statistics cover all documents: document frequencies (one number for each vocabulary
     entry) go to the driver and back with the tasks.
     """
     width = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("salt"))
-    known = written(rows.mapInArrow(lambda it: lean(_tokenized(it, vocabulary, end_id, width)), TOKENIZED), "ids")
+    known = written(rows.mapInArrow(lambda it: lean(_tokenized(it, vocabulary, end_id, width, remembered)), TOKENIZED), "ids")
     counts = known.select("ids").mapInArrow(lambda it: _frequencies(it, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(int(max(counts.column("token").to_pylist(), default=0)) + 1, np.int64)
     df[counts.column("token").to_numpy()] = counts.column("n").to_numpy()

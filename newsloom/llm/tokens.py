@@ -24,7 +24,7 @@ SPACED_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 PLAIN_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 
 #: Words a worker remembers; a full memory still takes those that a chunk repeats, and starts anew a quarter beyond.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: Parts with other characters than letters that a worker remembers, and characters of the longest.
 PARTS, LONGEST = 100_000, 256
 #: Bytes of texts that are cut into pieces at once.
@@ -49,7 +49,7 @@ def byte_alphabet() -> dict[int, str]:
 class PieceEncoder:
     """Texts to ids, as little-endian unsigned integers in bytes (``width``: "<u2" or "<u4")."""
 
-    def __init__(self, path: str, width: str = "<u4"):
+    def __init__(self, path: str, width: str = "<u4", remembered: int | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +62,7 @@ class PieceEncoder:
         before_space = ["[ \\n\\t\\r\\x0b\\x0c] "] if self.spaced else []  # white space before a space may be one piece with it
         self.uncut = "|".join([ODD_SPACE, *before_space, *added])
         self.letters = byte_alphabet()
-        self.width = np.dtype(width)
+        self.width, self.remembered = np.dtype(width), REMEMBERED if remembered is None else remembered
         self.pack = [struct.Struct(f"<{n}{'H' if self.width.itemsize == 2 else 'I'}").pack for n in range(16)]
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -161,10 +161,10 @@ class PieceEncoder:
         data, ends = ids.tobytes(), (self.width.itemsize * (last + 1)).tolist()
         for i, a, b in zip(new, [0, *ends[:-1]], ends, strict=True):
             out[i] = data[a:b]
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) >= self.remembered:
             often = np.bincount(words.indices.to_numpy(), minlength=len(names)) > 1
             new = [i for i in new if often[i]]
-            if len(self.known) >= REMEMBERED + REMEMBERED // 4:
+            if len(self.known) >= self.remembered + self.remembered // 4:
                 self.known.clear()
         self.known.update((names[i], out[i]) for i in new if len(names[i]) <= LONGEST)
         return out
@@ -196,10 +196,11 @@ class PieceEncoder:
         return ids
 
 
-def encoder(path: str, width: str = "<u4") -> PieceEncoder:
-    """The worker's encoder for that vocabulary file."""
+def encoder(path: str, width: str = "<u4", remembered: int | None = None) -> PieceEncoder:
+    """The worker's encoder for that vocabulary file; a word it remembers takes some 200 bytes."""
     if (path, width) not in _open:
         _open[path, width] = PieceEncoder(path, width)
+    _open[path, width].remembered = REMEMBERED if remembered is None else remembered
     return _open[path, width]
 
 
