@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, embedding_dedup, html_extraction, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_store
+from newsloom.llm import decontamination, embedding_dedup, html_extraction, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_store
 from newsloom.llm.base import bytes_of, prepare, table
 
-BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_VOCABULARY, WORD_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 END_ID = 2
 
 
@@ -82,6 +83,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.octet_length(data).cast("long").alias("kept_bytes"), F.sha2(data, 256).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_quality_classifier": op2_quality_classifier,
@@ -93,4 +100,5 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_counts": op11_token_counts,
 }
