@@ -264,6 +264,7 @@ class Transducer:
         after, count = self._run(data, at, size, guess)
         tried, left, counts = [guess], [after], [count]  # of each chunk's map: states before, states after, counts
         rows = np.arange(len(at))
+        place = rows - np.maximum.accumulate(np.where(first, rows, 0))
         link = np.full((len(at), 0), -1)  # which of this chunk's states is the one that its neighbour leaves from each of its own
         while True:
             new = len(tried) - 1
@@ -275,7 +276,8 @@ class Transducer:
             done, d = link.copy(), 1
             while d < len(done):  # the composition of all maps from the text's beginning
                 before = done[:-d]
-                done[d:] = np.where(before >= 0, done[rows[d:, None], before], -1)
+                onward = np.where(before >= 0, done[rows[d:, None], before], -1)
+                done[d:] = np.where(place[d:, None] < d, done[d:], onward)  # a text's own beginning is reached
                 d *= 2
             arrived = done[:, 0]
             if (arrived >= 0).all():
