@@ -121,5 +121,13 @@ def row_chunks(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]
         a = b
 
 
+def folded(texts: pa.Array, table: bytes) -> pa.Array:
+    """The texts with each byte replaced by table's; null texts are empty. Bytes beyond ASCII have to stay."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]] if len(texts) else b""
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer((ends - ends[:1]).tobytes()), pa.py_buffer(bytes(data).translate(table))])
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -78,9 +78,27 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+TERMS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {TERMS} AS t FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {TERMS} AS t FROM benchmark),
+total AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS length FROM d WHERE len(t) > 0),
+q AS (SELECT item, item_id, term, count(*) AS q FROM (SELECT item, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY term, docs),
+s AS (
+  SELECT item, item_id, row, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), total GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": OP3,
     "op4_sharding": OP4,
     "op9_benchmark_decontamination": OP9,
     "op10_line_dedup": OP10,
+    "op13_ranked_search": OP13,
 }

@@ -71,8 +71,6 @@ def test_every_row_is_counted(docs, docs_rows, empty, library):
 
 
 def test_query_on_whole_tables(spark, library):
-    from tests.llm.test_documents import SF
-
     found = {r.doc_id: r for r in queries.op11_token_counts(spark, SF).collect()}
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {i: (r.n_bytes, r.n_tokens, r.over_limit) for i, r in found.items()} == {i: (len(t.encode()), n := len(library.encode(t)), n > 4096) for i, t in texts.items()}
