@@ -78,6 +78,34 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+OP12 = r"""
+WITH piece AS (
+  SELECT lang, w, count(*) AS m FROM (
+    SELECT lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS p FROM documents))
+  WHERE len(w) > 0 GROUP BY ALL
+), gram AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, CAST(sum(m) AS BIGINT) AS f
+  FROM (SELECT lang, w, m, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL
+), total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM gram WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM gram WHERE k > 1 AND f >= 30),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f), cut) AS nth
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+  JOIN gram x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+  JOIN gram y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ')
+), covered AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM cand WHERE k > 2))) GROUP BY ALL
+), ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, c.a DESC, c.phrase) AS rank, c.phrase, c.a, c.l, c.r, c.score
+  FROM cut c LEFT JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase WHERE nth = 1 AND (longer IS NULL OR CAST(100 AS HUGEINT) * longer < 80 * CAST(c.a AS HUGEINT))
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 TERMS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"""
 
 OP13 = f"""
@@ -100,5 +128,6 @@ ORACLES: dict[str, str] = {
     "op4_sharding": OP4,
     "op9_benchmark_decontamination": OP9,
     "op10_line_dedup": OP10,
+    "op12_collocations": OP12,
     "op13_ranked_search": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, embedding_dedup, html_extraction, line_dedup, packing, quality, ranked_search, sharding, simhash, suffix_dedup, token_counts, token_store
+from newsloom.llm import collocations, decontamination, embedding_dedup, html_extraction, line_dedup, packing, quality, ranked_search, sharding, simhash, suffix_dedup, token_counts, token_store
 from newsloom.llm.base import bytes_of, prepare, table
 
 BYTE_VOCABULARY, WORD_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -89,6 +89,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
@@ -106,5 +111,6 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
     "op13_ranked_search": op13_ranked_search,
 }

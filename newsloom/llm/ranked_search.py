@@ -125,7 +125,7 @@ class Block:
         self.of = np.searchsorted(by_term[self.starts[:-1]], np.arange(n_terms + 1))  # a term's groups
         self.scores = np.zeros(len(ids), np.int64)
 
-    def search(self, places: np.ndarray, times: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, places: np.ndarray, times: np.ndarray, k: int, least: int, step: int = FIRST_STEP) -> tuple[np.ndarray, np.ndarray]:
         """(documents, whole scores) of all that may be among the best k, given that others have reached ``least``."""
         held = [(np.arange(self.of[t], self.of[t + 1]), q) for t, q in zip(places.tolist(), times.tolist(), strict=True) if self.of[t] < self.of[t + 1]]
         if not held:
@@ -137,7 +137,7 @@ class Block:
         groups, lists, adds = groups[order], lists[order], adds[order]
         sizes = self.starts[groups + 1] - self.starts[groups]
         upto = np.cumsum(sizes)
-        partial, at, step = self.scores, 0, FIRST_STEP
+        partial, at = self.scores, 0
         partial[:] = 0
         while at < len(groups):
             to = min(len(groups), int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step)) + 1)
@@ -166,6 +166,7 @@ class Block:
 
 def _ranked(rows: DataFrame, items: Items, weight: np.ndarray, documents: int, length: int, k: int, kind: str) -> DataFrame:
     """Each task's best k documents of each item."""
+    step = FIRST_STEP
 
     def search(parts: list[pa.RecordBatch], best: Best) -> None:
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -175,7 +176,7 @@ def _ranked(rows: DataFrame, items: Items, weight: np.ndarray, documents: int, l
         impact = impacts(weight[term], tf, np.repeat(n, sizes), documents, length)
         block = Block(pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False), sizes, term, impact, len(weight))
         for i, (places, times) in enumerate(items.lists):
-            found, scores = block.search(places, times, k, best.least(i))
+            found, scores = block.search(places, times, k, best.least(i), step)
             best.add(i, scores, block.ids[found], block.null[found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
