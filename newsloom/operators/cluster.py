@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import cluster_tokens
+from newsloom.operators.order import laid_out, numbered, spells
+from newsloom.session import settled
 
 SIMILARITY, SHARED, WINDOW_HOURS = 0.32, 2, 60
 UNDATED = "2000-01-01"
+#: Items of a spell that one task passes over.
+ONE_TASK = 50_000
 
 
 def fold(tokens: list[set[str]], seconds: list[float], similarity: float, shared: int, window: float) -> list[int]:
@@ -44,26 +48,30 @@ def fold(tokens: list[set[str]], seconds: list[float], similarity: float, shared
 
 
 def cluster_greedy(
-    df: DataFrame, batch: str, item: str, title: str, published: str, order: list[str], similarity: float = SIMILARITY, shared: int = SHARED, window_hours: float = WINDOW_HOURS
+    df: DataFrame,
+    batch: str,
+    item: str,
+    title: str,
+    published: str,
+    order: list[str | Column],
+    similarity: float = SIMILARITY,
+    shared: int = SHARED,
+    window_hours: float = WINDOW_HOURS,
+    one_task: int = ONE_TASK,
 ) -> DataFrame:
-    """df with cluster (a number within its batch), by one ordered pass over each batch.
+    """df with cluster (a number within its batch), as one ordered pass over each batch gives it.
 
-    The pass depends on order, so it is one task for each spell of a batch: items farther apart in time than the
-    window cannot share a cluster, so a batch is divided at its longer gaps, exactly. Choose batches of
-    bounded size (a run, a day, a source). Missing dates count as the start of 2000, so they meet each other only.
+    Items farther apart in time than the window cannot share a cluster, so a batch is divided at its longer gaps, exactly.
+    Spells of at most ``one_task`` items are passed over by a task each, larger ones by `fold_rounds`; both give the
+    same clusters. Missing dates count as the start of 2000, so they meet each other only.
     Clusters are numbered in order of arrival within their batch.
     """
-    narrow = df.select(
-        batch,
-        item,
-        cluster_tokens(F.col(title)).alias("tokens"),
-        F.unix_micros(F.coalesce(F.col(published).cast("timestamp"), F.lit(UNDATED).cast("timestamp"))).alias("at"),
-        F.struct(*order).alias("__order"),
-    )
-    narrow = narrow.select(batch, item, "tokens", "at", F.row_number().over(Window.partitionBy(batch).orderBy("__order")).alias("n"))
-    by_time = Window.partitionBy(batch).orderBy("at")
-    gap = F.col("at") - F.lag("at").over(by_time) > int(window_hours * 3.6e9)
-    narrow = narrow.withColumn("spell", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_time))
+    reach = int(window_hours * 3.6e9)
+    at = F.unix_micros(F.coalesce(F.col(published).cast("timestamp"), F.lit(UNDATED).cast("timestamp")))
+    narrow = df.select(batch, item, cluster_tokens(F.col(title)).alias("tokens"), at.alias("at"), F.struct(*order).alias("__order"))
+    rows = spells(laid_out(narrow, [batch], ["__order"]).drop("__order", "__part"), batch, "at", reach)
+    sizes = settled(rows.groupBy(batch, "spell").agg(F.count("*").alias("__size")))
+    rows = settled(rows.join(sizes, [batch, "spell"]))
     types = dict(df.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,11 +80,88 @@ def cluster_greedy(
         first = pdf.groupby(got)["n"].transform("min")
         return pd.DataFrame({batch: pdf[batch], item: pdf[item], "first": first})
 
-    found = narrow.groupBy(batch, "spell").applyInPandas(one, f"{batch} {types[batch]}, {item} {types[item]}, first long")
-    found = found.select(batch, item, (F.dense_rank().over(Window.partitionBy(batch).orderBy("first")) - 1).cast("long").alias("cluster"))
+    small = rows.where(F.col("__size") <= one_task).drop("__size")
+    found = small.groupBy(batch, "spell").applyInPandas(one, f"{batch} {types[batch]}, {item} {types[item]}, first long")
+    if not sizes.where(F.col("__size") > one_task).isEmpty():
+        large = fold_rounds(rows.where(F.col("__size") > one_task).drop("__size"), [batch, "spell"], similarity, shared, reach)
+        found = found.unionByName(large.select(batch, item, F.col("c").alias("first")))
+    found = settled(found)
+    leaders = numbered(found.select(batch, "first").distinct(), [batch], ["first"], "cluster")
+    found = found.join(leaders, [batch, "first"]).select(batch, item, (F.col("cluster") - 1).alias("cluster"))
     return df.join(found, [batch, item])
 
 
+def fold_rounds(rows: DataFrame, scope: list[str], similarity: float, shared: int, reach: int, told: list[int] | None = None) -> DataFrame:
+    """rows (scope, n, tokens, at and others) with c, the n of the first item of the cluster that `fold` puts each in.
+
+    A speculative parallel fold. Every item chooses among the clusters that the round before gives, as they were when it
+    came: only members of smaller n count. Items whose clusters changed choose again, until nothing
+    changes. Then each item has chosen by the final choices of all before it, which is the ordered pass; a round settles at least the first
+    unsettled item, and as guesses are mostly right few rounds are needed. ``told`` gets the number of items that chose in each.
+
+    An item shares at least ``similarity`` of its tokens with its cluster, so one of its rarest tokens is among
+    them; and a cluster of more than size / similarity tokens takes no item of that size, so of each only the
+    tokens that came first are kept, a bounded number. Nothing needs all members of a cluster in one place.
+    """
+    s = scope
+    rows = settled(rows)
+    most = rows.agg(F.max(F.size("tokens")).alias("m")).first().m or 0
+    cap = int(most / similarity) + 1
+    words = rows.select(*s, "n", F.explode("tokens").alias("w"))
+    often = words.groupBy(*s, "w").agg(F.count("*").alias("df"))
+    ranked = words.join(often, [*s, "w"]).groupBy(*s, "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("by"))
+    keep = F.size("by") - F.greatest(F.ceil(F.size("by") * similarity - 1e-9).cast("int"), F.lit(max(shared, 1))) + 1
+    probes = settled(ranked.where(keep > 0).select(*s, "n", F.explode(F.slice("by", 1, keep)).alias("x")).select(*s, "n", F.col("x.w").alias("w")))
+    alike = rows.groupBy(*s, "tokens").agg(F.min("n").alias("c"))  # the first guess: equal titles lie together
+    now = settled(rows.join(alike, [*s, "tokens"]))
+    met = affected = None
+    while True:
+        occ = settled(now.select(*s, "c", "n", F.explode("tokens").alias("w")).groupBy(*s, "c", "w").agg(F.min("n").alias("first")))
+        if met is not None:
+            dirty = moved.select(*s, F.explode(F.array("c", "old")).alias("c")).distinct()  # noqa: F821 - set by the round before
+            again = probes.join(occ.join(dirty, [*s, "c"], "left_semi"), [*s, "w"]).select(*s, "n").unionByName(met.join(dirty, [*s, "c"], "left_semi").select(*s, "n"))
+            affected = settled(again.distinct())
+            if told is not None:
+                told.append(affected.count())
+        asking = probes if affected is None else probes.join(affected, [*s, "n"], "left_semi")
+        pairs = settled(asking.join(occ, [*s, "w"]).where("first < n").select(*s, "n", "c").distinct())
+        place = Window.partitionBy(*s, "c").orderBy("first", "w")
+        early = occ.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= cap + 1)
+        held = early.groupBy(*s, "c").agg(F.collect_list(F.struct("first", "w")).alias("held"))
+        span = now.groupBy(*s, "c").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+        seen = pairs.join(rows.select(*s, "n", "tokens", "at"), [*s, "n"]).join(held.join(span, [*s, "c"]), [*s, "c"])
+        seen = seen.withColumn("then", F.expr("transform(filter(held, h -> h.first < n), h -> h.w)"))
+        both = F.size(F.array_intersect("tokens", "then"))
+        fits = (F.size("then") <= cap) & (both >= shared) & (both / (F.size("tokens") + F.size("then") - both) >= similarity)
+        fitting = settled(seen.where(fits).select(*s, "n", "c", "at", ((F.col("hi") - reach <= F.col("at")) & (F.col("at") <= F.col("lo") + reach)).alias("sure")))
+        good = fitting.where("sure").select(*s, "n", "c").unionByName(_in_time(fitting.where("not sure"), now, s, reach))
+        chosen = good.groupBy(*s, "n").agg(F.min("c").alias("__c"))
+        told_all = rows.select(*s, "n") if affected is None else affected
+        choice = told_all.join(chosen, [*s, "n"], "left").select(*s, "n", F.coalesce("__c", "n").alias("__c"))
+        after = settled(now.withColumnRenamed("c", "old").join(choice, [*s, "n"], "left").withColumn("c", F.coalesce("__c", "old")).drop("__c"))
+        moved = settled(after.where("c <> old").select(*s, "c", "old"))
+        now = after.drop("old")
+        met = pairs if met is None else settled(met.join(affected, [*s, "n"], "left_anti").unionByName(pairs))
+        if moved.isEmpty():
+            return now
+
+
+def _in_time(doubtful: DataFrame, members: DataFrame, s: list[str], reach: int) -> DataFrame:
+    """The (n, c) of which no earlier member lies farther away in time than ``reach``.
+
+    Members are summed up by slots of a 64th of the reach; only a slot that the border divides is looked at member by member.
+    """
+    slot = F.floor(F.col("at") / max(1, reach // 64))
+    told = members.select(*s, "c", slot.alias("slot"), F.col("at").alias("at2"), F.col("n").alias("n2"))
+    slots = told.groupBy(*s, "c", "slot").agg(F.min("n2").alias("n2"), F.min("at2").alias("lo"), F.max("at2").alias("hi"))
+    over, under = F.col("at") + reach, F.col("at") - reach
+    hits = doubtful.join(slots, [*s, "c"]).where((F.col("n2") < F.col("n")) & ((F.col("hi") > over) | (F.col("lo") < under)))
+    beyond = (F.col("lo") > over) | (F.col("hi") < under)
+    divided = hits.where(~beyond).select(*s, "c", "slot", "n", "at").join(told, [*s, "c", "slot"]).where((F.col("n2") < F.col("n")) & ((F.col("at2") > over) | (F.col("at2") < under)))
+    broken = hits.where(beyond).select(*s, "n", "c").unionByName(divided.select(*s, "n", "c"))
+    return doubtful.join(broken, [*s, "n", "c"], "left_anti").select(*s, "n", "c")
+
+
 def similar_pairs(df: DataFrame, batch: str, item: str, title: str, published: str, similarity: float = SIMILARITY, shared: int = SHARED, window_hours: float = WINDOW_HOURS) -> DataFrame:
     """a, b: all pairs of items of one batch alike in title and time (order does not matter).
 
