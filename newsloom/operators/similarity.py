@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import overlap_tokens, word_list
+from newsloom.session import settled
 
 
 def first_restated(docs: DataFrame, id_col: str, title: Column, order: str, at_least: float = 0.6) -> DataFrame:
@@ -30,24 +33,71 @@ def first_restated(docs: DataFrame, id_col: str, title: Column, order: str, at_l
     return got.select("id", "m.earlier", "m.similarity")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, also where f uses it for each element of a list."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def anchors(df: DataFrame, key: str, text: Column, n: int, g: int, side: str) -> DataFrame:
+    """The minimisers of a text: of each n words the run of g words whose hash is least, the first of equals.
+
+    {side}_id, {side}_at, h (the hash of the run), before and after (hashes of all words from the anchor before, and up to
+    the one after), {side}_back and {side}_on (hashes of the n - g words to either side, nearest first).
+    Words are hashed once; a text of fewer than n words has no anchors.
+    """
+    at = lambda name: F.col(f"{side}_{name}")
+    hashes = F.transform(word_list(text), lambda w: F.xxhash64(w))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (g - 1)), lambda i: F.struct(F.xxhash64(F.slice(w, i, g)).alias("h"), i.alias("at")))
+    least = lambda w, gs: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_min(F.slice(gs, i, n - g + 1))))
+    marked = lambda w: F.when(F.size(w) >= n, F.struct(w.alias("w"), _once(grams(w), lambda gs: least(w, gs)).alias("marks")))
+    words = df.select(F.col(key).alias(f"{side}_id"), F.explode(F.transform(F.array(hashes), marked)).alias("x")).where("x is not null")
+    placed = words.select(f"{side}_id", F.col("x.w").alias("w"), F.col("x.marks").alias("marks"), F.posexplode("x.marks").alias("k", "m"))
+    near = lambda k: F.try_element_at("marks", k)["at"]
+    placed = placed.withColumn("prior", F.when(F.col("k") > 0, near(F.greatest(F.col("k"), F.lit(1))))).withColumn("next", near(F.col("k") + 2))
+    placed = placed.select("*", F.col("m.h").alias("h"), F.col("m.at").alias(f"{side}_at"))
+    back = F.least(at("at") - 1, F.lit(n - g))
+    return placed.select(
+        f"{side}_id",
+        f"{side}_at",
+        "h",
+        F.when(F.col("prior").isNotNull(), F.xxhash64(F.slice("w", F.coalesce("prior", F.lit(1)), at("at") - F.coalesce("prior", F.lit(1))))).alias("before"),
+        F.when(F.col("next").isNotNull(), F.xxhash64(F.slice("w", at("at"), F.coalesce("next", at("at")) - at("at") + g))).alias("after"),
+        F.reverse(F.slice("w", at("at") - back, back)).alias(f"{side}_back"),
+        F.slice("w", at("at") + g, n - g).alias(f"{side}_on"),
+    )
+
+
+def _equal_words(a: str, b: str) -> Column:
+    """How many words two lists of hashes begin with in common."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+
+
 def shared_runs(left: DataFrame, right: DataFrame, left_id: str, left_text: Column, right_id: str, right_text: Column, more_than: int = 7) -> DataFrame:
     """left_id, right_id, run_len, run_end: the longest common run of words of each pair beyond ``more_than``.
 
-    Only runs of more_than + 1 words matter, so equal grams of that many words propose the pairs (by
-    128 bits of hashes); grams that follow each other on a diagonal are one run (gaps and islands). Of equally
-    long runs the one that ends first on the left counts.
+    A common run of n = more_than + 1 words has the same anchor on both sides, so equal anchors propose the places. Within a longer run the
+    anchors follow each other alike on both sides: such a pair neither begins nor ends a run and is not even formed, as
+    the kinds of an anchor (its hash and the hashes up to its neighbours) are joined before their places. What is left are the
+    ends of runs, whose words reach less than n - g beyond an anchor. So rows come in proportion to runs, not to words, and a
+    passage that very many texts share costs a row for each pair that shares it. Words are told apart by 64 bits of hash,
+    over at least n words in a row. Of equally long runs the one that ends first on the left counts.
     """
     n = more_than + 1
-
-    def grams(df: DataFrame, key: str, text: Column, side: str) -> DataFrame:
-        words = df.select(F.col(key).alias(f"{side}_id"), word_list(text).alias("w")).where(F.size("w") >= n)
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, n)).alias("h1"), F.xxhash64(F.lit(n), F.slice("w", i, n)).alias("h2")))
-        return words.select(f"{side}_id", F.explode(runs).alias("g")).select(f"{side}_id", F.col("g.at").alias(f"{side}_at"), "g.h1", "g.h2")
-
-    met = grams(left, left_id, left_text, "left").join(grams(right, right_id, right_text, "right"), ["h1", "h2"])
-    line = ["left_id", "right_id", F.col("left_at") - F.col("right_at")]
-    w = Window.partitionBy(*line).orderBy("left_at")
-    lone = met.drop("h1", "h2").distinct().withColumn("diag", F.col("left_at") - F.col("right_at")).withColumn("island", F.col("left_at") - F.row_number().over(w))
-    runs = lone.groupBy("left_id", "right_id", "diag", "island").agg((F.count("*") + (n - 1)).alias("run_len"), (F.max("left_at") + (n - 1)).alias("run_end"))
+    g = max(1, n // 2)
+    a, b = anchors(left, left_id, left_text, n, g, "left"), anchors(right, right_id, right_text, n, g, "right")
+    kind = ["h", "before", "after"]
+    a, b = settled(a.join(b.select("h").distinct(), "h", "left_semi")), settled(b)
+    kinds = a.select(*kind).distinct().withColumnsRenamed({"before": "lb", "after": "la"}).join(b.select(*kind).distinct().withColumnsRenamed({"before": "rb", "after": "ra"}), "h")
+    alike_before, alike_after = (F.coalesce(F.col(f"l{x}") == F.col(f"r{x}"), F.lit(False)) for x in "ba")
+    kinds = kinds.withColumn("goes_on", alike_after).where(~(alike_before & alike_after))
+    ends = kinds.alias("k").join(a.alias("l"), F.expr("k.h = l.h and k.lb <=> l.before and k.la <=> l.after")).drop("before", "after").select("k.*", "left_id", "left_at", "left_back", "left_on")
+    ends = ends.alias("k").join(b.alias("r"), F.expr("k.h = r.h and k.rb <=> r.before and k.ra <=> r.after"))
+    ends = ends.select("left_id", "right_id", "left_at", "goes_on", (F.col("left_at") - F.col("right_at")).alias("diag"), (F.col("left_at") - _equal_words("left_back", "right_back")).alias("lo"), (F.col("left_at") + (g - 1) + _equal_words("left_on", "right_on")).alias("hi"))
+    w = Window.partitionBy("left_id", "right_id", "diag").orderBy("left_at")
+    joined = F.coalesce(F.lag("goes_on").over(w) | (F.col("lo") <= F.lag("hi").over(w) + 1), F.lit(False))
+    runs = ends.distinct().withColumn("new", (~joined).cast("int")).withColumn("run", F.sum("new").over(w)).groupBy("left_id", "right_id", "diag", "run").agg((F.max("hi") - F.min("lo") + 1).alias("run_len"), F.max("hi").alias("run_end"))
+    runs = runs.where(F.col("run_len") >= n)
     best = runs.groupBy("left_id", "right_id").agg(F.max_by(F.struct("run_len", "run_end"), F.struct("run_len", -F.col("run_end"))).alias("m"))
-    return best.select("left_id", "right_id", "m.run_len", "m.run_end")
+    return best.select("left_id", "right_id", F.col("m.run_len").cast("long").alias("run_len"), F.col("m.run_end").cast("long").alias("run_end"))
