@@ -45,26 +45,25 @@ def anchors(df: DataFrame, key: str, text: Column, n: int, g: int, side: str) ->
     the one after), {side}_back and {side}_on (hashes of the n - g words to either side, nearest first).
     Words are hashed once; a text of fewer than n words has no anchors.
     """
-    at = lambda name: F.col(f"{side}_{name}")
     hashes = F.transform(word_list(text), lambda w: F.xxhash64(w))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (g - 1)), lambda i: F.struct(F.xxhash64(F.slice(w, i, g)).alias("h"), i.alias("at")))
-    least = lambda w, gs: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_min(F.slice(gs, i, n - g + 1))))
-    marked = lambda w: F.when(F.size(w) >= n, F.struct(w.alias("w"), _once(grams(w), lambda gs: least(w, gs)).alias("marks")))
-    words = df.select(F.col(key).alias(f"{side}_id"), F.explode(F.transform(F.array(hashes), marked)).alias("x")).where("x is not null")
-    placed = words.select(f"{side}_id", F.col("x.w").alias("w"), F.col("x.marks").alias("marks"), F.posexplode("x.marks").alias("k", "m"))
-    near = lambda k: F.try_element_at("marks", k)["at"]
-    placed = placed.withColumn("prior", F.when(F.col("k") > 0, near(F.greatest(F.col("k"), F.lit(1))))).withColumn("next", near(F.col("k") + 2))
-    placed = placed.select("*", F.col("m.h").alias("h"), F.col("m.at").alias(f"{side}_at"))
-    back = F.least(at("at") - 1, F.lit(n - g))
-    return placed.select(
-        f"{side}_id",
-        f"{side}_at",
-        "h",
-        F.when(F.col("prior").isNotNull(), F.xxhash64(F.slice("w", F.coalesce("prior", F.lit(1)), at("at") - F.coalesce("prior", F.lit(1))))).alias("before"),
-        F.when(F.col("next").isNotNull(), F.xxhash64(F.slice("w", at("at"), F.coalesce("next", at("at")) - at("at") + g))).alias("after"),
-        F.reverse(F.slice("w", at("at") - back, back)).alias(f"{side}_back"),
-        F.slice("w", at("at") + g, n - g).alias(f"{side}_on"),
-    )
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (g - 1)), lambda i: F.struct(F.xxhash64(*[F.get(w, i + (j - 1)) for j in range(g)]).alias("h"), i.alias("at")))
+    window = lambda gs, i: F.least(*[F.get(gs, i + (j - 1)) for j in range(n - g + 1)]) if n > g else F.get(gs, i - 1)
+    places = lambda w, gs: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: window(gs, i)["at"]))
+    least = lambda w, gs: F.transform(places(w, gs), lambda at: F.get(gs, at - 1))  # noqa: E731 - distinct numbers, as distinct structs would be compared pair by pair
+
+    def told(w: Column, marks: Column) -> Column:
+        def one(m: Column, k: Column) -> Column:
+            at, prior, following = m["at"], F.when(k > 0, F.get(marks, k - 1)["at"]), F.get(marks, k + 1)["at"]
+            back = F.least(at - 1, F.lit(n - g))
+            before = F.when(prior.isNotNull(), F.xxhash64(F.slice(w, F.coalesce(prior, at), at - F.coalesce(prior, at))))
+            after = F.when(following.isNotNull(), F.xxhash64(F.slice(w, at, F.coalesce(following, at) - at + g)))
+            return F.struct(m["h"].alias("h"), at.alias("at"), before.alias("before"), after.alias("after"), F.reverse(F.slice(w, at - back, back)).alias("back"), F.slice(w, at + g, n - g).alias("on"))
+
+        return F.transform(marks, one)
+
+    whole = lambda w: F.when(F.size(w) >= n, _once(_once(grams(w), lambda gs: least(w, gs)), lambda marks: told(w, marks)))
+    found = df.select(F.col(key).alias(f"{side}_id"), F.explode_outer(_once(hashes, whole)).alias("x")).where("x is not null")  # the plain form would test the list first, which computes it twice
+    return found.select(f"{side}_id", F.col("x.at").alias(f"{side}_at"), "x.h", "x.before", "x.after", F.col("x.back").alias(f"{side}_back"), F.col("x.on").alias(f"{side}_on"))
 
 
 def _equal_words(a: str, b: str) -> Column:
