@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from newsloom.plans.adapters import CANDIDATES, candidates, table
 from newsloom.plans.harvest import harvest
 from newsloom.plans.registry import query
 from newsloom.plans.text_queries import HOST, KEY, sql_class_tokens, sql_cluster_tokens, sql_overlap_tokens
-from newsloom.session import settled
+from newsloom.session import settled, shared_folder
 from newsloom.sources import feeds
+from newsloom.sources.history import SeenIndex
 
 BOUND = r"\b"
 
@@ -177,6 +180,16 @@ def novelty(spark, sf_dir):
     return c.join(seen, "url", "left").select("id", F.col("old").isNull().alias("novel"))
 
 
+@query("history_lookup", f"WITH {CANDIDATES} SELECT DISTINCT url, batch AS date FROM candidates WHERE batch < (SELECT max(batch) FROM candidates) AND url IN (SELECT url FROM candidates WHERE batch = (SELECT max(batch) FROM candidates))")
+def history_lookup(spark, sf_dir):
+    """The newest day's URLs among those of all days before, by an index that is written first."""
+    c = candidates(spark, sf_dir)
+    newest = c.agg(F.max("batch").alias("d")).first()["d"]
+    index = SeenIndex(spark, f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}", buckets=8)
+    index.add(c.where(F.col("batch") < newest), "url", "batch")
+    return index.lookup(c.where(F.col("batch") == newest), "url")
+
+
 # wire -------------------------------------------------------------------------------------------
 
 _WIRE = f"""WITH {HOSTED.lstrip()}, {CANDIDATES}, {USABLE},

@@ -23,17 +23,23 @@ def session(name: str = "newsloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder ``spark.checkpoint.dir``, for tables that several steps read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir``, which all executors share.
 
     A folder of our own is made only where that setting is missing and all tasks run on this machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not re.match(r"local(\[|$)", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="newsloom-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder, for tables that several steps read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
