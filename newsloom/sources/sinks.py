@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +47,85 @@ def prune_dated(spark: SparkSession, path: str, run_date: str, days: int = RETEN
     return sorted(gone)
 
 
-def gated_write(df: DataFrame, violations: DataFrame, path: str, date_col: str = "date") -> None:
-    """Write all or nothing: any error among the violations stops the write."""
-    if not violations.where("severity = 'E'").isEmpty():
-        raise ValueError("the document breaks its rules; nothing was written")
-    write_dated(df, path, date_col)
+class StagedDates:
+    """All-or-nothing replacement of the dates of a table.
+
+    Rows are staged below the table, in a folder that readers of the table do not see. Publishing first writes the list of dates
+    to be moved, which is the commit; then each date is moved. A write that ends before the list is there leaves nothing but
+    staged files, one that ends after it is finished by the next `recover` (which every write begins with), so no date is ever half new.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, date_col: str = "date"):
+        self.spark, self.path, self.date_col = spark, path.rstrip("/"), date_col
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(path)) if self.fs.exists(path) else []
+
+    def stage(self, df: DataFrame) -> str:
+        """Write df aside; the name of what is staged."""
+        name = uuid.uuid4().hex
+        df.write.partitionBy(self.date_col).parquet(f"{self.path}/_staged/{name}")
+        return name
+
+    def staged(self, name: str, df: DataFrame) -> DataFrame:
+        """What was staged, with df's columns, so that a check sees the very rows that will be published."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/_staged/{name}")
+
+    def commit(self, name: str) -> None:
+        out = self.fs.create(self._path(f"_staged/{name}.open"), True)
+        out.close()
+        self.fs.rename(self._path(f"_staged/{name}.open"), self._path(f"_staged/{name}.commit"))
+        self._publish(name)
+
+    def abort(self, name: str) -> None:
+        self.fs.delete(self._path(f"_staged/{name}"), True)
+
+    def _publish(self, name: str) -> None:
+        for date in self._names(f"_staged/{name}"):
+            if date.startswith(f"{self.date_col}="):
+                self.fs.delete(self._path(date), True)
+                if not self.fs.rename(self._path(f"_staged/{name}/{date}"), self._path(date)):
+                    raise OSError(f"{date} could not be moved; recover() goes on with it")
+        self.fs.delete(self._path(f"_staged/{name}"), True)
+        self.fs.delete(self._path(f"_staged/{name}.commit"), False)
+
+    def recover(self) -> list[str]:
+        """Finish what was committed, drop what was not; the names of what was finished. One writer a table at a time."""
+        names = self._names("_staged")
+        done = [n.removesuffix(".commit") for n in names if n.endswith(".commit")]
+        for name in done:
+            self._publish(name)
+        for name in names:
+            if not name.endswith(".commit") and name not in done:
+                self.fs.delete(self._path(f"_staged/{name}"), True)
+        return done
+
+
+def gated_write(df: DataFrame, violations: DataFrame | Callable[[DataFrame], DataFrame], path: str, date_col: str = "date") -> None:
+    """Write all or nothing: any error among the violations stops the write.
+
+    ``violations``: a table, or a function of the staged rows; as a function, df is computed once and what is checked is what is published.
+    """
+    broken = lambda found: not found.where("severity = 'E'").isEmpty()
+    refused = ValueError("the document breaks its rules; nothing was written")
+    if not callable(violations) and broken(violations):
+        raise refused
+    table = StagedDates(df.sparkSession, path, date_col)
+    table.recover()
+    name = table.stage(df)
+    try:
+        if callable(violations) and broken(violations(table.staged(name, df))):
+            raise refused
+    except BaseException:
+        table.abort(name)
+        raise
+    table.commit(name)
 
 
 def upsert_snapshot(items: DataFrame, path: str, date_col: str = "date") -> bool:
