@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import squash
+from newsloom.operators.order import numbered, running_count
+from newsloom.session import settled
 
 
 def dedupe_by_key(df: DataFrame, key: Column, order: list[str | Column]) -> DataFrame:
@@ -27,21 +29,24 @@ def append_new(known: DataFrame, leads: DataFrame, key: str = "url") -> DataFram
 def suffix_collisions(df: DataFrame, id_col: str, order: list[str], within: list[str] = ()) -> DataFrame:
     """The nth row of an id gets -n; a suffixed id that is itself taken moves on to the next free number.
 
-    Where no number is taken n itself is free. Else the free number is n plus the taken ones before it: the
-    taken numbers, less those before each, are sorted, and a row counts how many of them are not above its own n.
+    Where no number is taken n itself is free. Else the taken numbers of an id leave gaps: the ith of them (from 0), less i, is
+    the first n that it moves on by one. So rows and these marks are laid out together by number, and a row moves on by as
+    many marks as come up to it. Numbers and marks are counted over range partitions, so an id with very many rows
+    or taken numbers is no task of its own.
     """
-    scope = list(within)
-    w = Window.partitionBy(*scope, id_col).orderBy(*order)
-    once = df.withColumn("__n", F.row_number().over(w))
-    taken = df.select(*scope, F.col(id_col).alias("__taken")).distinct()
-    held = taken.select(*scope, F.regexp_extract("__taken", r"^(.*)-\d+$", 1).alias("__base"), F.regexp_extract("__taken", r"-([1-9]\d{0,8})$", 1).alias("__k")).where("__base <> '' and __k <> ''")
-    used = F.array_sort(F.collect_set(F.col("__k").cast("long")))
-    held = held.where(F.col("__k").cast("long") >= 2).groupBy(*scope, "__base").agg(used.alias("__used"))
-    held = held.select(*scope, F.col("__base").alias(id_col), F.transform("__used", lambda k, i: k - i).alias("__free"))
-    joined = once.join(held, [*scope, id_col], "left")
-    before = F.when(F.col("__free").isNull(), 0).otherwise(F.size(F.filter("__free", lambda k: k <= F.col("__n"))))
-    new = F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("-"), (F.col("__n") + before).cast("string")))
-    return joined.withColumn(id_col, new).select(*df.columns)
+    scope = [*within, id_col]
+    once = numbered(df, scope, list(order), "__n")
+    base, number = F.regexp_extract(id_col, r"^(.*)-\d+$", 1), F.regexp_extract(id_col, r"-([1-9]\d{0,8})$", 1)
+    held = df.select(*within, base.alias("__base"), F.nullif(number, F.lit("")).cast("long").alias("__k")).where("__base <> '' and __k >= 2").distinct()
+    held = settled(held.withColumnRenamed("__base", id_col).join(df.select(*scope).distinct(), scope, "left_semi"))
+    if held.isEmpty():
+        moved = once.withColumn("__before", F.lit(0))
+    else:
+        gaps = numbered(held, scope, ["__k"], "__i").select(*scope, (F.col("__k") - F.col("__i") + 1).alias("__number"), F.lit(0).alias("__side"))
+        both = once.withColumn("__number", F.col("__n")).withColumn("__side", F.lit(1)).unionByName(gaps, allowMissingColumns=True)
+        moved = running_count(both, scope, ["__number", "__side"], F.col("__side") == 0, "__before").where("__side = 1")
+    new = F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("-"), (F.col("__n") + F.col("__before")).cast("string")))
+    return moved.withColumn(id_col, new).select(*df.columns)
 
 
 def corroborators(names: Column, cited: Column, most: int = 6) -> Column:

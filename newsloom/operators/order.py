@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +20,26 @@ def laid_out(df: DataFrame, scope: list[str], order: list[str | Column], name: s
     return settled(ranged.withColumn("__part", F.spark_partition_id()).withColumn(name, F.monotonically_increasing_id()))
 
 
-def numbered(df: DataFrame, scope: list[str], order: list[str | Column], name: str = "n") -> DataFrame:
-    """df with ``name``: 1, 2, ... in the order of each scope.
+def running_count(df: DataFrame, scope: list[str], order: list[str | Column], flag: Column, name: str = "n") -> DataFrame:
+    """df with ``name``: how many rows of its scope up to each row, in order, have the flag.
 
-    Rows are numbered within range partitions; a partition starts behind the counts of those before it, of which there is one row each.
+    Rows are counted within range partitions; a partition starts behind the counts of those before it, of which there is one row each.
+    Null is a scope like any other.
     """
-    rows = laid_out(df, scope, order, "__at")
+    rows = laid_out(df.withColumn("__flag", F.coalesce(flag.cast("int"), F.lit(0))), scope, order, "__at")
     part = [*scope, "__part"]
-    counts = rows.groupBy(*part).agg(F.count("*").alias("__c"))
-    before = counts.select(*part, F.coalesce(F.sum("__c").over(Window.partitionBy(*scope).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(*part).orderBy("__at"))
-    return rows.withColumn("__own", own).join(before, part).withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", "__part", "__at")
+    counts = rows.groupBy(*part).agg(F.sum("__flag").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*scope).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(part)], F.coalesce(upto, F.lit(0)).alias("__before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(part)])
+    own = F.sum("__flag").over(Window.partitionBy(*part).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    told = rows.withColumn("__own", own).join(before, same)
+    return told.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, scope: list[str], order: list[str | Column], name: str = "n") -> DataFrame:
+    """df with ``name``: 1, 2, ... in the order of each scope, as `running_count` counts."""
+    return running_count(df, scope, order, F.lit(True), name)
 
 
 def spells(df: DataFrame, scope: str, at: str, gap: int, name: str = "spell") -> DataFrame:
