@@ -71,7 +71,7 @@ def cluster_greedy(
     narrow = df.select(batch, item, cluster_tokens(F.col(title)).alias("tokens"), at.alias("at"), F.struct(*order).alias("__order"))
     rows = spells(laid_out(narrow, [batch], ["__order"]).drop("__order", "__part"), batch, "at", reach)
     sizes = settled(rows.groupBy(batch, "spell").agg(F.count("*").alias("__size")))
-    rows = settled(rows.join(sizes, [batch, "spell"]))
+    rows = rows.join(sizes, [batch, "spell"])
     types = dict(df.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

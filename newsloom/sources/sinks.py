@@ -155,14 +155,14 @@ def sitemap(groups: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-# Fixed values: (page, change frequency, priority) of the pages that every site has.
+#: (page, change frequency, priority) of a site's fixed pages, where its own are not given.
 PAGES = [
     ("", "daily", "1.0"), ("archive.html", "daily", "0.6"), ("topics.html", "daily", "0.6"), ("hackathons.html", "weekly", "0.7"),
     ("methodology.html", "monthly", "0.4"), ("legal.html", "yearly", "0.3"), ("terms.html", "yearly", "0.2"), ("privacy.html", "yearly", "0.2"),
 ]
 
 
-def site_map(spark: SparkSession, base_url: str, editions: DataFrame, stories: DataFrame, entities: DataFrame, digests: DataFrame, wires: DataFrame) -> DataFrame:
+def site_map(spark: SparkSession, base_url: str, editions: DataFrame, stories: DataFrame, entities: DataFrame, digests: DataFrame, wires: DataFrame, pages: list[tuple[str, str, str]] = PAGES) -> DataFrame:
     """loc, lastmod, changefreq, priority of every page of a site.
 
     editions, digests, wires: date; stories: path, date; entities: slug, last. The digest's front page is
@@ -171,7 +171,7 @@ def site_map(spark: SparkSession, base_url: str, editions: DataFrame, stories: D
     day, none = F.date_format("date", "yyyy-MM-dd"), F.lit(None).cast("date")
     at = lambda df, path, last: df.select(F.concat(F.lit(f"{base_url}/"), path).alias("loc"), last.alias("lastmod"))
     dated = lambda df, folder: at(df, F.concat(F.lit(f"{folder}/"), day, F.lit(".html")), F.col("date"))
-    fixed = [(at(spark.range(1), F.lit(page), none), freq, priority) for page, freq, priority in PAGES]
+    fixed = [(at(spark.range(1), F.lit(page), none), freq, priority) for page, freq, priority in pages]
     fixed.append((at(digests.limit(1), F.lit("digest.html"), none), "hourly", "0.6"))
     entity = at(entities, F.concat(F.lit("entity/"), F.col("slug"), F.lit(".html")), F.col("last"))
     own = [(dated(digests, "digest"), "weekly", "0.4"), (dated(wires, "wire"), "yearly", "0.2"), (entity, "weekly", "0.5"), (dated(editions, "edition"), "monthly", "0.7"), (at(stories, F.col("path"), F.col("date")), "monthly", "0.8")]
