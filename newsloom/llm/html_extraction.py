@@ -88,18 +88,32 @@ class Page:
         self.tokens.append(frozenset(found))
         return len(self.tag) - 1
 
+    def _push(self, node: int) -> None:
+        self.places.setdefault(self.tag[node], []).append(len(self.stack))
+        if self.tag[node] in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def _cut(self, place: int) -> None:
+        """Close the open element at that place of the stack and all in it."""
+        for node in reversed(self.stack[place:]):
+            self.places[self.tag[node]].pop()
+            if self.tag[node] in BLOCK:
+                self.blocks.pop()
+        del self.stack[place:]
+
+    def _top(self, names: set[str]) -> int:
+        """The highest place of an open element of one of the names, or 0."""
+        return max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+
     def _pop_to(self, names: set[str], barrier: set[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[k]]
-            if tag in names:
-                del self.stack[k:]
-                return self._pop_to(names, barrier)
-            if tag in barrier:
-                return None
-        return None
+        while (place := self._top(names)) > self._top(barrier):
+            self._cut(place)
 
     def _read(self, s: str) -> None:
-        self.stack = [0]
+        self.stack: list[int] = [0]
+        self.places: dict[str, list[int]] = {}  # of open elements by name: a tag costs no walk over the stack
+        self.blocks: list[int] = []
         i, n = 0, len(s)
         lower: str | None = None
         while i < n:
@@ -129,16 +143,12 @@ class Page:
                 continue
             tag, i = m[1].lower(), m.end()
             if s[j + 1] == "/":
-                if tag in ("br", "p") and not any(self.tag[k] == tag for k in self.stack):
+                place = self._top({tag})
+                if tag in ("br", "p") and not place:
                     self.pieces.append((self.stack[-1], " ", self.begun))
-                    continue
-                for k in range(len(self.stack) - 1, 0, -1):
-                    if self.tag[self.stack[k]] == tag:
-                        del self.stack[k:]
-                        self.begun += tag in BLOCK
-                        break
-                    if tag not in BLOCK and self.tag[self.stack[k]] in BLOCK:
-                        break
+                elif place and (tag in BLOCK or not self.blocks or self.blocks[-1] < place):
+                    self._cut(place)
+                    self.begun += tag in BLOCK
                 continue
             if tag == "br":
                 self.pieces.append((self.stack[-1], " ", self.begun))
@@ -159,7 +169,7 @@ class Page:
                 close = s.find(">", end) if end >= 0 else -1
                 i = n if close < 0 else close + 1
             elif tag not in VOID and not m[2].endswith("/"):
-                self.stack.append(node)
+                self._push(node)
 
     def _split(self) -> None:
         """Fold inline elements into their block; neighbouring text of one block is one run."""

@@ -1,6 +1,7 @@
 """Vectors against all pairs; pages against known main text."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -64,6 +65,13 @@ def test_extracts_the_article(spark):
     assert html_extraction.extract(none).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "<span>" * 100_000 + "</p>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<ul><li>" * 50_000, "<div>x" * 50_000 + "</div>y" * 50_000])
+def test_deep_nesting_is_read_in_linear_time(page):
+    began = time.process_time()
+    html_extraction.Page(page).tree()
+    assert time.process_time() - began < 6
+
+
 def test_held_out_pages():
     x, y = html_extraction.training_nodes(80, seed=11)
     assert ((html_extraction.model().log_odds(x) > 0) == (y > 0)).mean() > 0.98
