@@ -197,7 +197,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     known = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = written(known.select("fp").distinct(), "distinct-fingerprints")
     parts = connected_components(fingerprint_links(distinct, radius, hot_key))
-    named = known.join(parts, known["fp"] == parts["node"], "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    discard(distinct)
-    return named.join(least, "component").select("doc_id", "fp", "component_id")
+    # components are named on one row a fingerprint; both sides of each join are written tables, so that AQE can split a large component
+    own = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = written(own.join(parts, own["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    told = written(named.join(least, "component").select("fp", "component_id"), "named-fingerprints")
+    discard(distinct, parts, named, least)
+    return known.join(told, "fp").select("doc_id", "fp", "component_id")
