@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import written
+from newsloom.llm.base import discard, written
 from newsloom.llm.components import connected_components, forest
 
 COSINE, BLOCK_DIMS = 0.9, 16
@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_dims: int
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     good = rows.where(fine)
-    nodes = good.groupBy("embedding").agg(F.count("*").alias("mult")).select(F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("node"), "mult", "embedding")
+    nodes = good.groupBy("embedding").agg(F.count("*").alias("mult"), F.min("vec_id").alias("least")).select(F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("node"), "mult", "least", "embedding")
     nodes = written(nodes, "vectors")
     counted = nodes.select("dim", "embedding").mapInArrow(lambda it: _slab_counts(it, cosine, block_dims), "dim int, block int, slab int, n long")
     counts = {(r["dim"], r["block"], r["slab"]): r["n"] for r in counted.groupBy("dim", "block", "slab").agg(F.sum("n").alias("n")).collect()}  # some slabs a block
@@ -175,10 +175,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_dims: int
     found = written(tiles.groupBy("dim", "block", "slab", "kind", "i", "j").applyInArrow(lambda key, t: _joined(key, t, cosine, block_dims), FOUND), "vector-links")
     parts = connected_components(found.where("v is not null"))
     degree = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    told = nodes.join(degree, "node", "left").join(parts, "node", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    told = told.withColumnRenamed("embedding", "__e")
-    named = rows.join(told, rows["embedding"] == told["__e"], "left").select("vec_id", "n_links", "component")
-    named = written(named, "vector-components")
-    least = named.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = named.join(least, "component", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # components are named on one row a vector; both sides of each join are written tables, so that AQE can split a large component
+    named = nodes.join(degree, "node", "left").join(parts, "node", "left")
+    named = written(named.select("embedding", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "vector-components")
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    told = written(named.join(least, "component").select(F.col("embedding").alias("__e"), "n_links", "component_id"), "named-vectors")
+    discard(nodes, found, parts, named, least)
+    out = good.join(told, good["embedding"] == told["__e"]).select("vec_id", "n_links", "component_id")
+    out = out.unionAll(rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
