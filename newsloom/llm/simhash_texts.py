@@ -423,7 +423,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, hot_key: int | None = None
     named = written(named.groupBy("doc_id", "text_key", "component").agg(F.count("*").alias("rows")), "groups")
     discard(known)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    least = named.groupBy("component").agg(F.min(place).alias("least"))
+    least = written(named.groupBy("component").agg(F.min(place).alias("least")), "components")  # a table, so that AQE can split a large component
     drop = named.join(least, "component").where(place != F.col("least")).select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"))
     same = lambda x: docs[id_col].cast("long").eqNullSafe(x["__near_id"]) & (key == x["__near_key"])
     drop = written(drop, "dropped")
