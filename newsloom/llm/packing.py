@@ -29,6 +29,8 @@ from newsloom.llm.base import lean, written
 from newsloom.llm.tokens import encoder, vocabulary_size
 
 WINDOW, SHARD_TOKENS = 4096, 2_000_000
+#: Tasks of the packing at most; so the driver keeps track of as many at any size.
+MOST_PARTITIONS = 4096
 K1, B = 1.2, 0.75
 KEYS, SEED = 2, 20_240_517
 TOKENIZED = "".join(f"k{k} int, " for k in range(KEYS)) + "doc_id long, salt long, n long, ids binary"
@@ -216,7 +218,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
 
     Each document is its token ids and the end id; null texts are empty, null ids and repeated rows
     are documents as any other, and equal scores rank by the order of the documents' keys, then of a hash of id and text, so
-    a frequent word, source or id spreads. Sequences are full but for the last of each shard. A sequence's number is its
+    a frequent word, source or id spreads. Sequences are full but for the last of each shard; beyond
+    ``MOST_PARTITIONS`` shards a task packs several, one after the other. A sequence's number is its
     partition's, times 2**32, plus its place there. An empty table packs to nothing.
 
     ``remembered`` words a worker keeps their ids (None: as many as `tokens` says).
@@ -234,7 +237,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     n_docs, mean = total["docs"], total["ids"] / max(1, total["docs"])
 
     order = [*(f"k{k}" for k in range(KEYS)), "salt", "doc_id"]
-    dealt = known.repartitionByRange(max(1, math.ceil(total["ids"] / shard_tokens)), *order).sortWithinPartitions(*order)
+    dealt = known.repartitionByRange(min(MOST_PARTITIONS, max(1, math.ceil(total["ids"] / shard_tokens))), *order).sortWithinPartitions(*order)
     dealt = dealt.select("doc_id", "n", "ids", F.spark_partition_id().alias("part"))
     return dealt.mapInArrow(lambda it: lean(_packed(it, df, n_docs, mean, window, shard_tokens, width)), PIECE)
 
