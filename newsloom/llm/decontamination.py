@@ -19,8 +19,8 @@ from newsloom.llm.line_dedup import without
 WIDTH = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of the benchmark's window table up to which it is broadcast; beyond, the joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of the benchmark's window table (words, item ids, some for each array and entry) up to which it is broadcast; beyond, the joins shuffle.
+BROADCAST_BYTES = 96 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -69,9 +69,10 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_co
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = written(windows(benchmark, width), "windows")
-    sizes = known.groupBy("len").agg(F.count("*").alias("n")).collect()  # at most ``width`` rows
+    weigh = lambda c: F.octet_length(F.array_join(c, "")) + 32 * F.size(c)
+    sizes = known.groupBy("len").agg(F.sum(weigh("w").cast("long") + weigh("items") + 128).alias("n")).collect()  # at most ``width`` rows
     lengths = sorted(r["len"] for r in sizes)
-    small = sum(r["n"] for r in sizes) <= BROADCAST_ROWS
+    small = sum(r["n"] for r in sizes) <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda df: df)
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
