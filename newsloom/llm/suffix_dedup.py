@@ -377,7 +377,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     # the sides of joins on anchors are written tables, so that AQE can split an anchor of very many rows
     often = written(known.groupBy("anchor").count().where("count > 1").select("anchor"), "frequent-anchors")
     met = written(known.join(often, "anchor", "left_semi"), "met-anchors")
-    discard(known)
+    discard(known, often)
 
     place = F.struct("doc_id", "text_key", "pos", "before", "after")
     classes = written(met.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("one")), "surroundings")
@@ -392,6 +392,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     a, b = asked.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "at"), long_.dropDuplicates(["doc_id", "text_key"])
     texts = b.join(a, b["doc_id"].eqNullSafe(a["__id"]) & (b["text_key"] == a["__key"])).select("doc_id", "text_key", "data", "at")
     ctx = written(texts.mapInArrow(_contexts, "doc_id long, text_key long, pos long, grp long, before int, after int, context binary"), "contexts")
+    discard(several)
     calm, spans = divided(ctx, length, gram, hot)
     found = calm.repartition("grp").sortWithinPartitions("grp").mapInArrow(lambda it: _grouped(it, length, gram), SPAN)
     out = whole.unionByName(found)
