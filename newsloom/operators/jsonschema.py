@@ -6,10 +6,10 @@ import datetime as dt
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 from urllib.parse import urlsplit
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,23 +109,118 @@ def breaches(value: Any, schema: dict, root: dict | None = None, path: str = "")
             yield from breaches(sub, schema["items"], root, f"{path}/{i}")
 
 
-def schema_breaches(raw: Column, schema: dict) -> Column:
-    """array<struct<path, keyword>> for JSON text (Python: the shape of a document is not known in advance)."""
-    if bad := unsupported(schema):
-        raise ValueError(f"unsupported keywords: {', '.join(bad)}")
+_CLOCK = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)?$"
+#: keyword -> whether a variant's text, number or list (as a column) breaks it; in the order and of the types of CHECKS
+BREAKS: dict[str, Callable[[Column, Any], Column]] = {
+    "minLength": lambda x, n: F.char_length(x) < n,
+    "maxLength": lambda x, n: F.char_length(x) > n,
+    "pattern": lambda x, p: ~x.rlike(p),
+    "format": lambda x, f: ~COLUMN_FORMATS[f](x) if f in COLUMN_FORMATS else F.lit(False),
+    "minimum": lambda x, n: x < n,
+    "maximum": lambda x, n: x > n,
+    "minItems": lambda x, n: F.size(x) < n,
+    "maxItems": lambda x, n: F.size(x) > n,
+}
+COLUMN_FORMATS = {"date-time": lambda x: x.rlike(_CLOCK) & F.try_to_timestamp(F.substring(x, 1, 10)).isNotNull(), "uri": lambda x: x.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")}
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<path:string,keyword:string>>")
+
+
+def _as(v: Column, ddl: str) -> Column:
+    return F.try_variant_get(v, "$", ddl)
+
+
+def _is(v: Column, kind: str) -> Column:
+    """Whether a variant is of a JSON type."""
+    told = F.schema_of_variant(v)
+    number = told.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    x = _as(v, "double")
+    return {
+        "string": told == "STRING",
+        "boolean": told == "BOOLEAN",
+        "number": number,
+        "integer": number & (F.rint(x) == x) & (F.abs(x) < float("inf")),
+        "array": told.startswith("ARRAY"),
+        "object": told.startswith("OBJECT"),
+        "null": told == "VOID",
+    }[kind]
+
+
+def _equals(v: Column, value: Any) -> Column:
+    """Whether a variant is that JSON value; lists and objects by their text with sorted keys."""
+    if value is None:
+        return _is(v, "null")
+    if isinstance(value, bool):
+        return _is(v, "boolean") & (_as(v, "boolean") == value)
+    if isinstance(value, (int, float)):
+        return _is(v, "number") & (_as(v, "double") == float(value))
+    if isinstance(value, str):
+        return _is(v, "string") & (_as(v, "string") == value)
+    return F.to_json(v) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _marks(*rules: tuple[Column, Column, str]) -> Column:
+    """One entry for each (broken, path, keyword) that is broken."""
+    return F.array_compact(F.array(*[F.when(broken, F.struct(path.alias("path"), F.lit(word).alias("keyword"))) for broken, path, word in rules]))
+
+
+def compiled(v: Column, schema: dict, root: dict, path: Column, within: tuple[str, ...] = ()) -> Column:
+    """array<struct<path, keyword>> of what is wrong with a variant: the rules of ``breaches`` as column expressions."""
+    if "$ref" in schema:
+        if schema["$ref"] in within:
+            raise ValueError(f"a schema that holds itself has no end: {schema['$ref']}")
+        within = (*within, schema["$ref"])
+        schema = resolve(schema, root)
+    at = lambda name: F.concat(path, F.lit("/"), name if isinstance(name, Column) else F.lit(name))
+    parts, own = [], []
+    if "enum" in schema:
+        own.append((~reduce(Column.__or__, (_equals(v, x) for x in schema["enum"]), F.lit(False)), path, "enum"))
+    if "const" in schema:
+        own.append((~_equals(v, schema["const"]), path, "const"))
+    ddl = {"string": "string", "number": "double", "array": "array<variant>"}
+    own += [(_is(v, kind) & BREAKS[word](_as(v, ddl[kind]), schema[word]), path, word) for word, (kind, _) in CHECKS.items() if word in schema]
+    parts += [_marks(*own)] if own else []
+
+    known, rest = schema.get("properties", {}), schema.get("additionalProperties", True)
+    members = _as(v, "map<string,variant>")
+    inside = []
+    absent = [(~F.map_contains_key(members, name), at(name), "required") for name in schema.get("required", [])]
+    inside += [_marks(*absent)] if absent else []
+    for name, sub in known.items():
+        child = F.try_element_at(members, F.lit(name))
+        inside.append(F.when(child.isNotNull(), compiled(child, sub, root, at(name), within)).otherwise(_none()))
+    others = F.filter(F.map_keys(members), lambda k: ~k.isin(list(known))) if known else F.map_keys(members)
+    if rest is False:
+        inside.append(F.transform(others, lambda k: F.struct(at(k).alias("path"), F.lit("additionalProperties").alias("keyword"))))
+    elif isinstance(rest, dict) and rest:
+        inside.append(F.flatten(F.transform(others, lambda k: compiled(F.try_element_at(members, k), rest, root, at(k), within))))
+    parts += [F.when(_is(v, "object"), F.concat(*inside)).otherwise(_none())] if inside else []
+    if "items" in schema:
+        each = F.transform(_as(v, "array<variant>"), lambda x, i: compiled(x, schema["items"], root, at(i.cast("string")), within))
+        parts.append(F.when(_is(v, "array"), F.flatten(each)).otherwise(_none()))
+
+    found = F.concat(*parts) if parts else _none()
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if not kinds:
+        return found
+    fits = reduce(Column.__or__, (_is(v, k) for k in kinds))
+    return F.when(fits, found).otherwise(F.array(F.struct(path.alias("path"), F.lit("type").alias("keyword"))))
 
-    @F.pandas_udf("array<struct<path:string,keyword:string>>")
-    def check(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            try:
-                doc = json.loads(text)
-            except (TypeError, ValueError):
-                return [{"path": "", "keyword": "json"}]
-            return [{"path": p, "keyword": k} for p, k in breaches(doc, schema)]
 
-        return texts.map(one)
+def schema_breaches(raw: Column, schema: dict) -> Column:
+    """array<struct<path, keyword>> for JSON text, by column expressions over VARIANT.
 
-    return check(raw)
+    Null, empty and broken text, and text that names a key twice in one object, are one breach, ``json``. Patterns are
+    Java's. A schema that refers to itself has no such expression and is refused.
+    """
+    if bad := unsupported(schema):
+        raise ValueError(f"unsupported keywords: {', '.join(bad)}")
+    v = F.try_parse_json(raw)
+    broken = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("keyword")))
+    return F.when(v.isNull(), broken).otherwise(compiled(v, schema, schema, F.lit("")))
 
 
 def conforming(docs: DataFrame, raw_col: str, schema: dict) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Lookup, clusters, scores, selection, archives, similarity, the gate."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -197,6 +198,28 @@ def test_schema(doc, want):
     assert list(jsonschema.breaches(doc, SCHEMA)) == want
 
 
+def test_compiled_schema_equals_the_plain_rules(spark):
+    """Invented documents, most of them broken somewhere; the expressions against the rules one document at a time."""
+    rng = random.Random(5)
+    name = {"type": ["string", "null"], "pattern": "^[a-z]+$", "minLength": 2}
+    leaf = {"type": "object", "required": ["id"], "additionalProperties": False, "properties": {"id": {"type": "integer", "minimum": 1, "maximum": 9}, "url": {"type": "string", "format": "uri"}, "kind": {"const": "x"}, "who": {"$ref": "#/$defs/name", "maxLength": 4}}}
+    schema = {"type": "object", "required": ["list", "a b"], "properties": {"list": {"type": "array", "minItems": 1, "maxItems": 3, "items": leaf}, "a b": {"enum": ["s", 1.5, None, [1, "é"], {"k": 1}]}, "m": {"type": "object", "additionalProperties": {"type": "array", "items": {"type": "number"}}}, "at": {"format": "date-time"}}, "additionalProperties": {"type": "boolean"}, "$defs": {"name": name}}
+    scalars = [None, True, False, 0, 1, 5, 10, 2.0, 1.5, -3, 1e300, "", "s", "x", "abc", "abcde", "https://a.example/1", "a:b", "2026-08-17T10:00:00Z", "2026-13-17T10:00:00Z", "2026-08-17T10:00:00+02:00", "2026-08-17", [], {}, [1, "é"], {"k": 1}]
+    some = lambda: rng.choice(scalars)
+    pick = lambda names, value: {k: value(k) for k in names if rng.random() < 0.7}
+    item = lambda: rng.choice([some(), pick(["id", "url", "kind", "who", "zz"], lambda k: rng.choice([some(), 3 if k == "id" else "x"]))]) if rng.random() < 0.3 else pick(["id", "url", "kind", "who"], lambda k: {"id": 3, "url": "https://a.example", "kind": "x", "who": "ab"}[k] if rng.random() < 0.7 else some())
+    values = {"list": lambda: [item() for _ in range(rng.randint(0, 4))], "m": lambda: pick(["p", "q'"], lambda k: [some() for _ in range(2)]), "a b": some, "at": some, "more": some}
+    docs = [pick(values, lambda k: values[k]() if rng.random() < 0.9 else some()) if rng.random() < 0.95 else some() for _ in range(400)]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, raw string")
+    checked = rows.select("i", jsonschema.schema_breaches(F.col("raw"), schema).alias("b"))
+    assert "Python" not in checked._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: sorted((b["path"], b["keyword"]) for b in r["b"]) for r in checked.collect()}
+    want = {i: sorted(jsonschema.breaches(d, schema)) for i, d in enumerate(docs)}
+    assert got == want and {k for b in want.values() for _, k in b} >= {"type", "enum", "const", "required", "additionalProperties", "minItems", "maxItems", "minimum", "maximum", "pattern", "format", "maxLength"}
+    with pytest.raises(ValueError):
+        jsonschema.schema_breaches(F.col("raw"), {"$ref": "#/$defs/n", "$defs": {"n": {"properties": {"next": {"$ref": "#/$defs/n"}}}}})
+
+
 def test_schema_over_documents(spark):
     docs = spark.createDataFrame([("d1", '{"name":"xy"}'), ("d2", '{"name":1}'), ("d3", "{"), ("d4", None)], "date string, raw string")
     good, bad = jsonschema.conforming(docs, "raw", SCHEMA)
