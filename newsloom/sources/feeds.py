@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import http.client
+import json
+import time
 import urllib.error
 import urllib.request
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from newsloom.functions.dates import normalize_date
 from newsloom.functions.text import decode_entities, strip_tags
@@ -93,8 +99,23 @@ def clean_leads(raw: DataFrame, text_col: str, run_date: str, relevant: str, sea
     return first.select("title", "url", "source", F.to_timestamp(F.concat(day, F.lit(" 12:00:00"))).alias("published_at"), F.lit(True).alias("discovery_only"))
 
 
+def fetch(url: str, timeout: float = TIMEOUT, etag: str | None = None, modified: str | None = None) -> dict:
+    """One feed: ok, xml (None where it has not changed since the given marks), etag, modified, error."""
+    out = {"ok": False, "xml": None, "etag": etag, "modified": modified, "error": None}
+    try:
+        asked = {"User-Agent": "newsloom", "Accept": "application/rss+xml, application/atom+xml, text/xml, */*"}
+        asked |= {"If-None-Match": etag} if etag else {}
+        asked |= {"If-Modified-Since": modified} if modified else {}
+        with urllib.request.urlopen(urllib.request.Request(url, headers=asked), timeout=timeout) as got:
+            return out | {"ok": True, "xml": got.read().decode("utf-8", "replace"), "etag": got.headers.get("ETag"), "modified": got.headers.get("Last-Modified")}
+    except urllib.error.HTTPError as e:
+        return out | {"ok": True} if e.code == 304 else out | {"error": str(e)[:200]}
+    except (OSError, ValueError, http.client.HTTPException) as e:
+        return out | {"error": str(e)[:200]}
+
+
 class FeedSource(DataSource):
-    """spark.read.format("feed"): one partition a feed address; a failure is a row with its error."""
+    """spark.read or readStream.format("feed"): one partition a feed address; a failure is a row with its error."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,6 +127,9 @@ class FeedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FeedReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802 - named by Spark
+        return FeedStreamReader(self.options)
+
 
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -117,17 +141,88 @@ class FeedReader(DataSourceReader):
         return [InputPartition(i) for i in range(len(self.urls))]
 
     def read(self, partition: InputPartition):
-        url = self.urls[partition.value]
-        name = self.names[partition.value]
-        try:
-            ask = urllib.request.Request(url, headers={"User-Agent": "newsloom", "Accept": "application/rss+xml, application/atom+xml, text/xml, */*"})
-            with urllib.request.urlopen(ask, timeout=self.timeout) as got:
-                yield name, url, True, got.read().decode("utf-8", "replace"), None
-        except (OSError, ValueError, urllib.error.URLError) as e:
-            yield name, url, False, None, str(e)[:200]
+        got = fetch(self.urls[partition.value], self.timeout)
+        yield self.names[partition.value], self.urls[partition.value], got["ok"], got["xml"], got["error"]
+
+
+class FeedRound(InputPartition):
+    """A feed to be asked: its place in the list, and the slots of the offset before and of this one."""
+
+    def __init__(self, feed: int, last: int | None, slot: int):
+        self.feed, self.last, self.slot = feed, last, slot
+
+
+class FeedStreamReader(DataSourceStreamReader):
+    """Feeds asked again and again; a row for each answer that is new, and for each failure.
+
+    The offset holds a slot of the clock for each feed, so it grows whatever was lost, and a feed that is added later is
+    new by itself. What a feed answered in a slot is recorded in the shared ``spool`` folder before it is handed on, with the
+    marks (ETag, date of change, digest) that the next slot asks with. A batch that is run again reads the record, not the
+    feed: it has the same rows. Records before the last committed slot are removed by the task that follows them.
+    Where an answer equals the last good one, or the feed says that it has not changed, there is no row.
+    A feed is asked by one task a slot; speculative copies of it would ask twice, and the record that was there first counts.
+    """
+
+    def __init__(self, options: dict):
+        self.urls = [u for u in options.get("urls", "").split("\n") if u]
+        self.names = (options.get("names", "").split("\n") if options.get("names") else []) or self.urls
+        self.timeout, self.spool = float(options.get("timeout", TIMEOUT)), options["spool"].rstrip("/")
+        self.seconds, self.now = float(options.get("seconds", 900)), options.get("now")
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        slot = int((float(self.now) if self.now else time.time()) // self.seconds)
+        return dict.fromkeys(self.urls, slot)
+
+    def partitions(self, start: dict, end: dict) -> list[FeedRound]:
+        at = {u: i for i, u in enumerate(self.urls)}
+        return [FeedRound(at[u], start.get(u), slot) for u, slot in end.items() if u in at and slot > start.get(u, slot - 1)]
+
+    def _record(self, files: fs.FileSystem, path: str) -> dict | None:
+        if files.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with files.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def read(self, partition: FeedRound):
+        url = self.urls[partition.feed]
+        files, root = fs.FileSystem.from_uri(self.spool)
+        folder = f"{root}/{hashlib.sha256(url.encode()).hexdigest()[:32]}"
+        files.create_dir(folder, recursive=True)
+        path = f"{folder}/{partition.slot}.json"
+        found = self._record(files, path)
+        if found is None:
+            last = (partition.last is not None and self._record(files, f"{folder}/{partition.last}.json")) or {}
+            found = fetch(url, self.timeout, last.get("etag"), last.get("modified"))
+            digest = hashlib.sha256(found["xml"].encode()).hexdigest() if found["xml"] is not None else last.get("digest")
+            if digest == last.get("digest"):
+                found["xml"] = None
+            draft = f"{path}.{uuid.uuid4().hex}"
+            with files.open_output_stream(draft) as f:
+                f.write(json.dumps(found | {"digest": digest}).encode())
+            if files.get_file_info(path).type == fs.FileType.NotFound:
+                files.move(draft, path)
+            else:
+                files.delete_file(draft)
+                found = self._record(files, path)
+        for old in files.get_file_info(fs.FileSelector(folder)):
+            slot = old.base_name.split(".")[0]
+            if partition.last is not None and slot.isdigit() and int(slot) < partition.last:
+                files.delete_file(old.path)
+        if found["xml"] is not None or not found["ok"]:
+            yield self.names[partition.feed], url, found["ok"], found["xml"], found["error"]
 
 
 def read_feeds(spark: SparkSession, feeds: list[tuple[str, str]], timeout: float = TIMEOUT) -> DataFrame:
     """All feeds at once, each on its own partition."""
     spark.dataSource.register(FeedSource)
     return spark.read.format("feed").option("urls", "\n".join(u for _, u in feeds)).option("names", "\n".join(n for n, _ in feeds)).option("timeout", str(timeout)).load()
+
+
+def stream_feeds(spark: SparkSession, feeds: list[tuple[str, str]], spool: str, seconds: float = 900, timeout: float = TIMEOUT, now: float | None = None) -> DataFrame:
+    """The answers of all feeds as a stream, each feed asked once in so many seconds; ``now`` stands for the clock."""
+    spark.dataSource.register(FeedSource)
+    asked = {"urls": "\n".join(u for _, u in feeds), "names": "\n".join(n for n, _ in feeds), "spool": spool, "seconds": seconds, "timeout": timeout}
+    return spark.readStream.format("feed").options(**asked, **({} if now is None else {"now": now})).load()
