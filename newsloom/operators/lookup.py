@@ -40,12 +40,17 @@ def with_publisher_tier(df: DataFrame, url: Column, publishers: DataFrame, block
 
 
 def beat_vocabulary(beats: DataFrame) -> DataFrame:
-    """token, beat, pos, vocab_size, distinctive: each beat's words, from its keywords or else its queries."""
+    """token, beat, pos, vocab_size, distinctive: each beat's words, from its keywords or else its queries.
+
+    A word is distinctive if the keywords of this beat have it and those of no other. The table may be of any size: a word's
+    beats are told by their smallest and largest id, and joined by word and beat, so a word that all have is no hot key.
+    """
     more = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.col("queries"))
     words = beats.select("id", "pos", class_tokens(F.concat_ws(" ", "label", "blurb", F.concat_ws(" ", more))).alias("tokens"), class_tokens(F.concat_ws(" ", "keywords")).alias("own"))
-    rows = words.select("id", "pos", F.size("tokens").alias("vocab_size"), "own", F.explode("tokens").alias("token"))
-    single = words.select("id", F.explode("own").alias("token")).groupBy("token").agg(F.count_distinct("id").alias("n")).where("n = 1").select("token", F.lit(True).alias("single"))
-    return rows.join(single, "token", "left").select("token", F.col("id").alias("beat"), "pos", "vocab_size", (F.coalesce("single", F.lit(False)) & F.array_contains("own", F.col("token"))).alias("distinctive"))
+    rows = words.select("id", "pos", F.size("tokens").alias("vocab_size"), F.explode("tokens").alias("token"))
+    by_word = words.select("id", F.explode("own").alias("token")).groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    single = by_word.where("id = last").select("token", "id", F.lit(True).alias("single"))
+    return rows.join(single, ["token", "id"], "left").select("token", F.col("id").alias("beat"), "pos", "vocab_size", F.coalesce("single", F.lit(False)).alias("distinctive"))
 
 
 def classify(df: DataFrame, id_col: str, text: Column, beats: DataFrame, min_overlap: int = 2) -> DataFrame:

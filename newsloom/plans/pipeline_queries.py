@@ -158,9 +158,16 @@ def publisher_tiers(spark, sf_dir):
     return lookup.with_publisher_tier(table(spark, sf_dir, "pages").select("page_id", "url"), F.col("url"), publishers, blocked).select("page_id", "host", "tier", "publisher", "blocked")
 
 
-@query("beat_vocabulary", f"WITH {HOSTED.lstrip()}, {VOCABULARY.lstrip()} SELECT token, beat, pos, CAST(vocab_size AS INTEGER) AS vocab_size, distinctive FROM vocabulary")
+_SPOKEN = "beats AS (SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS id, source AS label, lang AS blurb, [coalesce(text, '')] AS keywords, []::VARCHAR[] AS queries FROM documents)"
+
+
+@query("beat_vocabulary", f"WITH {_SPOKEN}, {VOCABULARY.lstrip()} SELECT token, beat, pos, CAST(vocab_size AS INTEGER) AS vocab_size, distinctive FROM vocabulary")
 def beat_vocabulary(spark, sf_dir):
-    return lookup.beat_vocabulary(_dims(spark)[0])
+    """Each document as a beat: the words that its text alone has are distinctive."""
+    d = table(spark, sf_dir, "documents")
+    no_queries = F.array().cast("array<string>").alias("queries")
+    text = F.array(F.coalesce("text", F.lit(""))).alias("keywords")
+    return lookup.beat_vocabulary(d.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.col("source").alias("label"), F.col("lang").alias("blurb"), text, no_queries))
 
 
 @query("topic_classes", f"WITH {HOSTED.lstrip()}, {VOCABULARY.lstrip()}, {CANDIDATES}, usable AS (SELECT * FROM candidates), {CLASSES.lstrip()} SELECT id, beat FROM candidates LEFT JOIN classes USING (id)")
