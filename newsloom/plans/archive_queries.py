@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from newsloom.plans.adapters import MENTIONS, citations, edition_stories, feed_r
 from newsloom.plans.pipeline_queries import BEATS, HOSTED
 from newsloom.plans.registry import query
 from newsloom.plans.text_queries import HOST, LINT, STOP, sql_overlap_tokens, sql_words
+from newsloom.session import shared_folder
 from newsloom.sources import sinks
+from newsloom.sources.totals import ArchiveTotals
 
 # editions ---------------------------------------------------------------------------------------
 
@@ -26,6 +30,23 @@ def edition_signals(spark, sf_dir):
     return archive.edition_signals(citations(spark, sf_dir))
 
 
+@query(
+    "archive_totals",
+    """WITH c AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS story, o_orderpriority AS beat, l_partkey AS url, l_suppkey AS publisher, l_linenumber AS tier FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+d AS (SELECT date, count(DISTINCT story) AS stories, count(DISTINCT url) AS urls, count(*) FILTER (tier = 1) AS primary_sources, count(DISTINCT publisher) AS publishers, count(DISTINCT beat) AS beats FROM c GROUP BY date)
+SELECT date, stories, urls AS sources, urls, primary_sources, publishers, beats, CAST(0 AS TINYINT) AS is_total FROM d
+UNION ALL SELECT NULL, (SELECT CAST(sum(stories) AS BIGINT) FROM d), (SELECT CAST(sum(urls) AS BIGINT) FROM d), count(DISTINCT url), count(*) FILTER (tier = 1), count(DISTINCT publisher), count(DISTINCT beat), CAST(1 AS TINYINT) FROM c""",
+)
+def archive_totals(spark, sf_dir):
+    """The first half of each month's dates are added, then the other half; totals come from what the dates left."""
+    c = citations(spark, sf_dir)
+    kept = ArchiveTotals(spark, f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}", buckets=2)
+    early = F.dayofmonth("date") <= 15
+    kept.add(c.where(early))
+    kept.add(c.where(~early))
+    return kept.signals()
+
+
 @query(
     "archive_dates",
     """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS stories FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS digest_items FROM lineitem GROUP BY 1), c AS (SELECT CAST(ts AS DATE) AS date, count(*) AS wire_items FROM events GROUP BY 1)
