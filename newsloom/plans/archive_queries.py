@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import config as C
 from newsloom.config import TEST
-from newsloom.operators import archive, jsonschema, select, validate
+from newsloom.operators import archive, jsonschema, pages, select, validate
 from newsloom.plans.adapters import MENTIONS, citations, edition_stories, feed_runs, mentions, order_stories, table
 from newsloom.plans.pipeline_queries import BEATS, HOSTED
 from newsloom.plans.registry import query
@@ -448,3 +448,41 @@ def source_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
+
+
+# pages ------------------------------------------------------------------------------------------
+
+
+@query(
+    "story_pages",
+    f"""WITH {HOSTED.lstrip()}, {_STORIES.lstrip()}, l AS (SELECT m.*, coalesce(b.label, m.beat) AS section FROM m LEFT JOIN beats b ON b.id = m.beat),
+o AS (SELECT a.date, a.id, b.section || '|' || b.headline || '|story/' || b.id || '.html' AS line, row_number() OVER (PARTITION BY a.date, a.id ORDER BY (a.beat = b.beat)::INT DESC, b.pos) AS rank FROM l a JOIN l b ON a.date = b.date AND a.id <> b.id),
+n AS (SELECT date, id, string_agg(line, chr(10) ORDER BY rank) AS also FROM o WHERE rank <= 5 GROUP BY ALL),
+c AS (SELECT date, id, string_agg(title || '|Someone|' || url, chr(10) ORDER BY k) AS citations FROM src GROUP BY ALL)
+SELECT date, id, 'story/' || id || '.html' AS path, section, headline, deck, CASE WHEN len(body) > 0 THEN array_to_string(body, chr(10)) ELSE deck END AS paragraphs, array_to_string(lines[1:2], chr(10)) AS keypoints, nullif(why, '') AS why,
+  CAST(date AS TIMESTAMP) AS published_at, CAST(minutes AS INTEGER) AS read_minutes, CAST(n_src AS INTEGER) AS n_sources, confidence, confidence <> 'high' AS doubtful, lang || '|entity/' || lang || '.html' AS topics, citations, coalesce(also, '') AS also
+FROM l LEFT JOIN n USING (date, id) LEFT JOIN c USING (date, id)""",
+)
+def story_pages(spark, sf_dir):
+    editions, stories = edition_stories(spark, sf_dir)
+    found = pages.story_pages(stories, editions.withColumn("generated_at", F.col("date").cast("timestamp")), C.beats(spark, TEST))
+    for name, fields in (("topics", ("name", "path")), ("citations", ("title", "publisher", "url")), ("also", ("section", "headline", "path"))):
+        found = found.withColumn(name, F.array_join(F.transform(name, lambda x: F.concat_ws("|", *[x[f] for f in fields])), "\n"))  # noqa: B023 - built at once
+    return found.withColumn("paragraphs", F.array_join("paragraphs", "\n")).withColumn("keypoints", F.array_join("keypoints", "\n")).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query("topics_page", f"WITH {MENTIONS}, t AS (SELECT slug, arg_min(name, (date, pos)) AS name, count(*) AS n, max(date) AS last FROM mentions GROUP BY slug) SELECT row_number() OVER (ORDER BY n DESC, name, slug) AS place, name, n, last, 'entity/' || slug || '.html' AS path FROM t")
+def topics_page(spark, sf_dir):
+    return pages.topics_page(archive.entity_index(mentions(spark, sf_dir)))
+
+
+@query(
+    "archive_page",
+    """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS date, arg_min(o_orderpriority, o_orderkey) AS title, count(*) AS stories FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS digest_items FROM lineitem GROUP BY 1), c AS (SELECT CAST(ts AS DATE) AS date, count(*) AS wire_items FROM events GROUP BY 1)
+SELECT date, title, stories IS NOT NULL AS published, 'edition/' || CASE WHEN stories IS NOT NULL THEN strftime(date, '%Y-%m-%d') END || '.html' AS edition_path, stories, 'digest/' || CASE WHEN digest_items IS NOT NULL THEN strftime(date, '%Y-%m-%d') END || '.html' AS digest_path, digest_items,
+  'wire/' || CASE WHEN wire_items IS NOT NULL THEN strftime(date, '%Y-%m-%d') END || '.html' AS wire_path, wire_items FROM a FULL JOIN b USING (date) FULL JOIN c USING (date)""",
+)
+def archive_page(spark, sf_dir):
+    n = lambda t, c: table(spark, sf_dir, t).groupBy(F.to_date(c).alias("date")).agg(F.count("*").alias("n"))
+    told = n("orders", "o_orderdate").join(_editions(spark, sf_dir), "date").select("date", "title", "n")
+    return pages.archive_page(told, n("lineitem", "l_shipdate"), n("events", "ts"))
