@@ -95,12 +95,12 @@ def fold_rounds(rows: DataFrame, scope: list[str], similarity: float, shared: in
     """rows (scope, n, tokens, at and others) with c, the n of the first item of the cluster that `fold` puts each in.
 
     A speculative parallel fold. Every item chooses among the clusters that the round before gives, as they were when it
-    came: only members of smaller n count. Items whose clusters changed choose again, until nothing
+    came: only members of smaller n count, so a change reaches items of larger n alone. Items whose clusters changed choose again, until nothing
     changes. Then each item has chosen by the final choices of all before it, which is the ordered pass; a round settles at least the first
     unsettled item, and as guesses are mostly right few rounds are needed. ``told`` gets the number of items that chose in each.
 
     An item shares at least ``similarity`` of its tokens with its cluster, so one of its rarest tokens is among
-    them; and a cluster of more than size / similarity tokens takes no item of that size, so of each only the
+    them. Its cluster's first item lies within ``reach`` of it, so both are joined by word and slot of time. And a cluster of more than size / similarity tokens takes no item of that size, so of each only the
     tokens that came first are kept, a bounded number. Nothing needs all members of a cluster in one place.
     """
     s = scope
@@ -111,20 +111,26 @@ def fold_rounds(rows: DataFrame, scope: list[str], similarity: float, shared: in
     often = words.groupBy(*s, "w").agg(F.count("*").alias("df"))
     ranked = words.join(often, [*s, "w"]).groupBy(*s, "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("by"))
     keep = F.size("by") - F.greatest(F.ceil(F.size("by") * similarity - 1e-9).cast("int"), F.lit(max(shared, 1))) + 1
-    probes = settled(ranked.where(keep > 0).select(*s, "n", F.explode(F.slice("by", 1, keep)).alias("x")).select(*s, "n", F.col("x.w").alias("w")))
+    asks = ranked.where(keep > 0).select(*s, "n", F.explode(F.slice("by", 1, keep)).alias("x")).select(*s, "n", F.col("x.w").alias("w"))
+    slot = F.floor(F.col("at") / max(1, reach))
+    beside = F.explode(F.array(*[slot + k for k in (-1, 0, 1)])).alias("slot")
+    probes = settled(asks.join(rows.select(*s, "n", "at"), [*s, "n"]).select(*s, "n", "w", "at", beside))
+    leaders = rows.select(*s, F.col("n").alias("c"), slot.alias("slot"), F.col("at").alias("led"))
+    near = F.abs(F.col("at") - F.col("led")) <= reach
     alike = rows.groupBy(*s, "tokens").agg(F.min("n").alias("c"))  # the first guess: equal titles lie together
     now = settled(rows.join(alike, [*s, "tokens"]))
     met = affected = None
     while True:
-        occ = settled(now.select(*s, "c", "n", F.explode("tokens").alias("w")).groupBy(*s, "c", "w").agg(F.min("n").alias("first")))
+        occ = settled(now.select(*s, "c", "n", F.explode("tokens").alias("w")).groupBy(*s, "c", "w").agg(F.min("n").alias("first")).join(leaders, [*s, "c"]))
         if met is not None:
-            dirty = moved.select(*s, F.explode(F.array("c", "old")).alias("c")).distinct()  # noqa: F821 - set by the round before
-            again = probes.join(occ.join(dirty, [*s, "c"], "left_semi"), [*s, "w"]).select(*s, "n").unionByName(met.join(dirty, [*s, "c"], "left_semi").select(*s, "n"))
+            dirty = settled(moved.select(*s, "n", F.explode(F.array("c", "old")).alias("c")).groupBy(*s, "c").agg(F.min("n").alias("since")))  # noqa: F821 - set by the round before
+            later = F.col("n") > F.col("since")
+            again = probes.join(occ.join(dirty, [*s, "c"]), [*s, "w", "slot"]).where(near & later).select(*s, "n").unionByName(met.join(dirty, [*s, "c"]).where(later).select(*s, "n"))
             affected = settled(again.distinct())
             if told is not None:
                 told.append(affected.count())
         asking = probes if affected is None else probes.join(affected, [*s, "n"], "left_semi")
-        pairs = settled(asking.join(occ, [*s, "w"]).where("first < n").select(*s, "n", "c").distinct())
+        pairs = settled(asking.join(occ, [*s, "w", "slot"]).where(near & (F.col("first") < F.col("n"))).select(*s, "n", "c").distinct())
         place = Window.partitionBy(*s, "c").orderBy("first", "w")
         early = occ.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= cap + 1)
         held = early.groupBy(*s, "c").agg(F.collect_list(F.struct("first", "w")).alias("held"))
@@ -139,7 +145,7 @@ def fold_rounds(rows: DataFrame, scope: list[str], similarity: float, shared: in
         told_all = rows.select(*s, "n") if affected is None else affected
         choice = told_all.join(chosen, [*s, "n"], "left").select(*s, "n", F.coalesce("__c", "n").alias("__c"))
         after = settled(now.withColumnRenamed("c", "old").join(choice, [*s, "n"], "left").withColumn("c", F.coalesce("__c", "old")).drop("__c"))
-        moved = settled(after.where("c <> old").select(*s, "c", "old"))
+        moved = settled(after.where("c <> old").select(*s, "n", "c", "old"))
         now = after.drop("old")
         met = pairs if met is None else settled(met.join(affected, [*s, "n"], "left_anti").unionByName(pairs))
         if moved.isEmpty():
