@@ -12,25 +12,31 @@ from newsloom.session import settled
 
 
 def first_restated(docs: DataFrame, id_col: str, title: Column, order: str, at_least: float = 0.6) -> DataFrame:
-    """id, earlier, similarity: the first earlier headline whose token sets overlap by more than that.
+    """id, at, earlier, earlier_at, similarity: the first earlier headline whose token sets overlap by more than that.
 
-    Prefix filter: sets alike by more than s share a token among the first n - ceil(s n) + 1 of a common
-    order (rarest first), so only those tokens propose pairs, and hot tokens hardly ever.
+    Equal token sets are compared once: of each set only its first headline can be the first that another restates, so copies
+    cost a row each and never a pair. Prefix filter: sets alike by more than s share a token among the first n - ceil(s n) + 1 of a
+    common order (rarest first), so only those tokens propose pairs, and hot tokens hardly ever; the places of a pair's
+    first common token bound the overlap, so most pairs are dropped before their sets are compared.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(order).alias("at"), overlap_tokens(title).alias("tokens")).where(F.size("tokens") > 0)
-    words = rows.select("id", F.explode("tokens").alias("w"))
+    rows = settled(docs.select(F.col(id_col).alias("id"), F.col(order).alias("at"), F.array_sort(overlap_tokens(title)).alias("tokens"))).where("size(tokens) > 0 and id is not null and at is not null")
+    sets = settled(rows.groupBy("tokens").agg(F.min(F.struct("at", "id")).alias("first")).withColumn("set", F.monotonically_increasing_id()))
+    words = sets.select("set", F.explode("tokens").alias("w"))
     often = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(often, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    keep = F.size("s") - F.ceil(F.size("s") * at_least).cast("int") + 1
-    probes = rows.join(ranked, "id").select("id", "at", "tokens", F.explode(F.slice("s", 1, keep)).alias("x")).select("id", "at", "tokens", F.col("x.w").alias("w"))
+    ranked = words.join(often, "w").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    n = F.size("s")
+    probes = sets.join(ranked, "set").select("set", "first", "tokens", n.alias("n"), F.posexplode(F.slice("s", 1, n - F.ceil(n * at_least).cast("int") + 1)).alias("place", "x"))
+    probes = probes.select("set", "first", "tokens", "n", (F.col("n") - F.col("place")).alias("rest"), F.col("x.w").alias("w"))
     a, b = probes.alias("a"), probes.alias("b")
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & ((F.col("b.at") < F.col("a.at")) | ((F.col("b.at") == F.col("a.at")) & (F.col("b.id") < F.col("a.id")))))
-    small, large = F.least(F.size("a.tokens"), F.size("b.tokens")), F.greatest(F.size("a.tokens"), F.size("b.tokens"))
-    pairs = pairs.where(small > at_least * large)
+    once = F.expr("b.n < a.n or (b.n = a.n and b.set < a.set)")
+    enough = (F.col("b.n") > F.col("a.n") * at_least) & (F.least("a.rest", "b.rest") > (F.col("a.n") + F.col("b.n")) * (at_least / (1 + at_least)) - 1e-9)
     both = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    alike = pairs.withColumn("similarity", both / (F.size("a.tokens") + F.size("b.tokens") - both)).where(F.col("similarity") > at_least)
-    got = alike.groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.struct(F.col("b.id").alias("earlier"), "similarity"), F.struct(F.col("b.at").alias("t"), F.col("b.id").alias("i"))).alias("m"))
-    return got.select("id", "m.earlier", "m.similarity")
+    alike = a.join(b, (F.col("a.w") == F.col("b.w")) & once & enough).withColumn("similarity", both / (F.col("a.n") + F.col("b.n") - both)).where(F.col("similarity") > at_least)
+    link = lambda x, y: F.struct(F.col(f"{x}.set").alias("set"), F.col(f"{y}.first").alias("first"), "similarity")
+    links = alike.select(F.inline(F.array(link("a", "b"), link("b", "a")))).unionByName(sets.select("set", "first", F.lit(1.0).alias("similarity")).where(F.lit(at_least < 1)))
+    best = links.groupBy("set").agg(F.min(F.struct("first", "similarity")).alias("m"))
+    got = rows.join(sets.select("set", "tokens").join(best, "set"), "tokens").where(F.col("m.first") < F.struct("at", "id"))
+    return got.select("id", "at", F.col("m.first.id").alias("earlier"), F.col("m.first.at").alias("earlier_at"), "m.similarity")
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -51,3 +51,41 @@ def test_null_and_short_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (4, "a b c d e f g h")], "i long, t string")
     assert [tuple(x) for x in similarity.shared_runs(df, df, "i", F.col("t"), "i", F.col("t")).collect()] == [(4, 4, 8, 8)]
     assert similarity.shared_runs(df.where("false"), df, "i", F.col("t"), "i", F.col("t")).count() == 0
+
+
+def most_rows(df):
+    """The most rows that any step of the plan gave, after df was collected."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        children = node.children()
+        todo += [inner] if inner is not None else [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_copied_headlines_are_no_pairs(spark):
+    """3,000 copies of one headline cost a row each; the first of them, or an earlier headline that is like it, is what they restate."""
+    rows = [(0, "alpha bravo charlie delta golf")] + [(i, "delta bravo charlie alpha") for i in range(1, 3001)] + [(4000 + i, f"other{i} thing{i}") for i in range(20)]
+    got = similarity.first_restated(spark.createDataFrame(rows, "i long, t string"), "i", F.col("t"), "i")
+    assert {(x.id, x.earlier, x.similarity) for x in got.collect()} == {(i, 0, 0.8) for i in range(1, 3001)}
+    assert most_rows(got) < 10_000
+
+
+@pytest.mark.parametrize("at_least", [0.6, 0.3, 0.85])
+def test_restated_equals_all_pairs(spark, at_least):
+    """Copies, parts and sets over few words, equal places in the order, null titles."""
+    r = random.Random(5)
+    words = [f"word{k}" for k in range(14)]
+    rows = [(i, r.randint(0, 40), " ".join(r.sample(words, r.choice([0, 1, 2, 3, 4, 5, 8, 10])))) for i in range(250)] + [(900, 3, None)]
+    sets = {i: (at, i, frozenset((t or "").split())) for i, at, t in rows}
+    wanted = {}
+    for at, i, a in sets.values():
+        near = [(x, j, len(a & b) / len(a | b)) for x, j, b in sets.values() if (x, j) < (at, i) and a and b and len(a & b) / len(a | b) > at_least]
+        if near:
+            wanted[i] = (at, *min(near))
+    found = similarity.first_restated(spark.createDataFrame(rows, "i long, d int, t string"), "i", F.col("t"), "d", at_least).collect()
+    assert {x.id: (x.at, x.earlier_at, x.earlier, x.similarity) for x in found} == wanted and len(found) == len(wanted)
