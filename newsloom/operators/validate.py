@@ -39,7 +39,8 @@ def _rows(df: DataFrame, rules: list[tuple[str, str, Column]], story: Column, de
     """One row for each rule a row breaks."""
     found = F.array_compact(F.array(*[F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("severity"))) for rule, level, broken in rules]))
     told = (detail if detail is not None else _none()).cast("string").alias("detail")
-    return df.select("date", story.cast("string").alias("story"), told, F.explode(found).alias("r")).select("date", "story", "r.rule", "r.severity", "detail")
+    broken = df.select("date", story.cast("string").alias("story"), told, F.explode_outer(found).alias("r")).where("r is not null")  # the plain form would test the list first, which computes all rules again
+    return broken.select("date", "story", "r.rule", "r.severity", "detail")
 
 
 def edition_rules(editions: DataFrame, stories: DataFrame, limits: Limits) -> DataFrame:
@@ -68,7 +69,8 @@ def story_rules(stories: DataFrame, beats: DataFrame, style: list[tuple[str, str
     every = F.concat_ws(" ", "headline", "deck", F.concat_ws(" ", "summary"), F.concat_ws(" ", "body"), "whyItMatters")
     minutes = T.read_minutes(F.concat_ws(" ", "deck", F.concat_ws(" ", "summary"), F.concat_ws(" ", "body"), "whyItMatters"))
     prose = [F.col("headline"), F.col("deck"), F.concat_ws("\n", "summary"), F.concat_ws("\n", "body")]
-    lint = T.style_lint(every, style)
+    s = s.withColumn("__lint", F.explode_outer(F.array(T.style_lint(every, style))))  # a generator's column is computed once, however often it is used
+    lint = F.col("__lint")
     rules = [
         ("V8", "E", F.col("__id2")),
         ("V9", "E", F.col("__slug2")),
@@ -132,11 +134,8 @@ def source_rules(stories: DataFrame, publishers: DataFrame, blocked: DataFrame,
 
 def restated_rules(stories: DataFrame) -> DataFrame:
     """V33: a headline much like one of an earlier edition (the first such)."""
-    found = first_restated(stories, "id", F.col("headline"), "date")
-    dated = stories.select("id", "date")
-    old = dated.select(F.col("id").alias("earlier"), F.col("date").alias("earlier_date"))
-    late = found.join(dated, "id").join(old, "earlier").where("earlier_date < date")
-    return late.select("date", F.col("id").alias("story"), F.lit("V33").alias("rule"), F.lit("W").alias("severity"), F.col("earlier").alias("detail"))
+    late = first_restated(stories, "id", F.col("headline"), "date").where("earlier_at < at")
+    return late.select(F.col("at").alias("date"), F.col("id").alias("story"), F.lit("V33").alias("rule"), F.lit("W").alias("severity"), F.col("earlier").alias("detail"))
 
 
 def longest_run(ours: Column, theirs: Column) -> Column:
@@ -154,14 +153,23 @@ def longest_run(ours: Column, theirs: Column) -> Column:
 
 
 def copied_rules(stories: DataFrame) -> DataFrame:
-    """V34 and V35: words shared with a cited headline, beyond names and function words."""
+    """V34 and V35: words shared with a cited headline, beyond names and function words.
+
+    Columns of generators are computed once, plain ones again wherever they are used: so words are cut once, and names are sought in stories with a shared run only.
+    """
+    once = lambda c: F.explode_outer(F.array(c))
+    bound = lambda c, f: F.transform(F.array(c), f)[0]
     ours = F.concat(F.array("headline", "deck"), F.coalesce("summary", F.array().cast("array<string>")), F.coalesce("body", F.array().cast("array<string>")))
-    s = stories.select("date", "id", "sources", ours.alias("ours"), T.proper_nouns(F.array_join(F.concat(ours, F.coalesce("entities", F.array().cast("array<string>"))), ". ")).alias("names"))
-    pairs = s.select("date", "id", "names", F.explode("sources.title").alias("title"), "ours").select("date", "id", "names", "title", F.explode("ours").alias("field"))
-    said, theirs, n = F.concat(F.lit(" "), F.array_join(T.word_list(F.col("field")), " "), F.lit(" ")), T.word_list(F.col("title")), MAX_RUN + 1
-    grams = F.transform(F.sequence(F.lit(1), F.size(theirs) - MAX_RUN), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(theirs, i, n), " "), F.lit(" ")))
-    near = pairs.where(F.size(theirs) >= n).withColumn("said", said).where(F.exists(grams, lambda g: F.col("said").contains(g)))
-    runs = near.withColumn("run", longest_run(T.word_list(F.col("field")), T.word_list(F.col("title")))).where(F.size("run") > MAX_RUN)
+    told = lambda c: bound(T.word_list(c), lambda w: F.struct(w.alias("words"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("said")))
+    titles = F.filter(F.transform("sources.title", T.word_list), lambda t: F.size(t) > MAX_RUN)
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - MAX_RUN), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(t, i, MAX_RUN + 1), " "), F.lit(" ")))
+    s = stories.select("date", "id", ours.alias("ours"), "entities", once(titles).alias("titles")).where(F.size("titles") > 0).withColumn("fields", once(F.transform("ours", told)))
+    share = lambda t: bound(grams(t), lambda gs: F.filter("fields", lambda f: F.exists(gs, lambda g: f["said"].contains(g))))
+    met = F.flatten(F.transform("titles", lambda t: F.transform(share(t), lambda f: F.struct(f["words"].alias("words"), t.alias("theirs")))))
+    s = s.withColumn("met", once(met)).where(F.size("met") > 0)
+    s = s.withColumn("names", once(T.proper_nouns(F.array_join(F.concat("ours", F.coalesce("entities", F.array().cast("array<string>"))), ". "))))
+    near = s.select("date", "id", "names", F.explode("met").alias("m"))
+    runs = near.withColumn("run", once(longest_run(F.col("m.words"), F.col("m.theirs")))).where(F.size("run") > MAX_RUN)
     runs = runs.withColumn("n", T.expressive_length(F.col("run"), F.col("names")))
     rules = [("V34", "E", F.col("n") > MAX_EXPRESSIVE), ("V35", "W", (F.col("n") > SOME_EXPRESSIVE) & (F.col("n") <= MAX_EXPRESSIVE))]
     return _rows(runs, rules, F.col("id"), F.array_join("run", " "))
@@ -215,10 +223,9 @@ def validate(
 def results(violations: DataFrame, editions: DataFrame) -> DataFrame:
     """A row an edition: date, errors and warnings (each rule, story and detail, in order)."""
     told = F.concat_ws(" ", "rule", "story", "detail")
-    of = lambda level: F.array_sort(F.collect_list(F.when(F.col("severity") == level, told)))
-    found = violations.groupBy("date").agg(of("E").alias("errors"), of("W").alias("warnings"))
-    none = F.array().cast("array<string>")
-    return editions.select("date").unionByName(violations.select("date")).distinct().join(found, "date", "left").select("date", F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings"))
+    of = lambda level: F.array_sort(F.collect_list(F.when(F.col("severity") == level, F.col("told"))))
+    rows = violations.select("date", "severity", told.alias("told")).unionByName(editions.select("date", _none().alias("severity"), _none().alias("told")))
+    return rows.groupBy("date").agg(of("E").alias("errors"), of("W").alias("warnings"))
 
 
 def report(violations: DataFrame, strict: bool = False, ran_at: str | None = None) -> DataFrame:
