@@ -42,9 +42,9 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def _pieces(c: Column, keep: str) -> Column:
-    """Lower-cased runs of kept characters."""
-    return F.filter(F.split(F.regexp_replace(F.lower(_text(c)), keep, " "), r"\s+"), lambda w: w != "")
+def _cut(c: Column) -> Column:
+    """Lower-cased runs of letters and digits; an empty one where a text does not begin or end with such a run."""
+    return F.split(F.regexp_replace(F.lower(_text(c)), r"[^a-z0-9\s]", " "), r"\s+")
 
 
 def _stem(w: Column) -> Column:
@@ -53,34 +53,34 @@ def _stem(w: Column) -> Column:
 
 def word_list(c: Column) -> Column:
     """All words in order; the token sets below are made of them."""
-    return _pieces(c, r"[^a-z0-9\s]")
+    return F.filter(_cut(c), lambda w: w != "")
 
 
 def cluster_tokens_of(words: Column) -> Column:
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
+    return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))  # distinct first: fewer words are tested
 
 
 def class_tokens_of(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)), _stem))
+    return F.array_distinct(F.transform(cluster_tokens_of(words), _stem))
 
 
 def overlap_tokens_of(words: Column) -> Column:
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) > 3))
+    return F.filter(F.array_distinct(words), lambda w: F.length(w) > 3)
 
 
 def class_tokens(c: Column) -> Column:
     """Distinct stemmed tokens of more than two characters, without function words."""
-    return class_tokens_of(word_list(c))
+    return class_tokens_of(_cut(c))
 
 
 def cluster_tokens(c: Column) -> Column:
     """As class_tokens, but not stemmed."""
-    return cluster_tokens_of(word_list(c))
+    return cluster_tokens_of(_cut(c))
 
 
 def overlap_tokens(c: Column) -> Column:
     """Distinct tokens of more than three characters, function words included."""
-    return overlap_tokens_of(word_list(c))
+    return overlap_tokens_of(_cut(c))
 
 
 def jaccard(a: Column, b: Column) -> Column:

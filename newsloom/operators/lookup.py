@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import class_tokens
 from newsloom.functions.urls import host_of, host_suffixes
+from newsloom.session import settled
 
 #: Rows of a configuration table up to which it is broadcast.
 SMALL = 100_000
@@ -39,18 +42,32 @@ def with_publisher_tier(df: DataFrame, url: Column, publishers: DataFrame, block
     return hosted.join(host_matches(hosted, publishers, blocked), "host", "left")
 
 
+def _told_apart(beats: DataFrame) -> Column:
+    """A number of each id, told apart by a hash: the first seed under which the ids of this table do not collide."""
+    ids = beats.select("id").distinct()
+    numbers = (F.xxhash64(F.lit(seed), "id") for seed in count())
+    return next(x for x in numbers if ids.groupBy(x).count().where("count > 1").isEmpty())
+
+
 def beat_vocabulary(beats: DataFrame) -> DataFrame:
     """token, beat, pos, vocab_size, distinctive: each beat's words, from its keywords or else its queries.
 
     A word is distinctive if the keywords of this beat have it and those of no other. The table may be of any size: a word's
-    beats are told by their smallest and largest id, and joined by word and beat, so a word that all have is no hot key.
+    beats are told by the smallest and largest of their numbers, and a beat gets its own single words as one list, so
+    a word that all have is no hot key and the rows of the result are not shuffled.
     """
-    more = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.col("queries"))
-    words = beats.select("id", "pos", class_tokens(F.concat_ws(" ", "label", "blurb", F.concat_ws(" ", more))).alias("tokens"), class_tokens(F.concat_ws(" ", "keywords")).alias("own"))
-    rows = words.select("id", "pos", F.size("tokens").alias("vocab_size"), F.explode("tokens").alias("token"))
-    by_word = words.select("id", F.explode("own").alias("token")).groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    single = by_word.where("id = last").select("token", "id", F.lit(True).alias("single"))
-    return rows.join(single, ["token", "id"], "left").select("token", F.col("id").alias("beat"), "pos", "vocab_size", F.coalesce("single", F.lit(False)).alias("distinctive"))
+    number = _told_apart(beats)
+    once = lambda c: F.explode_outer(F.array(c))  # noqa: E731 - a generator's column is computed once, however often it is used
+    none = F.array().cast("array<string>")
+    head, rest = class_tokens(F.concat_ws(" ", "label", "blurb")), F.when(F.size("keywords") > 0, none).otherwise(class_tokens(F.concat_ws(" ", "queries")))
+    own = settled(beats.select("id", "pos", number.alias("number"), class_tokens(F.concat_ws(" ", "keywords")).alias("own"), F.array_union(head, rest).alias("head")))  # read twice, and texts are cut once
+    by_word = own.where("id is not null").select("number", F.explode_outer("own").alias("token")).where("token is not null").groupBy("token").agg(F.min("number").alias("number"), F.max("number").alias("last"))
+    single = by_word.where("number = last").groupBy("number").agg(F.collect_list("token").alias("single"))
+    words = own.join(single, "number", "left").select("id", "pos", once(F.array_union("own", "head")).alias("tokens"), "own", "single")
+    words = words.withColumn("single", once(F.coalesce(F.array_intersect("own", "single"), none)))
+    told = lambda c, yes: F.transform(c, lambda w: F.struct(w.alias("token"), F.lit(yes).alias("distinctive")))
+    rows = words.select("id", "pos", F.size("tokens").alias("vocab_size"), F.explode_outer(F.concat(told("single", True), told(F.array_except("tokens", "single"), False))).alias("x")).where("x is not null")
+    return rows.select("x.token", F.col("id").alias("beat"), "pos", "vocab_size", "x.distinctive")
 
 
 def classify(df: DataFrame, id_col: str, text: Column, beats: DataFrame, min_overlap: int = 2) -> DataFrame:

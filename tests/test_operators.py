@@ -234,3 +234,15 @@ def test_schema_over_documents(spark):
 def test_reviews(spark):
     got = archive.review(spark.createDataFrame([(5, 5, 5, 3, 3), (5, 5, 5, 5, 2), (4, 4, 4, 4, 3)], "a int, b int, c int, d int, e int"), list("abcde")).collect()
     assert [(r["total"], r["passed"]) for r in got] == [(21, True), (22, False), (19, False)]
+
+
+def test_vocabulary_rows_are_not_sorted_or_joined_by_word(spark):
+    """A word is single by ids, not by rows; the rows of the result come after the last join, and ids of any kind are told apart."""
+    rows = [("a", 0, "shared alpha", ""), ("b", 1, "shared bravos", "alpha"), ("b", 2, "bravo label", "bravo"), (None, 3, "lonely", ""), ("c", 4, "", "charlie")]
+    beats = spark.createDataFrame([(i, p, t, "", [k] if k else [], ["query words"]) for i, p, t, k in rows], "id string, pos int, label string, blurb string, keywords array<string>, queries array<string>")
+    got = lookup.beat_vocabulary(beats)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and "min(id" not in plan
+    found = {(x.pos, x.token): (x.beat, x.vocab_size, x.distinctive) for x in got.collect()}
+    assert {k for k, v in found.items() if v[2]} == {(1, "alpha"), (2, "bravo"), (4, "charlie")}
+    assert found[0, "alpha"] == ("a", 4, False) and found[1, "bravo"] == ("b", 3, False) and found[3, "lonely"] == (None, 3, False)
