@@ -170,24 +170,27 @@ def safe_json(c: Column) -> Column:
     return out
 
 
-def decode_reference(m: re.Match) -> str:
-    """One character reference; unknown names and impossible numbers stay as they are."""
-    ref = m[1]
-    if ref[0] != "#":
-        return NAMED.get(ref, m[0])
-    try:
-        return chr(int(ref[2:], 16) if ref[1] in "xX" else int(ref[1:]))
-    except (ValueError, OverflowError):
-        return m[0]
-
-
-REFERENCE = re.compile(r"&(#x?[0-9a-fA-F]+|[a-zA-Z]+);")
-
-
-@F.pandas_udf(StringType())
-def decode_entities(s: pd.Series) -> pd.Series:
-    """Numeric and the named references of feeds, in one pass (Python: a reference maps to any character)."""
-    return s.map(lambda x: x if x is None or "&" not in x else REFERENCE.sub(decode_reference, x))
+def _character(ref: Column) -> Column:
+    """The character of a numeric reference (#10 or #xA), or null if it tells none."""
+    hexadecimal = ref.startswith("#x")
+    digits = F.regexp_replace(F.when(hexadecimal, F.substring(ref, 3, 1 << 30)).otherwise(F.substring(ref, 2, 1 << 30)), "^0+(?=.)", "")
+    code = F.when(F.length(digits) > 7, None).when(hexadecimal, F.conv(digits, 16, 10)).when(digits.rlike("^[0-9]+$"), digits).cast("int")
+    known = (code < 0x110000) & ~code.between(0xD800, 0xDFFF)  # halves of a pair are no characters
+    return F.when(known, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32"))
+
+
+def decode_entities(c: Column) -> Column:
+    """Numeric and the named references of feeds, in one pass; unknown names and impossible numbers stay as they are."""
+    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, "^(#x?[0-9a-fA-F]+|[a-zA-Z]+);", 1)
+        told = F.when(ref == "", None).when(ref.startswith("#"), _character(ref)).otherwise(named[ref])
+        return F.coalesce(F.concat(told, F.substring(p, F.length(ref) + 2, F.length(p))), F.concat(F.lit("&"), p))
+
+    pieces = F.split(c, "&", -1)
+    whole = lambda x: F.concat(x[0], F.array_join(F.transform(F.slice(x, 2, F.size(x)), piece), ""))  # noqa: E731 - what stands behind each ampersand
+    return F.when(~c.contains("&"), c).otherwise(F.transform(F.array(pieces), whole)[0])
 
 
 def strip_tags(c: Column) -> Column:

@@ -106,3 +106,12 @@ def test_seeded_draws_and_edition_hash(spark):
 def test_colour(spark):
     for c in ("#c8102e", "#000000", "#ffffff", "#0f7a5a", "#5b3fd6"):
         assert one(spark, colour.hsl_to_hex(colour.rgb_to_hsl(colour.hex_to_rgb(F.col("s")))), s=c) == c
+
+
+def test_references_equal_the_plain_rules(spark):
+    """In one pass and without Python workers: names, numbers in both forms, zeros before them, none at all, a byte order mark, halves of a pair."""
+    said = "a&amp;lt; &&amp;&#65;&#x1F600;&#0065;&#1a;&#xZ;&#X41;&bogus;&amp &#xFEFF;|&#55296;&#x10FFFF;&#x110000;&#99999999999999999999;&nbsp;&hellip;&;&#;&#x;&#10;&"
+    wanted = "a&lt; &&A\U0001f600A&#1a;&#xZ;&#X41;&bogus;&amp \ufeff|&#55296;\U0010ffff&#x110000;&#99999999999999999999; \u2026&;&#;&#x;\n&"
+    df = spark.createDataFrame([(said,), (None,), ("",), ("plain",), ("&lt;",)], "t string").select(T.decode_entities(F.col("t")).alias("d"))
+    assert [r.d for r in df.collect()] == [wanted, None, "", "plain", "<"]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
