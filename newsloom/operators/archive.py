@@ -12,17 +12,23 @@ PASS_TOTAL, PASS_LEAST = 20, 3
 def edition_signals(sources: DataFrame) -> DataFrame:
     """date, stories, urls, primary, publishers, beats and the same over all dates (date null).
 
-    sources: date, story, beat, url, publisher, tier: one row a citation. Both levels come from
-    one pass of grouping sets.
+    sources: date, story, beat, url, publisher, tier: one row a citation. A citation gives a row for its story, URL, publisher
+    and beat each, which are made distinct by date; both levels count those, and only the values of a date are told apart again for the whole.
     """
-    return sources.groupingSets([[F.col("date")], []], F.col("date")).agg(
-        F.count_distinct("date", "story").alias("stories"),
-        F.count_distinct("url").alias("urls"),
-        F.count_if(F.col("tier") == 1).alias("primary_sources"),
-        F.count_distinct("publisher").alias("publishers"),
-        F.count_distinct("beat").alias("beats"),
-        F.grouping("date").alias("is_total"),
-    )
+    kinds = ("story", "url", "publisher", "beat")
+    none = {k: F.lit(None).cast(sources.schema[k].dataType) for k in kinds}
+    each = [F.struct(F.lit(i).alias("kind"), *[(F.col(x) if x == k else none[x]).alias(x) for x in kinds], (F.when(F.col("tier") == 1, 1).otherwise(0) if not i else F.lit(0)).alias("p")) for i, k in enumerate(kinds)]
+    values = sources.select("date", F.inline(F.array(*each))).groupBy("date", "kind", *kinds).agg(F.sum("p").alias("p"))
+    held = F.when(F.coalesce(*[F.col(k).isNotNull().cast("int") * F.when(F.col("kind") == i, 1) for i, k in enumerate(kinds)]) > 0, F.col("kind"))
+    n = lambda i, also=F.lit(True): F.count_if((F.col("held") == i) & also)
+    told = values.withColumn("held", held)
+    dates = told.groupBy("date").agg(n(0, F.col("date").isNotNull()).alias("stories"), n(1).alias("urls"), F.sum("p").alias("primary_sources"), n(2).alias("publishers"), n(3).alias("beats"))
+    whole = told.where("held > 0").groupBy("held", *kinds[1:]).agg(F.lit(1).alias("one")).agg(n(1).alias("urls"), n(2).alias("publishers"), n(3).alias("beats"))
+    zero, yes, no = F.lit(0).cast("long"), F.lit(1).cast("tinyint"), F.lit(0).cast("tinyint")
+    every = [F.struct("date", no.alias("is_total"), "stories", "urls", "primary_sources", "publishers", "beats"), F.struct(F.lit(None).cast("date").alias("date"), yes.alias("is_total"), "stories", zero.alias("urls"), "primary_sources", zero.alias("publishers"), zero.alias("beats"))]
+    rows = dates.select(F.inline(F.array(*every))).unionByName(whole.select(F.lit(None).cast("date").alias("date"), yes.alias("is_total"), zero.alias("stories"), "urls", zero.alias("primary_sources"), "publishers", "beats"))
+    found = rows.groupBy("date", "is_total").agg(*[F.sum(c).alias(c) for c in ("stories", "urls", "primary_sources", "publishers", "beats")])
+    return found.select("date", "stories", "urls", "primary_sources", "publishers", "beats", "is_total")
 
 
 def archive(editions: DataFrame, digests: DataFrame, wires: DataFrame) -> DataFrame:

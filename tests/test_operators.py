@@ -246,3 +246,16 @@ def test_vocabulary_rows_are_not_sorted_or_joined_by_word(spark):
     found = {(x.pos, x.token): (x.beat, x.vocab_size, x.distinctive) for x in got.collect()}
     assert {k for k, v in found.items() if v[2]} == {(1, "alpha"), (2, "bravo"), (4, "charlie")}
     assert found[0, "alpha"] == ("a", 4, False) and found[1, "bravo"] == ("b", 3, False) and found[3, "lonely"] == (None, 3, False)
+
+
+def test_signals_of_dates_and_the_whole(spark):
+    """Nulls of every column, a value on several dates; a citation gives a row for each of its four values, not one for each count of both levels."""
+    r = random.Random(3)
+    some = lambda v: None if r.random() < 0.1 else v
+    rows = [(some(dt.date(2026, 1, r.randint(1, 4))), some(r.randint(0, 9)), some(f"b{r.randint(0, 3)}"), some(r.randint(0, 30)), some(f"p{r.randint(0, 9)}"), some(r.randint(1, 3))) for _ in range(300)]
+    df = archive.edition_signals(spark.createDataFrame(rows, "date date, story long, beat string, url long, publisher string, tier int"))
+    n = lambda part, k: len({x[k] for x in part} - {None})
+    told = lambda part: (len({x[:2] for x in part if None not in x[:2]}), n(part, 3), sum(x[5] == 1 for x in part), n(part, 4), n(part, 2))
+    wanted = {(d, 0): told([x for x in rows if x[0] == d]) for d in {x[0] for x in rows}} | {(None, 1): told(rows)}
+    assert {(x.date, x.is_total): (x.stories, x.urls, x.primary_sources, x.publishers, x.beats) for x in df.collect()} == wanted and df.count() == len(wanted)
+    assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
