@@ -259,3 +259,13 @@ def test_signals_of_dates_and_the_whole(spark):
     wanted = {(d, 0): told([x for x in rows if x[0] == d]) for d in {x[0] for x in rows}} | {(None, 1): told(rows)}
     assert {(x.date, x.is_total): (x.stories, x.urls, x.primary_sources, x.publishers, x.beats) for x in df.collect()} == wanted and df.count() == len(wanted)
     assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copied_words_are_cut_once(spark):
+    """Titles and fields are cut at one place of the plan each, wherever their words are used; the run and its words stay the same."""
+    said = "one two three four five six seven eight nine"
+    rows = [(dt.date(2026, 1, 1), "a", "Head", "deck", ["Then " + said + " ten"], [], ["en"], [(said.upper(),), ("short title",)]), (dt.date(2026, 1, 1), "b", None, "deck", None, None, None, [(None,)]), (dt.date(2026, 1, 1), "c", said, "deck", None, None, None, None)]
+    stories = spark.createDataFrame(rows, "date date, id string, headline string, deck string, summary array<string>, body array<string>, entities array<string>, sources array<struct<title string>>")
+    got = validate.copied_rules(stories)
+    assert [(x.story, x.rule, x.detail) for x in got.collect()] == [("a", "V34", said)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9") == 2
