@@ -32,6 +32,8 @@ WINDOW, SHARD_TOKENS = 4096, 2_000_000
 #: Tasks of the packing at most; so the driver keeps track of as many at any size.
 MOST_PARTITIONS = 4096
 K1, B = 1.2, 0.75
+#: Unused share of the indexed documents of a shard below which the postings of the others are dropped.
+FORGET = 0.8
 KEYS, SEED = 2, 20_240_517
 TOKENIZED = "".join(f"k{k} int, " for k in range(KEYS)) + "doc_id long, salt long, n long, ids binary"
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -63,15 +65,19 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width:
 
 def _frequencies(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     """Documents of the partition that hold each token."""
-    total = np.zeros(0, np.int64)
+    total, last, size = np.zeros(0, np.int64), np.empty(0, np.int32), np.dtype(width).itemsize
     for batch in batches:
-        for x in batch.column(0):
-            own = np.frombuffer(x.as_buffer(), width)
-            seen = np.sort(own)
-            seen = seen[np.append(True, seen[1:] != seen[:-1])]
-            if seen[-1] >= len(total):
-                total = np.concatenate([total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64)])
-            total[seen] += 1
+        if not batch.num_rows:
+            continue
+        flat = _tokens(batch.column(0), width)
+        if flat.max() >= len(total):
+            total = np.concatenate([total, np.zeros(int(flat.max()) + 1 - len(total), np.int64)])
+            last = np.empty(len(total), np.int32)
+        ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy()) // size
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            own, place = flat[a:b], np.arange(b - a, dtype=np.int32)
+            last[own] = place
+            total[own[last[own] == place]] += 1  # one of the places of each token: the one that stayed
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
 
@@ -93,6 +99,7 @@ class Index:
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float):
         lengths = np.array([len(d) for d in docs], np.int64)
         self.idf, self.n = idf(df, n_docs), len(docs)
+        self.asked = np.zeros(len(df), bool)
         ids = np.concatenate(docs) if docs else np.empty(0, np.uint16)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
         useful = (self.idf > 0)[ids]
@@ -108,8 +115,10 @@ class Index:
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """The score of every document; those that `forget` was told of get none."""
-        terms = np.unique(query)
-        terms = terms[self.idf[terms] > 0].astype(np.int64)
+        self.asked[query] = True
+        terms = np.flatnonzero(self.asked)
+        self.asked[query] = False
+        terms = terms[self.idf[terms] > 0]
         a, b = self.start[terms], self.start[terms + 1]
         some = b > a
         if not some.any():
@@ -166,7 +175,7 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> list[tuple[int, i
         rest = put(*rest)
         if rest is not None or room == window:
             continue
-        if 2 * left < indexed:  # most postings are of used documents
+        if left < FORGET * indexed:  # enough postings are of used documents
             index.forget(used)
             indexed = left
         here = number

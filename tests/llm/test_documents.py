@@ -78,6 +78,30 @@ def test_very_long_texts_give_the_librarys_ids(name):
     assert tokens.PieceEncoder(vocabulary(name)).encode(prose) == library_ids(name, prose)
 
 
+@pytest.mark.parametrize("name", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_pieces_of_several_parts_are_cut_once(name, monkeypatch):
+    texts = pa.array(["(one) 2,5 it's;", "it's; \"é\" (one)", "2,5 (one) end\n(one)"] * 50)
+    want = [library_ids(name, t, "<u2") for t in texts.to_pylist()]
+    for most in (tokens.PARTS, 2):
+        monkeypatch.setattr(tokens, "PARTS", most)
+        enc, cut = tokens.PieceEncoder(vocabulary(name), "<u2"), []
+        plain = enc._mixed
+        monkeypatch.setattr(enc, "_mixed", lambda p, cut=cut, plain=plain: cut.append(p) or plain(p))
+        for _ in range(3):
+            assert enc.column(texts).to_pylist() == want
+        assert len(enc.mixed) <= most
+        assert most == 2 or len(cut) == len(enc.mixed)
+
+
+def test_frequencies_count_documents():
+    r = np.random.default_rng(8)
+    docs = [(r.zipf(1.3, int(r.integers(1, 80))) % top).astype("<u2") for top in (40, 40, 900, 65_536) for _ in range(30)]
+    column = pa.array([d.tobytes() for d in docs], pa.binary())
+    batches = [pa.RecordBatch.from_arrays([column.slice(a, n)], ["ids"]) for a, n in ((0, 50), (50, 0), (50, 70))]
+    (found,) = packing._frequencies(iter(batches), "<u2")
+    assert dict(zip(*(c.to_pylist() for c in found.columns), strict=True)) == Counter(t for d in docs for t in set(d.tolist()))
+
+
 def test_rans_round_trip_checkpoints_and_checksums():
     rng = np.random.default_rng(3)
     for n in (0, 1, 31, 64, 5000, 300_001):
