@@ -333,6 +333,20 @@ def test_suffix_dedup_leaves_long_texts_without_repeats(spark):
     assert got[2] == (1200, 1, rows[1][1].replace(passage, "")) and got[3] == (1200, 1, "short ")
 
 
+def test_suffix_dedup_counts_bytes_not_words(spark):
+    r = random.Random(12)
+    other = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    short = " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(79))  # 394 bytes
+    under, just = "[" + short + "....", "[" + short + "....."  # 399 and 400 bytes
+    assert (len(short.split()), len(under), len(just)) == (79, 399, 400)
+    for passage, gone in ((short, 0), (under, 0), (just, 400)):
+        texts = [other(300) + passage + other(300) for _ in range(2)] + [other(900)]
+        got = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {x["doc_id"]: x["n_removed"] for x in got} == {0: gone, 1: gone, 2: 0}
+    alone = suffix_dedup.dedup(spark.createDataFrame([(0, other(200) + just + other(200) + just)], "doc_id long, text string")).collect()
+    assert [(x["n_removed"], x["n_spans"]) for x in alone] == [(800, 2)]
+
+
 def test_suffix_sort_orders_groups():
     rng = np.random.default_rng(2)
     rows = rng.integers(97, 99, (200, 30)).astype(np.uint8)
