@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.order import numbered
-from newsloom.session import settled
 
 KINDS = ("url", "publisher", "beat")
 NUMBERS = "value string, number long, kind string, bucket int"
@@ -22,10 +21,21 @@ BITS = "date date, kind string, bucket int, page long, bits binary, generation s
 COUNTS = "date date, stories long, primary_sources long, urls long, publishers long, beats long, turn long, generation string"
 
 
+def bitmaps(placed: DataFrame) -> DataFrame:
+    """date, kind, bucket, page, bits from distinct dates and numbers.
+
+    Rows are dealt by page as bits, at most 32,768 to a page: bitmaps begun before the shuffle would be 4 kB for each page
+    and task, so that their bytes grow with pages times tasks.
+    """
+    page = ["date", "kind", "bucket", "page"]
+    bits = placed.select(*page[:-1], F.bitmap_bucket_number("number").alias("page"), F.bitmap_bit_position("number").alias("bit"))
+    return bits.repartition(*page).groupBy(*page).agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
 class ArchiveTotals:
     """Signals of each date and of all dates, below a folder that all executors share. One writer at a time.
 
-    A lost writer does no harm: numbers that no date uses are not counted, values that have no number yet get
+    A lost writer does no harm: staged rows are not read again, numbers that no date uses are not counted, values that have no number yet get
     one the next time, and bitmaps count only once their generation's counts, which are written last, are there. Of a date that was
     added more than once the last generation counts. Files are by generation, so many dates at once are few files.
     """
@@ -39,6 +49,16 @@ class ArchiveTotals:
         except AnalysisException:  # nothing was added yet
             return self.spark.createDataFrame([], schema)
 
+    def _staged(self, df: DataFrame, name: str, generation: str) -> DataFrame:
+        """df computed once, as a table of columns that only the adding of a generation reads."""
+        path = f"{self.path}/staged/{generation}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _discard(self, generation: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/staged/{generation}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def _bucket(self, value: Column) -> Column:
         return F.pmod(F.xxhash64(value), F.lit(self.buckets)).cast("int")
 
@@ -47,27 +67,28 @@ class ArchiveTotals:
 
         Null stories, URLs, publishers and beats are not counted, as by a distinct count. Of the dictionary only the buckets that rows hit are read.
         """
-        rows = rows.where("date is not null")
-        each = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in KINDS]))
-        values = settled(rows.select("date", each).where("value is not null").distinct().withColumn("bucket", self._bucket(F.col("value"))))
+        generation = uuid.uuid4().hex
+        told = [F.col(k).cast("string").alias(k) for k in KINDS]
+        rows = self._staged(rows.where("date is not null").select("date", "story", (F.col("tier") == 1).alias("first"), *told), "rows", generation)
+        each = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS]))
+        values = self._staged(rows.select("date", each).where("value is not null").distinct().withColumn("bucket", self._bucket(F.col("value"))), "values", generation)
         hit = [r.bucket for r in values.select("bucket").distinct().collect()]  # at most one row a bucket
         known = self._table("numbers", NUMBERS).where(F.col("bucket").isin(hit))
         asked = values.select("kind", "bucket", "value").distinct()
         new = numbered(asked.join(known, ["kind", "bucket", "value"], "left_anti"), ["kind", "bucket"], ["value"])
         last = known.groupBy("kind", "bucket").agg(F.max("number").alias("last"))
         told = new.join(last, ["kind", "bucket"], "left").select("value", (F.coalesce("last", F.lit(0)) + F.col("n")).alias("number"), "kind", "bucket")
-        settled(told).repartition("kind", "bucket").write.mode("append").partitionBy("kind", "bucket").parquet(f"{self.path}/numbers")
+        told = self._staged(told, "told", generation)
+        told.repartitionByRange("kind", "bucket", "value").write.mode("append").partitionBy("kind", "bucket").parquet(f"{self.path}/numbers")
 
-        generation = uuid.uuid4().hex
         numbers = self._table("numbers", NUMBERS).where(F.col("bucket").isin(hit))
-        placed = values.join(numbers, ["kind", "bucket", "value"]).withColumn("page", F.bitmap_bucket_number("number"))
-        bits = placed.groupBy("date", "kind", "bucket", "page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-        bits.write.parquet(f"{self.path}/bits/generation={generation}")
-        plain = rows.groupBy("date", "story").agg(F.count_if(F.col("tier") == 1).alias("p")).groupBy("date").agg(F.count("story").alias("stories"), F.sum("p").alias("primary_sources"))
+        bitmaps(values.join(numbers, ["kind", "bucket", "value"])).write.parquet(f"{self.path}/bits/generation={generation}")
+        plain = rows.groupBy("date", "story").agg(F.count_if("first").alias("p")).groupBy("date").agg(F.count("story").alias("stories"), F.sum("p").alias("primary_sources"))
         sizes = values.groupBy("date").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in KINDS])
         turn = (self._table("counts", COUNTS).agg(F.max("turn").alias("t")).first().t or 0) + 1
         counts = plain.join(sizes, "date", "left").na.fill(0).select("date", "stories", "primary_sources", "urls", "publishers", "beats", F.lit(turn).cast("long").alias("turn"))
         counts.write.parquet(f"{self.path}/counts/generation={generation}")
+        self._discard(generation)
 
     def counts(self) -> DataFrame:
         """The counts of each date, as last added, with their generation."""

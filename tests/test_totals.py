@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.sources import totals
 from newsloom.sources.totals import ArchiveTotals
 
 DAYS = [dt.date(2026, 1, d) for d in (1, 2, 3, 4)]
@@ -74,3 +75,22 @@ def test_totals_read_no_citations(spark, tmp_path):
     kept.add(spark.createDataFrame(cited(1, DAYS[0]), SCHEMA))
     plan = kept.signals()._jdf.queryExecution().executedPlan().toString()
     assert "numbers" not in plan and "Expand" not in plan and "Python" not in plan
+
+
+def test_bitmaps_are_begun_after_the_shuffle(spark, tmp_path, monkeypatch):
+    """Bytes shuffled for bitmaps do not grow by 4 kB for each page and task."""
+    seen, plain = [], totals.bitmaps
+    monkeypatch.setattr(totals, "bitmaps", lambda placed: seen.append(plain(placed)) or seen[-1])
+    kept = ArchiveTotals(spark, str(tmp_path / "totals"), buckets=2)
+    rows = cited(3, DAYS[0], 400) + cited(4, DAYS[1], 400)
+    kept.add(spark.createDataFrame(rows, SCHEMA).repartition(8))
+    assert found(kept) == plainly(rows)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    aggregates = [i for i, line in enumerate(plan.splitlines()) if "bitmap_construct_agg" in line]
+    assert len(aggregates) == 2 and not any("Exchange" in line for line in plan.splitlines()[aggregates[0] : aggregates[1]])
+
+
+def test_staged_rows_are_gone_after_an_addition(spark, tmp_path):
+    kept = ArchiveTotals(spark, str(tmp_path / "totals"), buckets=2)
+    kept.add(spark.createDataFrame(cited(5, DAYS[0]), SCHEMA))
+    assert not [p for p in (tmp_path / "totals" / "staged").glob("*")]
