@@ -32,6 +32,16 @@ def bounded(pattern: str) -> str:
     return f"{HEAD}(?:{pattern}){TAIL}"
 
 
+def _ahead(pattern: str) -> str:
+    """Where a bounded pattern begins. What lies ahead is tried first, as it fails at nearly every place; looking behind everywhere takes longer."""
+    inner = pattern.removeprefix(f"{HEAD}(?:").removesuffix(f"){TAIL}")
+    try:
+        re.compile(inner)
+    except re.error:
+        return pattern
+    return f"(?=(?:{inner}){TAIL}){HEAD}" if bounded(inner) == pattern else pattern
+
+
 def terms(words: list[str], substrings: list[str] = ()) -> str:
     """A case-insensitive alternation of bounded words and of plain substrings."""
     parts = [bounded("|".join(map(re.escape, words)))] if words else []
@@ -42,9 +52,14 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _cleaned(c: Column) -> Column:
+    """Lower-cased, with one space for each run of other characters than letters and digits: much cheaper than to clear them one by one and to split at any white space."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+
+
 def _cut(c: Column) -> Column:
     """Lower-cased runs of letters and digits; an empty one where a text does not begin or end with such a run."""
-    return F.split(F.regexp_replace(F.lower(_text(c)), r"[^a-z0-9\s]", " "), r"\s+")
+    return F.split(_cleaned(_text(c)), " ")
 
 
 def _stem(w: Column) -> Column:
@@ -56,6 +71,11 @@ def word_list(c: Column) -> Column:
     return F.filter(_cut(c), lambda w: w != "")
 
 
+def spaced_words(c: Column) -> Column:
+    """The words of `word_list` as one text with a space before, between and behind them: one pass and no list."""
+    return _cleaned(F.concat(F.lit(" "), _text(c), F.lit(" ")))
+
+
 def cluster_tokens_of(words: Column) -> Column:
     return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))  # distinct first: fewer words are tested
 
@@ -94,8 +114,8 @@ def shared_count(a: Column, b: Column) -> Column:
 
 def restates(deck: Column, headline: Column, share: float = 0.8) -> Column:
     """More than that share of the deck's tokens stand in the headline already."""
-    d, h = overlap_tokens(deck), overlap_tokens(headline)
-    return (F.size(d) > 0) & (shared_count(d, h) > share * F.size(d))
+    both = F.array(F.struct(overlap_tokens(deck).alias("d"), overlap_tokens(headline).alias("h")))  # an element is computed once, however often it is used
+    return F.exists(both, lambda x: (F.size(x["d"]) > 0) & (shared_count(x["d"], x["h"]) > share * F.size(x["d"])))
 
 
 def proper_nouns(c: Column) -> Column:
@@ -117,9 +137,13 @@ def quoted_runs(c: Column) -> Column:
 
 def style_lint(c: Column, rules: list[tuple[str, str]]) -> Column:
     """Labels of the (pattern, label) rules a text breaks, then "exclamation" for a mark outside quotes."""
-    found = [F.when(_text(c).rlike(f"(?i){p}"), F.lit(label)) for p, label in rules]
-    loud = F.when(F.regexp_replace(_text(c), '"[^"]*"', "").contains("!"), F.lit("exclamation"))
-    return F.array_compact(F.array(*found, loud))
+
+    def labels(text: Column) -> Column:
+        found = [F.when(text.rlike(f"(?i){_ahead(p)}"), F.lit(label)) for p, label in rules]
+        loud = F.when(text.contains("!") & F.regexp_replace(text, '"[^"]*"', "").contains("!"), F.lit("exclamation"))
+        return F.array_compact(F.array(*found, loud))
+
+    return F.transform(F.array(_text(c)), labels)[0]  # a list's element is computed once, however often it is used
 
 
 @F.pandas_udf(StringType())

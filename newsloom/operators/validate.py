@@ -60,9 +60,10 @@ def edition_rules(editions: DataFrame, stories: DataFrame, limits: Limits) -> Da
 
 def story_rules(stories: DataFrame, beats: DataFrame, style: list[tuple[str, str]]) -> DataFrame:
     copies = lambda key: F.row_number().over(Window.partitionBy("date", key).orderBy("pos")) > 1
+    keys = stories.select("date", "id", "slug", "pos").withColumn("__id2", copies("id")).withColumn("__slug2", copies("slug"))  # without the texts, which would be shuffled and sorted too
+    twice = _rows(keys, [("V8", "E", F.col("__id2")), ("V9", "E", F.col("__slug2"))], F.col("id"))
     known = beats.select(F.col("id").alias("beat"), F.lit(True).alias("__beat"))
     s = stories.join(F.broadcast(known), "beat", "left")  # a row a section of the paper
-    s = s.withColumn("__id2", copies("id")).withColumn("__slug2", copies("slug"))
     brief, upper = F.col("prominence") == "brief", F.col("prominence").isin("lead", "top")
     n_body, n_src = F.coalesce(F.size("body"), F.lit(0)), F.coalesce(F.size("sources"), F.lit(0))
     why = F.coalesce("whyItMatters", F.lit("")) != ""
@@ -71,9 +72,8 @@ def story_rules(stories: DataFrame, beats: DataFrame, style: list[tuple[str, str
     prose = [F.col("headline"), F.col("deck"), F.concat_ws("\n", "summary"), F.concat_ws("\n", "body")]
     s = s.withColumn("__lint", F.explode_outer(F.array(T.style_lint(every, style))))  # a generator's column is computed once, however often it is used
     lint = F.col("__lint")
+    longest = lambda p: F.when(p.contains('"'), F.array_max(T.quoted_runs(p)))
     rules = [
-        ("V8", "E", F.col("__id2")),
-        ("V9", "E", F.col("__slug2")),
         ("V10", "E", ~F.col("id").startswith(F.col("date").cast("string"))),
         ("V11", "E", F.col("id") != F.concat_ws("-", F.col("date").cast("string"), "slug")),
         ("V12", "E", F.col("__beat").isNull()),
@@ -85,12 +85,12 @@ def story_rules(stories: DataFrame, beats: DataFrame, style: list[tuple[str, str
         ("V28", "W", upper & (F.col("confidence") == "low")),
         ("V31", "W", T.restates(F.col("deck"), F.col("headline"))),
         ("V32", "W", T.label_colon(F.col("headline"))),
-        ("V36", "W", F.greatest(*[F.coalesce(F.array_max(T.quoted_runs(p)), F.lit(0)) for p in prose]) > MAX_QUOTE),
+        ("V36", "W", F.greatest(*[F.coalesce(longest(p), F.lit(0)) for p in prose]) > MAX_QUOTE),
         ("V37", "W", F.exists(lint, lambda x: x != "exclamation")),
         ("V38", "W", F.array_contains(lint, "exclamation")),
         ("V39", "W", F.abs(F.col("readMinutes") - minutes) > 2),
     ]
-    return _rows(s, rules, F.col("id"))
+    return _rows(s, rules, F.col("id")).unionByName(twice)
 
 
 def cited(stories: DataFrame) -> DataFrame:
@@ -155,17 +155,17 @@ def longest_run(ours: Column, theirs: Column) -> Column:
 def copied_rules(stories: DataFrame) -> DataFrame:
     """V34 and V35: words shared with a cited headline, beyond names and function words.
 
-    Columns of generators are computed once, plain ones again wherever they are used: so words are cut once, and names are sought in stories with a shared run only.
+    Columns of generators are computed once, plain ones again wherever they are used: so fields are cleaned once, and words are cut and names sought
+    only where a field holds a run of a title.
     """
     once = lambda c: F.explode_outer(F.array(c))
     bound = lambda c, f: F.transform(F.array(c), f)[0]
     ours = F.concat(F.array("headline", "deck"), F.coalesce("summary", F.array().cast("array<string>")), F.coalesce("body", F.array().cast("array<string>")))
-    told = lambda c: bound(T.word_list(c), lambda w: F.struct(w.alias("words"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("said")))
     titles = F.filter(F.transform("sources.title", T.word_list), lambda t: F.size(t) > MAX_RUN)
     grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - MAX_RUN), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(t, i, MAX_RUN + 1), " "), F.lit(" ")))
-    s = stories.select("date", "id", ours.alias("ours"), "entities", once(titles).alias("titles")).where(F.size("titles") > 0).withColumn("fields", once(F.transform("ours", told)))
-    share = lambda t: bound(grams(t), lambda gs: F.filter("fields", lambda f: F.exists(gs, lambda g: f["said"].contains(g))))
-    met = F.flatten(F.transform("titles", lambda t: F.transform(share(t), lambda f: F.struct(f["words"].alias("words"), t.alias("theirs")))))
+    s = stories.select("date", "id", ours.alias("ours"), "entities", once(titles).alias("titles")).where(F.size("titles") > 0).withColumn("fields", once(F.transform("ours", T.spaced_words)))
+    share = lambda t: bound(grams(t), lambda gs: F.filter("fields", lambda f: F.exists(gs, lambda g: f.contains(g))))
+    met = F.flatten(F.transform("titles", lambda t: F.transform(share(t), lambda f: F.struct(F.split(F.trim(f), " ").alias("words"), t.alias("theirs")))))
     s = s.withColumn("met", once(met)).where(F.size("met") > 0)
     s = s.withColumn("names", once(T.proper_nouns(F.array_join(F.concat("ours", F.coalesce("entities", F.array().cast("array<string>"))), ". "))))
     near = s.select("date", "id", "names", F.explode("met").alias("m"))
